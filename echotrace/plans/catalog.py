@@ -8,23 +8,123 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from echotrace.functions import text as tx
+from echotrace.operators import filters as flt
 from echotrace.operators import score
-from echotrace.plans import fixtures, oracle
+from echotrace.plans import clean, fixtures, oracle
 
 # Parameters of the Latin fixtures (small literal lists, see FIXTURES.md).
 STOPWORDS = ["a", "an", "the", "of", "and", "to", "in", "is", "le", "la", "les", "de", "des", "et",
              "der", "die", "das", "und", "el", "los", "que", "y"]
 
 
+CLEAN = clean.CleanParams(
+    excluded_urls=["spam-farm", "cheap-pills"],
+    banned=[("content", "license"), ("title", "license"), ("account", "src19")],
+    untrusted_phrases=["MIT License", "Released under"],
+    untrusted_domains=["@"],
+    trusted_domains=["ing "],
+    ending="nd.", ending_exception="and.", keep_term="xyz",
+)
+POST_COLS = ["idx", "title", "content", "keyword", "account", "url"]
+
+
 # ------------------------------------------------------------------ A5
 def q_copy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.copy_ratio(fixtures.pairs(spark, sf_dir), "pair_id", "article", "post", stopwords=STOPWORDS)
 
 
+# ------------------------------------------------------------------ cleaning
+def q_clean_posts(spark, sf_dir):
+    return clean.clean_posts(fixtures.posts(spark, sf_dir), CLEAN).select(*POST_COLS)
+
+
+def q_clean_stage_counts(spark, sf_dir):
+    return clean.stage_counts(fixtures.posts(spark, sf_dir), CLEAN)
+
+
+def q_removed_posts(spark, sf_dir):
+    return clean.removed_posts(fixtures.posts(spark, sf_dir), CLEAN).select("idx", "stage")
+
+
+def q_title_prefix(spark, sf_dir):
+    return fixtures.posts(spark, sf_dir).select("idx", tx.preprocess_title("title").alias("title"))
+
+
+def q_url_exclusion(spark, sf_dir):
+    return flt.exclude_urls(fixtures.posts(spark, sf_dir), CLEAN.excluded_urls).select("idx", "url")
+
+
+def q_keyword_filter(spark, sf_dir):
+    return flt.keep_keyword_posts(fixtures.posts(spark, sf_dir)).select("idx", "keyword")
+
+
+def q_banned_terms(spark, sf_dir):
+    return flt.drop_banned(fixtures.posts(spark, sf_dir), CLEAN.banned).select("idx", "account")
+
+
+def q_trust_filter(spark, sf_dir):
+    p = fixtures.posts(spark, sf_dir)
+    flag = flt.untrusted_flag(CLEAN.untrusted_phrases, CLEAN.untrusted_domains, CLEAN.trusted_domains)
+    return p.select("idx", flag.alias("removed"))
+
+
+def q_ending_filter(spark, sf_dir):
+    p = fixtures.posts(spark, sf_dir).withColumn("title", tx.preprocess_title("title"))
+    return p.select("idx", flt.ending_flag(CLEAN.ending, CLEAN.ending_exception, CLEAN.keep_term).alias("removed"))
+
+
+def q_column_counts(spark, sf_dir):
+    return flt.non_null_counts(fixtures.posts(spark, sf_dir), POST_COLS)
+
+
+_STAGE = oracle.clean_stage(oracle.POSTS_V, CLEAN)
+_P = oracle.POSTS_V
+
 SQL = {
     "copy_ratio": oracle.copy_ratio(oracle.PAIRS_V, "pair_id", STOPWORDS),
+    "clean_posts": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
+    "clean_stage_counts": f"""
+        SELECT count(*) AS total, count_if(stage <> 1) AS after_url, count_if(stage = 2) AS removed_search,
+               count_if(stage = 0 OR stage >= 3) AS after_search, count_if(stage = 3) AS removed_untrusted,
+               count_if(stage = 0 OR stage = 4) AS kept_untrusted, count_if(stage = 4) AS removed_ending,
+               count_if(stage = 0) AS kept
+        FROM ({_STAGE}) s""",
+    "removed_posts": f"SELECT idx, stage FROM ({_STAGE}) s WHERE stage <> 0",
+    "title_prefix": f"SELECT idx, split_part(title, '&keyword=', 1) AS title FROM ({_P}) p",
+    "url_exclusion": f"SELECT idx, url FROM ({_P}) p WHERE NOT "
+                     + oracle.contains_any("coalesce(url, 'None')", CLEAN.excluded_urls),
+    "keyword_filter": f"""SELECT idx, keyword FROM ({_P}) p
+        WHERE coalesce(contains(lower(coalesce(title, 'nan')), lower(keyword))
+                       OR contains(lower(coalesce(content, 'nan')), lower(keyword)), FALSE)""",
+    "banned_terms": f"SELECT idx, account FROM ({_P}) p WHERE NOT ("
+                    + " OR ".join(f"regexp_matches(coalesce({c}, ''), {oracle.q(t)}, 'i')" for c, t in CLEAN.banned)
+                    + ")",
+    "trust_filter": f"""SELECT idx, (({oracle.contains_any("coalesce(content, 'nan')", CLEAN.untrusted_phrases)}
+                         OR {oracle.contains_any("coalesce(content, 'nan')", CLEAN.untrusted_domains)})
+                         AND NOT {oracle.contains_any("coalesce(content, 'nan')", CLEAN.trusted_domains)}) AS removed
+                       FROM ({_P}) p""",
+    "ending_filter": f"""SELECT idx,
+        ((NOT coalesce(contains(t, 'nd.'), FALSE) OR coalesce(contains(t, 'and.'), FALSE))
+         AND (NOT coalesce(contains(content, 'nd.'), FALSE) OR coalesce(contains(content, 'and.'), FALSE))
+         AND NOT coalesce(contains(t, 'xyz'), FALSE) AND NOT coalesce(contains(content, 'xyz'), FALSE)) AS removed
+        FROM (SELECT idx, split_part(title, '&keyword=', 1) AS t, content FROM ({_P}) p0) p""",
+    "column_counts": f"""SELECT count(idx) AS idx, count(title) AS title, count(content) AS content,
+        count(keyword) AS keyword, count(account) AS account, count(url) AS url FROM ({_P}) p""",
 }
 
 QUERIES = {
     "copy_ratio": q_copy_ratio,
+    "clean_posts": q_clean_posts,
+    "clean_stage_counts": q_clean_stage_counts,
+    "removed_posts": q_removed_posts,
+    "title_prefix": q_title_prefix,
+    "url_exclusion": q_url_exclusion,
+    "keyword_filter": q_keyword_filter,
+    "banned_terms": q_banned_terms,
+    "trust_filter": q_trust_filter,
+    "ending_filter": q_ending_filter,
+    "column_counts": q_column_counts,
 }

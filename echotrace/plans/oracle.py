@@ -140,3 +140,34 @@ c AS (
          LEFT JOIN sh ON sh.pair = p.{key})
 SELECT {key}, cosine, round_even(cosine, 3) AS copy_ratio FROM c
 """
+
+
+# ------------------------------------------------------------------ cleaning
+def contains_any(expr: str, values) -> str:
+    vals = [str(v) for v in values if v is not None]
+    if not vals:
+        return "FALSE"
+    return "(" + " OR ".join(f"coalesce(contains({expr}, {q(v)}), FALSE)" for v in vals) + ")"
+
+
+def clean_stage(posts_sql: str, p) -> str:
+    """Posts with the ``stage`` column of ``echotrace.plans.clean.flag_posts``."""
+    body = "coalesce(CAST(content AS VARCHAR), 'nan')"
+    kw = ("coalesce(contains(lower(coalesce(CAST(title AS VARCHAR), 'nan')), lower(keyword)) "
+          "OR contains(lower(coalesce(CAST(content AS VARCHAR), 'nan')), lower(keyword)), FALSE)")
+    banned = " OR ".join(f"regexp_matches(coalesce({c}, ''), {q(t)}, 'i')" for c, t in p.banned) or "FALSE"
+
+    def has(c, s):
+        return f"coalesce(contains({c}, {q(s)}), FALSE)"
+    untrusted = (f"(({contains_any(body, p.untrusted_phrases)} OR {contains_any(body, p.untrusted_domains)}) "
+                 f"AND NOT {contains_any(body, p.trusted_domains)})")
+    ending = (f"((NOT {has('title', p.ending)} OR {has('title', p.ending_exception)}) "
+              f"AND (NOT {has('content', p.ending)} OR {has('content', p.ending_exception)}) "
+              f"AND NOT {has('title', p.keep_term)} AND NOT {has('content', p.keep_term)})")
+    url_out = contains_any("coalesce(url, 'None')", p.excluded_urls)
+    return f"""
+SELECT *, CASE WHEN {url_out} THEN 1 WHEN (NOT {kw}) OR ({banned}) THEN 2
+               WHEN {untrusted} THEN 3 WHEN {ending} THEN 4 ELSE 0 END AS stage
+FROM (SELECT idx, split_part(title, '&keyword=', 1) AS title, content, keyword, account, url
+      FROM ({posts_sql}) p0) p1
+"""
