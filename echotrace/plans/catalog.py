@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from echotrace.functions import text as tx
 from echotrace.operators import filters as flt
 from echotrace.operators import score
-from echotrace.plans import clean, fixtures, oracle
+from echotrace.operators import retrieve
+from echotrace.plans import clean, fixtures, match, oracle
 
 # Parameters of the Latin fixtures (small literal lists, see FIXTURES.md).
 STOPWORDS = ["a", "an", "the", "of", "and", "to", "in", "is", "le", "la", "les", "de", "des", "et",
@@ -30,6 +31,19 @@ CLEAN = clean.CleanParams(
 )
 POST_COLS = ["idx", "title", "content", "keyword", "account", "url"]
 
+MATCH = match.MatchParams(
+    k=5, max_df=20, stopwords=STOPWORDS,
+    excluded_domains=["src7.example.com"],
+    portal="portal.example",
+    channels={"n.news.portal.example": ["001", "003", "005"],
+              "sports.portal.example": ["002"],
+              "entertain.portal.example": ["004"]},
+)
+
+
+def _match_inputs(spark, sf_dir):
+    return fixtures.posts(spark, sf_dir), fixtures.articles(spark, sf_dir), fixtures.dictionary(spark, sf_dir)
+
 
 # ------------------------------------------------------------------ A5
 def q_copy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +94,54 @@ def q_column_counts(spark, sf_dir):
     return flt.non_null_counts(fixtures.posts(spark, sf_dir), POST_COLS)
 
 
+# ------------------------------------------------------------------ matching
+def q_search_queries(spark, sf_dir):
+    posts, _, d = _match_inputs(spark, sf_dir)
+    return retrieve.search_queries(posts, d, noun_prefix=MATCH.noun_prefix)
+
+
+def q_retrieve_top5(spark, sf_dir):
+    posts, arts, d = _match_inputs(spark, sf_dir)
+    qs = retrieve.search_queries(posts, d, noun_prefix=MATCH.noun_prefix)
+    return retrieve.top_k(qs, arts.select("article_id", "body"), k=MATCH.k, max_df=MATCH.max_df,
+                          stopwords=MATCH.stopwords)
+
+
+def q_match_candidates(spark, sf_dir):
+    posts, arts, d = _match_inputs(spark, sf_dir)
+    return match.scored_candidates(posts, arts, d, MATCH).select(
+        "idx", "cand_pos", "article_id", "link", "cosine", "copy_ratio")
+
+
+def q_match_posts(spark, sf_dir):
+    posts, arts, d = _match_inputs(spark, sf_dir)
+    return match.match_posts(posts, arts, d, MATCH)
+
+
+def q_match_stats(spark, sf_dir):
+    return match.bucket_stats(q_match_posts(spark, sf_dir))
+
+
+FLAGSHIP = q_match_posts
+
 _STAGE = oracle.clean_stage(oracle.POSTS_V, CLEAN)
 _P = oracle.POSTS_V
 
+_DICT = oracle.dict_v()
+_QS = oracle.search_queries(oracle.POSTS_V, _DICT, MATCH.noun_prefix)
+_SCORED = oracle.match_scored(oracle.POSTS_V, oracle.ARTICLES_V, _DICT, MATCH)
+_MATCH = f"SELECT idx, article_link, copy_ratio FROM ({_SCORED}) m WHERE is_best"
+
 SQL = {
+    "search_queries": _QS,
+    "retrieve_top5": oracle.top_k(_QS, f"SELECT article_id, body FROM ({oracle.ARTICLES_V}) a0",
+                                  MATCH.stopwords, MATCH.k, MATCH.exclude_self),
+    "match_candidates": f"SELECT idx, CAST(cand_pos AS INTEGER) AS cand_pos, article_id, link, cosine, copy_ratio "
+                        f"FROM ({_SCORED}) m WHERE NOT is_best",
+    "match_posts": _MATCH,
+    "match_stats": f"""SELECT count_if(copy_ratio > 0) AS matched,
+        count_if(copy_ratio >= 0.5) - count_if(copy_ratio >= 0.9) AS ge50, count_if(copy_ratio >= 0.9) AS ge90,
+        count_if(copy_ratio > 0) - count_if(copy_ratio >= 0.5) AS gt0 FROM ({_MATCH}) m""",
     "copy_ratio": oracle.copy_ratio(oracle.PAIRS_V, "pair_id", STOPWORDS),
     "clean_posts": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
     "clean_stage_counts": f"""
@@ -116,6 +174,11 @@ SQL = {
 }
 
 QUERIES = {
+    "search_queries": q_search_queries,
+    "retrieve_top5": q_retrieve_top5,
+    "match_candidates": q_match_candidates,
+    "match_posts": q_match_posts,
+    "match_stats": q_match_stats,
     "copy_ratio": q_copy_ratio,
     "clean_posts": q_clean_posts,
     "clean_stage_counts": q_clean_stage_counts,

@@ -171,3 +171,123 @@ SELECT *, CASE WHEN {url_out} THEN 1 WHEN (NOT {kw}) OR ({banned}) THEN 2
 FROM (SELECT idx, split_part(title, '&keyword=', 1) AS title, content, keyword, account, url
       FROM ({posts_sql}) p0) p1
 """
+
+
+# ------------------------------------------------------------------ matching
+def _tok(expr: str, stopwords) -> str:
+    return score_tokens(expr, stopwords)
+
+
+def search_queries(posts_sql: str, dict_sql: str, noun_prefix: str = "n") -> str:
+    """``(idx, q_pos, query)`` like ``retrieve.search_queries``."""
+    first, last = first_last_sentence("content_c")
+    tr = lambda e: f"coalesce(substr({e}, 1, 100), '')"
+    nouns_tok = ws_tokens(f"lower({normalize_for_score('title_q')})")
+    return f"""
+WITH base AS (
+  SELECT idx, {clean_text('title')} AS title_c, {clean_text('content')} AS content_c,
+         {clean_text('keyword')} AS press_c FROM ({posts_sql}) p),
+sq AS (
+  SELECT idx, press_c, {tr(clean_text('title_c'))} AS title_q,
+         {tr(clean_text(first))} AS first_q, {tr(clean_text("''"))} AS second_q,
+         {tr(clean_text(last))} AS last_q FROM base),
+tt AS (SELECT idx, unnest(range(len(l))) AS pos, unnest(l) AS surface
+       FROM (SELECT idx, {nouns_tok} AS l FROM sq) x),
+kw AS (SELECT tt.idx, array_to_string(list(tt.surface ORDER BY tt.pos)[1:5], ' ') AS keywords
+       FROM tt JOIN ({dict_sql}) d ON d.surface = tt.surface
+       WHERE starts_with(d.tag, {q(noun_prefix)}) GROUP BY tt.idx),
+slots AS (
+  SELECT sq.idx, s.slot, s.q FROM sq LEFT JOIN kw ON kw.idx = sq.idx,
+  LATERAL (SELECT * FROM (VALUES (0, sq.title_q),
+                  (1, {tr("coalesce(kw.keywords, '')")} || ' ' || sq.press_c),
+                  (2, sq.first_q), (3, sq.second_q), (4, sq.last_q)) v(slot, q)) s
+  WHERE s.q <> ''),
+firsts AS (SELECT idx, q, min(slot) AS slot FROM slots GROUP BY idx, q)
+SELECT idx, CAST(row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS INTEGER) AS q_pos, q AS query
+FROM firsts
+"""
+
+
+def top_k(queries_sql: str, articles_sql: str, stopwords, k: int = 5, exclude_self: bool = True) -> str:
+    """Exact top-k by brute force: every query token against every article."""
+    self_cond = "AND a.article_id <> q.idx" if exclude_self else ""
+    return f"""
+WITH qs AS ({queries_sql}),
+arts AS ({articles_sql}),
+atok AS (SELECT article_id, unnest(list_distinct({_tok('body', stopwords)})) AS token FROM arts),
+dfs AS (SELECT token, count(*) AS df FROM atok GROUP BY token),
+nd AS (SELECT count(*) AS n FROM arts),
+qt AS (SELECT idx, q_pos, unnest(list_distinct({_tok('query', stopwords)})) AS token FROM qs),
+sims AS (
+  SELECT q.idx, q.q_pos, a.article_id, sum(ln((1.0 + nd.n) / (1.0 + dfs.df)) + 1.0) AS sim
+  FROM qt q JOIN atok a ON a.token = q.token JOIN dfs ON dfs.token = q.token CROSS JOIN nd
+  WHERE TRUE {self_cond}
+  GROUP BY q.idx, q.q_pos, a.article_id),
+ranked AS (
+  SELECT idx, q_pos, article_id, round(sim, 9) AS sim,
+         row_number() OVER (PARTITION BY idx, q_pos ORDER BY round(sim, 9) DESC, article_id) AS rank
+  FROM sims)
+SELECT idx, q_pos, CAST(rank AS INTEGER) AS rank, article_id, sim FROM ranked WHERE rank <= {k}
+"""
+
+
+def link_policy(link: str, body: str, excluded_domains, portal: str, channels: dict, min_len: int = 300) -> str:
+    conds = [f"coalesce({link} <> '', FALSE)", f"NOT {contains_any(link, excluded_domains)}",
+             f"coalesce(length({body}) > {min_len}, FALSE)"]
+    oid = (f"nullif(regexp_extract(coalesce(regexp_extract({link}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), "
+           f"{q('/article/(' + R.DIGIT + '{3})/' + R.DIGIT + '+')}, 1), '')")
+    ok = [f"{oid} IS NOT NULL"]
+    for marker, ids in channels.items():
+        arr = "[" + ", ".join(q(str(v)) for v in ids) + "]::VARCHAR[]"
+        ok.append(f"NOT (contains({link}, {q(marker)}) AND NOT coalesce(list_contains({arr}, {oid}), FALSE))")
+    conds.append(f"(NOT coalesce(contains({link}, {q(portal)}), FALSE) OR ({' AND '.join(ok)}))")
+    return " AND ".join(conds)
+
+
+def match_posts(posts_sql: str, articles_sql: str, dict_sql: str, p) -> str:
+    """``(idx, article_link, copy_ratio)`` for every post, like ``match.match_posts``;
+    also exposes the CTE ``scored`` for the per-candidate query."""
+    return f"SELECT idx, article_link, copy_ratio FROM ({match_scored(posts_sql, articles_sql, dict_sql, p)}) m WHERE is_best"
+
+
+def match_scored(posts_sql: str, articles_sql: str, dict_sql: str, p) -> str:
+    qs = search_queries(posts_sql, dict_sql, p.noun_prefix)
+    hits = top_k(qs, f"SELECT article_id, body FROM ({articles_sql}) a0", p.stopwords, p.k, p.exclude_self)
+    sw = p.stopwords
+    return f"""
+WITH hits AS ({hits}),
+arts AS ({articles_sql}),
+pol AS (SELECT h.idx, h.q_pos, h.rank, h.article_id, a.link FROM hits h JOIN arts a ON a.article_id = h.article_id
+        WHERE {link_policy('a.link', 'a.body', p.excluded_domains, p.portal, p.channels, p.min_body)}),
+dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx, link ORDER BY q_pos, rank) AS rn FROM pol) x
+          WHERE rn = 1),
+cand AS (SELECT idx, article_id, link,
+                row_number() OVER (PARTITION BY idx ORDER BY q_pos, rank) - 1 AS cand_pos FROM dedup),
+pt AS (SELECT idx, {clean_text('title')} || ' ' || {clean_text('content')} AS text FROM ({posts_sql}) p
+       WHERE idx IN (SELECT idx FROM cand)),
+atx AS (SELECT article_id, {clean_text('body')} AS text FROM arts WHERE article_id IN (SELECT article_id FROM cand)),
+fb AS (SELECT id, token, count(*) AS tf FROM (SELECT idx AS id, unnest({_tok('text', sw)}) AS token FROM pt) x
+       GROUP BY id, token),
+fa AS (SELECT id, token, count(*) AS tf FROM (SELECT article_id AS id, unnest({_tok('text', sw)}) AS token FROM atx) x
+       GROUP BY id, token),
+nb AS (SELECT id, count(*) AS n, sum(tf * tf) AS t FROM fb GROUP BY id),
+na AS (SELECT id, count(*) AS n, sum(tf * tf) AS t FROM fa GROUP BY id),
+sh AS (SELECT c.idx, c.cand_pos, sum(fa.tf * fb.tf) AS dot, sum(fa.tf * fa.tf) AS sa, sum(fb.tf * fb.tf) AS sb
+       FROM cand c JOIN fb ON fb.id = c.idx JOIN fa ON fa.id = c.article_id AND fa.token = fb.token
+       GROUP BY c.idx, c.cand_pos),
+sc AS (
+  SELECT c.idx, c.cand_pos, c.article_id, c.link,
+         CASE WHEN coalesce(na.n, 0) > 0 AND coalesce(nb.n, 0) > 0
+              THEN {cosine('coalesce(sh.dot, 0)', 'coalesce(sh.sa, 0)', 'na.t', 'coalesce(sh.sb, 0)', 'nb.t')}
+              ELSE 0.0 END AS cosine
+  FROM cand c LEFT JOIN na ON na.id = c.article_id LEFT JOIN nb ON nb.id = c.idx
+       LEFT JOIN sh ON sh.idx = c.idx AND sh.cand_pos = c.cand_pos),
+sr AS (SELECT *, round_even(cosine, 3) AS copy_ratio FROM sc),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY copy_ratio DESC, cand_pos) AS rn
+                        FROM sr) x WHERE rn = 1)
+SELECT sr.idx, sr.cand_pos, sr.article_id, sr.link, sr.cosine, sr.copy_ratio, FALSE AS is_best,
+       '' AS article_link FROM sr
+UNION ALL
+SELECT p.idx, NULL, NULL, NULL, NULL, coalesce(b.copy_ratio, 0.0), TRUE,
+       coalesce('=HYPERLINK("' || b.link || '")', '') FROM ({posts_sql}) p LEFT JOIN best b ON b.idx = p.idx
+"""
