@@ -20,8 +20,9 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """Python ``str.strip()``: removes Unicode whitespace at both ends.
-    Spark's ``trim`` only removes spaces."""
-    return F.regexp_replace(_c(col), R.TRIM, "")
+    Spark's one-argument ``trim`` only removes spaces; the two-argument form
+    with the whitespace set is exact and far cheaper than a regex."""
+    return F.trim(_c(col), F.lit(R.WS_STRING))
 
 
 # ---------------------------------------------------------------- P1
@@ -107,11 +108,11 @@ def normalize_punctuation(col) -> Column:
 
 # ---------------------------------------------------------------- P14 / P15
 def delete_links(col) -> Column:
-    return F.regexp_replace(_c(col), "http[^" + R.WS_CHARS + "]+", "")
+    return F.regexp_replace(_c(col), "http" + R.JAVA.non_ws + "+", "")
 
 
 def delete_mentions(col) -> Column:
-    return F.regexp_replace(_c(col), "@[^" + R.WS_CHARS + "]+", "")
+    return F.regexp_replace(_c(col), "@" + R.JAVA.non_ws + "+", "")
 
 
 # ---------------------------------------------------------------- P16 / P17

@@ -105,9 +105,12 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str, min_docs: int = 20) -> DataFrame:
-    t = tokens(spark, sf_dir)
+    d = read_table(spark, sf_dir, "documents")
+    toks = F.array_distinct(whitespace_tokens(F.lower(normalize_for_score(F.col("text")))))
     tag = (F.when(F.length("token") % 4 == 0, "ncn").when(F.length("token") % 4 == 1, "pvg")
             .when(F.length("token") % 4 == 2, "jcs").otherwise("mag"))
-    return (t.groupBy("token").agg(F.countDistinct("doc_id").alias("n_docs"))
+    # distinct per document inside the row, so one partially aggregated shuffle
+    return (d.select(F.explode(toks).alias("token"))
+             .groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
              .where(F.col("n_docs") >= min_docs)
              .select(F.col("token").alias("surface"), tag.alias("tag")))

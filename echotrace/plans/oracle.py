@@ -7,7 +7,8 @@ two sentence rules that need it are written with anchored extraction.
 
 from __future__ import annotations
 
-from echotrace.functions import regex as R
+from echotrace.functions import regex as RX
+from echotrace.functions.regex import RE2 as R
 from echotrace.operators.score import IDF_EXCLUSIVE_SQ
 
 
@@ -20,26 +21,26 @@ def rr(expr: str, pattern: str, repl: str = "") -> str:
 
 
 def strip(expr: str) -> str:
-    return rr(expr, R.TRIM)
+    return f"trim({expr}, {q(RX.WS_STRING)})"
 
 
 def clean_text(expr: str, literal_escape: bool = False) -> str:
     s = f"coalesce(CAST({expr} AS VARCHAR), 'nan')"
     out = s
-    for pattern, repl in R.CLEAN_TEXT_STEPS:
+    for pattern, repl in R.clean_text_steps():
         out = rr(out, pattern, repl)
-    out = rr(out, R.CLEAN_TEXT_TOKENS if literal_escape else R.CLEAN_TEXT_CHARSET, " ")
-    out = strip(rr(out, R.WS + "+", " "))
+    out = rr(out, RX.CLEAN_TEXT_TOKENS if literal_escape else RX.CLEAN_TEXT_CHARSET, " ")
+    out = strip(rr(out, R.ws + "+", " "))
     return f"(CASE WHEN lower({strip(s)}) = 'nan' THEN '' ELSE {out} END)"
 
 
 def normalize_for_score(expr: str) -> str:
-    s = rr(f"coalesce({expr}, '')", R.NOT_WORD_NOT_WS)
-    return strip(rr(s, R.WS + "+", " "))
+    s = rr(f"coalesce({expr}, '')", R.not_word_not_ws)
+    return strip(rr(s, R.ws + "+", " "))
 
 
 def ws_tokens(expr: str) -> str:
-    return f"list_filter(string_split_regex({strip(expr)}, {q(R.WS + '+')}), lambda t: t <> '')"
+    return f"list_filter(string_split_regex({strip(expr)}, {q(R.ws + '+')}), lambda t: t <> '')"
 
 
 def score_tokens(expr: str, stopwords=()) -> str:
@@ -62,7 +63,7 @@ def first_last_sentence(expr: str) -> tuple[str, str]:
     """First sentence and (stripped) last sentence of a one-paragraph text.
     A boundary follows ``. ! ?`` before whitespace or a Hangul syllable."""
     p = strip(expr)
-    nxt = "(?:" + R.WS + "|[가-힣])"
+    nxt = "(?:" + R.ws + "|[가-힣])"
     first = f"coalesce(nullif(regexp_extract({p}, {q('(?s)^(.*?[.!?])' + nxt)}, 1), ''), {p})"
     last_raw = f"regexp_extract({p}, {q('(?s)^.*[.!?](' + nxt + '.*)$')}, 1)"
     last = f"(CASE WHEN {last_raw} = '' THEN {strip(p)} ELSE {strip(last_raw)} END)"
@@ -235,7 +236,7 @@ def link_policy(link: str, body: str, excluded_domains, portal: str, channels: d
     conds = [f"coalesce({link} <> '', FALSE)", f"NOT {contains_any(link, excluded_domains)}",
              f"coalesce(length({body}) > {min_len}, FALSE)"]
     oid = (f"nullif(regexp_extract(coalesce(regexp_extract({link}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), "
-           f"{q('/article/(' + R.DIGIT + '{3})/' + R.DIGIT + '+')}, 1), '')")
+           f"{q('/article/(' + R.digit + '{3})/' + R.digit + '+')}, 1), '')")
     ok = [f"{oid} IS NOT NULL"]
     for marker, ids in channels.items():
         arr = "[" + ", ".join(q(str(v)) for v in ids) + "]::VARCHAR[]"
