@@ -60,20 +60,23 @@ def explode_positions(df: DataFrame, array_col: Column, pos: str = "pos", value:
 
 # ---------------------------------------------------------------- P19 / P20
 def concordance_positions(text_col, phrase) -> Column:
-    """0-based indices of whitespace words that contain ``phrase``."""
-    terms = words(text_col)
+    """0-based indices of whitespace words that contain ``phrase`` (one pass
+    over the word array)."""
+    return hit_positions(words(text_col), phrase)
+
+
+def hit_positions(terms: Column, phrase) -> Column:
     ph = phrase if isinstance(phrase, Column) else F.lit(phrase)
-    idx = F.sequence(F.lit(0), F.size(terms) - 1)
-    hits = F.filter(idx, lambda i: F.contains(F.element_at(terms, i + 1), ph))
-    return F.when(F.size(terms) > 0, hits).otherwise(F.array().cast("array<int>"))
+    marks = F.transform(terms, lambda x, i: F.when(F.contains(x, ph), i))
+    return F.filter(marks, lambda i: i.isNotNull())
 
 
 def concordance(df: DataFrame, text_col: str, phrase, width: int = 3) -> DataFrame:
     """One row per hit: ``(…, pos, context)``; context is the words
     ``[max(0, pos-width), pos+width)`` joined by one space.  Only hits are
     exploded, so a long text with few hits stays a few rows."""
-    out = (df.withColumn("_terms", words(text_col))
-             .withColumn("_hits", concordance_positions(text_col, phrase)))
+    out = df.withColumn("_terms", words(text_col))
+    out = out.withColumn("_hits", hit_positions(F.col("_terms"), phrase))
     out = out.select("*", F.explode("_hits").alias("pos"))
     start = F.greatest(F.col("pos") - width, F.lit(0))
     ctx = F.array_join(F.slice(F.col("_terms"), start + 1, F.col("pos") + width - start), " ")

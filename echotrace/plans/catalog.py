@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from echotrace.functions import text as tx
 from echotrace.operators import filters as flt
 from echotrace.operators import score
+from echotrace.functions import segment as seg
+from echotrace.operators import pages as pg
 from echotrace.operators import retrieve
+from echotrace.session import read_table
 from echotrace.plans import clean, fixtures, match, oracle
 
 # Parameters of the Latin fixtures (small literal lists, see FIXTURES.md).
@@ -124,7 +127,102 @@ def q_match_stats(spark, sf_dir):
 
 FLAGSHIP = q_match_posts
 
+
+# ------------------------------------------------------------------ pages
+FIXTURE_SELECTORS = {"example.com": "article", "example.net": "div.ad", "example.org": "article p"}
+
+
+def q_extract_bodies(spark, sf_dir):
+    return pg.extract_bodies(read_table(spark, sf_dir, "pages"))
+
+
+def q_extract_bodies_selector(spark, sf_dir):
+    return pg.extract_bodies(read_table(spark, sf_dir, "pages"), FIXTURE_SELECTORS)
+
+
+def q_long_bodies(spark, sf_dir):
+    b = pg.extract_bodies(read_table(spark, sf_dir, "pages"))
+    return b.where(F.length("body") > MATCH.min_body).select("page_id", F.length("body").alias("n_chars"))
+
+
+def q_url_keys(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", tx.url_host("url").alias("host"), tx.domain_key("url").alias("domain_key"),
+                    tx.oid_from_url("url").alias("oid"))
+
+
+def q_article_oids(spark, sf_dir):
+    a = fixtures.articles(spark, sf_dir)
+    return a.select("article_id", tx.oid_from_url("link").alias("oid"), tx.domain_key("link").alias("domain_key"))
+
+
+# ------------------------------------------------------------------ column functions
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
+
+
+def q_clean_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.clean_text("text").alias("clean"),
+                                       tx.clean_text("text", literal_escape=True).alias("clean_literal"))
+
+
+def q_normalize_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.normalize_for_score("text").alias("norm"))
+
+
+def q_first_sentences(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", seg.first_sentences("text").alias("s"))
+    return d.select("doc_id", "s.first", "s.second", "s.last")
+
+
+def q_sentences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(seg.sentences("text")).alias("s_pos", "sentence"))
+
+
+def q_words(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(seg.words("text")).alias("pos", "word"))
+
+
+def q_lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(seg.lines("text")).alias("line_pos", "line"))
+
+
+def q_concordance(spark, sf_dir):
+    return seg.concordance(_docs(spark, sf_dir).select("doc_id", "text"), "text", "the").select(
+        "doc_id", "pos", "context")
+
+
+def q_text_utils(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    hx = F.when(F.length("text") > 0, tx.char2hex("text"))
+    return d.select("doc_id", tx.normalize_punctuation("text").alias("punct"),
+                    tx.delete_links("text").alias("no_links"), tx.delete_mentions("text").alias("no_mentions"),
+                    hx.alias("first_hex"), tx.hex2char(hx).alias("first_char"),
+                    tx.truncate("text").alias("head100"),
+                    tx.safe_file_name("doc_id", F.substring_index("text", "\n", 1)).alias("file_name"))
+
+
+def q_tokens(spark, sf_dir):
+    return fixtures.tokens(spark, sf_dir)
+
+
+def q_dictionary(spark, sf_dir):
+    return fixtures.dictionary(spark, sf_dir)
+
 _STAGE = oracle.clean_stage(oracle.POSTS_V, CLEAN)
+_F1, _F2, _FL = oracle.first_sentences("text")
+_W = oracle.words("text")
+_TEXT_UTILS = f"""
+SELECT doc_id, translate(text, {oracle.q(tx.PUNCT_FROM)}, {oracle.q(tx.PUNCT_TO)}) AS punct,
+       {oracle.rr('text', 'http' + oracle.R.non_ws + '+')} AS no_links,
+       {oracle.rr('text', '@' + oracle.R.non_ws + '+')} AS no_mentions,
+       CASE WHEN length(text) > 0 THEN '0x' || lower(hex(unicode(text))) END AS first_hex,
+       CASE WHEN length(text) > 0 THEN chr(unicode(text)) END AS first_char,
+       coalesce(substr(text, 1, 100), '') AS head100,
+       printf('%03d_%s.txt', doc_id + 1,
+              substr(regexp_replace(coalesce(split_part(text, chr(10), 1), ''), '[\\\\/*?:"<>|]', '', 'g'), 1, 50))
+         AS file_name
+FROM documents"""
 _P = oracle.POSTS_V
 
 _DICT = oracle.dict_v()
@@ -133,6 +231,31 @@ _SCORED = oracle.match_scored(oracle.POSTS_V, oracle.ARTICLES_V, _DICT, MATCH)
 _MATCH = f"SELECT idx, article_link, copy_ratio FROM ({_SCORED}) m WHERE is_best"
 
 SQL = {
+    "url_keys": f"""SELECT page_id, {oracle.url_host('url')} AS host, {oracle.domain_key('url')} AS domain_key,
+        nullif(regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1),
+               '/article/(\\p{{Nd}}{{3}})/\\p{{Nd}}+', 1), '') AS oid FROM pages""",
+    "article_oids": f"""SELECT article_id,
+        nullif(regexp_extract(regexp_extract(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1),
+               '/article/(\\p{{Nd}}{{3}})/\\p{{Nd}}+', 1), '') AS oid, {oracle.domain_key('link')} AS domain_key
+        FROM ({oracle.ARTICLES_V}) a""",
+    "clean_text": f"SELECT doc_id, {oracle.clean_text('text')} AS clean, "
+                  f"{oracle.clean_text('text', literal_escape=True)} AS clean_literal FROM documents",
+    "normalize_text": f"SELECT doc_id, {oracle.normalize_for_score('text')} AS norm FROM documents",
+    "first_sentences": f"SELECT doc_id, {_F1} AS first, {_F2} AS second, {_FL} AS last FROM documents",
+    "sentences": f"""SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS s_pos, unnest(l) AS sentence
+        FROM (SELECT doc_id, {oracle.sentences('text')} AS l FROM documents) x""",
+    "words": f"""SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS word
+        FROM (SELECT doc_id, {_W} AS l FROM documents) x""",
+    "lines": f"""SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS line_pos, unnest(l) AS line
+        FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS l
+              FROM documents) x""",
+    "concordance": f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos,
+        array_to_string(list_slice(l, greatest(pos - 3, 0) + 1, pos + 3), ' ') AS context
+        FROM (SELECT doc_id, l, unnest(range(len(l))) AS pos FROM (SELECT doc_id, {_W} AS l FROM documents) a) b
+        WHERE contains(l[pos + 1], 'the')""",
+    "text_utils": _TEXT_UTILS,
+    "tokens": oracle.tokens_v(),
+    "dictionary": oracle.dict_v(),
     "search_queries": _QS,
     "retrieve_top5": oracle.top_k(_QS, f"SELECT article_id, body FROM ({oracle.ARTICLES_V}) a0",
                                   MATCH.stopwords, MATCH.k, MATCH.exclude_self),
@@ -174,6 +297,21 @@ SQL = {
 }
 
 QUERIES = {
+    "extract_bodies": q_extract_bodies,
+    "extract_bodies_selector": q_extract_bodies_selector,
+    "long_bodies": q_long_bodies,
+    "url_keys": q_url_keys,
+    "article_oids": q_article_oids,
+    "clean_text": q_clean_text,
+    "normalize_text": q_normalize_text,
+    "first_sentences": q_first_sentences,
+    "sentences": q_sentences,
+    "words": q_words,
+    "lines": q_lines,
+    "concordance": q_concordance,
+    "text_utils": q_text_utils,
+    "tokens": q_tokens,
+    "dictionary": q_dictionary,
     "search_queries": q_search_queries,
     "retrieve_top5": q_retrieve_top5,
     "match_candidates": q_match_candidates,

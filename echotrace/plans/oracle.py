@@ -292,3 +292,38 @@ UNION ALL
 SELECT p.idx, NULL, NULL, NULL, NULL, coalesce(b.copy_ratio, 0.0), TRUE,
        coalesce('=HYPERLINK("' || b.link || '")', '') FROM ({posts_sql}) p LEFT JOIN best b ON b.idx = p.idx
 """
+
+
+# ------------------------------------------------------------------ segmentation
+def words(expr: str) -> str:
+    return ws_tokens(f"coalesce({expr}, '')")
+
+
+def first_sentences(expr: str) -> tuple[str, str, str]:
+    """(first, second, last) of ``segment.first_sentences`` for any text."""
+    paras = f"string_split_regex({strip(f'coalesce({expr}, chr(0))')}, '\\n{{2,}}')"
+    # chr(0) stands for a missing text and never occurs in real text
+    p1 = f"(CASE WHEN {expr} IS NULL THEN '' ELSE {paras}[1] END)"
+    p2 = f"(CASE WHEN {expr} IS NULL OR len({paras}) < 2 THEN '' ELSE {paras}[2] END)"
+    pl = f"(CASE WHEN {expr} IS NULL THEN '' ELSE {paras}[-1] END)"
+    f1, _ = first_last_sentence(p1)
+    f2, _ = first_last_sentence(p2)
+    _, last = first_last_sentence(pl)
+    return (f"(CASE WHEN {p1} = '' THEN '' ELSE {f1} END)",
+            f"(CASE WHEN {p2} = '' THEN '' ELSE {f2} END)",
+            f"(CASE WHEN {pl} = '' THEN '' ELSE {last} END)")
+
+
+def sentences(expr: str) -> str:
+    """P10 without look-behind: mark each gap after . ! ? with NUL, split."""
+    marked = f"regexp_replace(coalesce({expr}, ''), {q('([.!?])' + R.ws + '+')}, '\\1' || chr(0), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(0)), lambda s: {strip('s')}), lambda s: s <> '')"
+
+
+def url_host(expr: str) -> str:
+    return f"lower(coalesce(regexp_extract({expr}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
+
+
+def domain_key(expr: str) -> str:
+    parts = f"string_split({url_host(expr)}, '.')"
+    return f"(CASE WHEN len({parts}) >= 2 THEN array_to_string({parts}[-2:], '.') ELSE array_to_string({parts}, '.') END)"
