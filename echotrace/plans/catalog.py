@@ -16,7 +16,12 @@ from echotrace.operators import score
 from echotrace.functions import segment as seg
 from echotrace.operators import pages as pg
 from echotrace.operators import retrieve
+from echotrace.operators import tags as tg
 from echotrace.session import read_table
+from echotrace.sources import readers as rd
+from echotrace.sources.reference_data import HANNANUM_TAGSET, TAG_HIERARCHY_LINES
+from echotrace.functions.text import normalize_for_score as _norm
+from echotrace.functions.tokens import whitespace_tokens as _wst
 from echotrace.plans import clean, fixtures, match, oracle
 
 # Parameters of the Latin fixtures (small literal lists, see FIXTURES.md).
@@ -209,6 +214,104 @@ def q_tokens(spark, sf_dir):
 def q_dictionary(spark, sf_dir):
     return fixtures.dictionary(spark, sf_dir)
 
+# ------------------------------------------------------------------ tags
+def _doc_tokens(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", _wst(F.lower(_norm("text"))).alias("toks"))
+
+
+def q_tag_tokens(spark, sf_dir):
+    return tg.tag_with_dictionary(fixtures.tokens(spark, sf_dir), fixtures.dictionary(spark, sf_dir))
+
+
+def q_noun_tokens(spark, sf_dir):
+    t = tg.tag_with_dictionary(fixtures.tokens(spark, sf_dir), fixtures.dictionary(spark, sf_dir), default_tag=None)
+    return tg.noun_rows(t, prefix="n").select("doc_id", "pos", "token")
+
+
+def q_tag_classes(spark, sf_dir):
+    t = q_tag_tokens(spark, sf_dir)
+    ts = rd.tagset_frame(spark, HANNANUM_TAGSET, "hannanum")
+    g = (t.groupBy("tag").agg(F.count(F.lit(1)).alias("n_tokens"))
+          .withColumn("tag22", tg.tag_class("tag", 22)).withColumn("tag9", tg.tag_class("tag", 9)))
+    g = tg.describe_tags(g, ts, "tag22")
+    return g.select("tag", "tag22", "tag9", F.col("description").alias("desc22"), "n_tokens")
+
+
+def q_joined_forms(spark, sf_dir):
+    t = q_tag_tokens(spark, sf_dir)
+    j = t.select("doc_id", "pos", tg.joined("token", "tag").alias("joined"))
+    back = tg.split_last_slash("joined")
+    return j.select("doc_id", "pos", "joined", back["morph"].alias("morph"), back["tag"].alias("tag"))
+
+
+def _tab_render(toks):
+    lines = F.transform(toks, lambda w, i: F.when(i % 7 == 6, w).otherwise(
+        F.concat(w, F.lit("\t"), F.when(F.length(w) % 2 == 0, "NNG").otherwise("VV"), F.lit(",x,y"))))
+    return F.concat(F.array_join(lines, "\n"), F.lit("\nEOS\n"))
+
+
+def q_tab_parse(spark, sf_dir):
+    d = _doc_tokens(spark, sf_dir).select("doc_id", _tab_render(F.col("toks")).alias("out"))
+    return tg.parse_tab_output(d, "doc_id", "out").withColumnRenamed("id", "doc_id")
+
+
+def _block_render(toks):
+    def block(w):
+        split2 = F.concat(F.substring(w, F.lit(1), F.length(w) - 2), F.lit("/ncn+"),
+                          F.substring(w, -2, 2), F.lit("/jcs"))
+        alts = F.concat(w, F.lit("\n\t"), w, F.lit("/ncn"),
+                        F.when(F.length(w) >= 4, F.concat(F.lit("\n\t"), split2)).otherwise(F.lit("")))
+        return alts
+    return F.array_join(F.transform(toks, block), "\n\n")
+
+
+def q_block_parse(spark, sf_dir):
+    d = _doc_tokens(spark, sf_dir).select("doc_id", _block_render(F.col("toks")).alias("out"))
+    return tg.parse_block_output(d, "doc_id", "out").withColumnRenamed("id", "doc_id")
+
+
+def _analyzed_lines(dct):
+    s = F.col("surface")
+    line = F.concat(s, F.lit("\t"), s, F.lit("/"), F.col("tag"),
+                    F.when(F.length(s) >= 4, F.concat(F.lit("^"), F.substring(s, F.lit(1), F.length(s) - 2), F.lit("/ncn+"),
+                                                      F.substring(s, -2, 2), F.lit("/jcs"))).otherwise(F.lit("")))
+    return dct.select(line.alias("value"))
+
+
+def q_token_analyses(spark, sf_dir):
+    an = rd.parse_analyzed_dictionary(_analyzed_lines(fixtures.dictionary(spark, sf_dir)))
+    j = tg.candidate_analyses(fixtures.tokens(spark, sf_dir), an)
+    return (j.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"),
+                                  F.countDistinct("doc_id", "pos", "alt_no").alias("n_alternatives"),
+                                  F.count_if(F.col("a_tag") == "jcs").alias("n_jcs")))
+
+
+def q_user_dictionary(spark, sf_dir):
+    dct = fixtures.dictionary(spark, sf_dir)
+    lines = dct.select(F.when(F.length("surface") % 10 == 0, F.col("surface"))
+                        .otherwise(F.concat("surface", F.lit("\t"), "tag")).alias("value"))
+    return rd.parse_user_dictionary(lines)
+
+
+def q_tag_groups(spark, sf_dir):
+    edges = rd.parse_tag_hierarchy(rd.lines_frame(spark, TAG_HIERARCHY_LINES))
+    cl = tg.closure(edges)
+    counts = q_tag_tokens(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return counts.join(cl.select(F.col("member").alias("tag"), "group", "is_leaf"), "tag").select(
+        "tag", "group", "is_leaf", "n_tokens")
+
+
+def q_line_groups(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(seg.lines("text")).alias("line_pos", "line"))
+    t = d.select("doc_id", "line_pos", F.posexplode(_wst(F.lower(_norm("line")))).alias("pos", "token"))
+    t = tg.tag_with_dictionary(t, fixtures.dictionary(spark, sf_dir))
+    g = tg.group_tokens(t.withColumnRenamed("token", "morph"), ["doc_id", "line_pos"], "pos", ["morph", "tag"])
+    return g.select("doc_id", "line_pos", F.size("tokens").alias("n_tokens"),
+                    F.array_join(F.transform("tokens", lambda x: F.concat(x["morph"], F.lit("/"), x["tag"])), " ")
+                     .alias("joined"))
+
+
 _STAGE = oracle.clean_stage(oracle.POSTS_V, CLEAN)
 _F1, _F2, _FL = oracle.first_sentences("text")
 _W = oracle.words("text")
@@ -230,7 +333,63 @@ _QS = oracle.search_queries(oracle.POSTS_V, _DICT, MATCH.noun_prefix)
 _SCORED = oracle.match_scored(oracle.POSTS_V, oracle.ARTICLES_V, _DICT, MATCH)
 _MATCH = f"SELECT idx, article_link, copy_ratio FROM ({_SCORED}) m WHERE is_best"
 
+_TOKV = oracle.tokens_v()
+_TAGGED = f"SELECT t.doc_id, t.pos, t.token, coalesce(d.tag, 'ncn') AS tag FROM ({_TOKV}) t LEFT JOIN ({_DICT}) d ON d.surface = t.token"
+_DOCTOK = f"SELECT doc_id, {oracle.ws_tokens(f'lower({oracle.normalize_for_score(chr(116) + chr(101) + chr(120) + chr(116))})')} AS toks FROM documents"
+_TAGSET_VALUES = ", ".join(f"({oracle.q(k)}, {oracle.q(v)})" for k, v in HANNANUM_TAGSET.items())
+_EDGES = " UNION ALL ".join(
+    f"SELECT {oracle.q(parts[1])} AS parent, {oracle.q(c)} AS child"
+    for parts in (ln.split() for ln in TAG_HIERARCHY_LINES.splitlines() if ln.startswith("TSET"))
+    for c in parts[2:])
+
+
+def _cls(col, n):
+    return (f"(CASE WHEN lower({col}) IN ('unk', 'iwg') OR {col} IS NULL OR {col} = '' THEN NULL "
+            f"WHEN starts_with(lower({col}), 's') THEN 'S' WHEN starts_with(lower({col}), 'f') THEN 'F' "
+            f"ELSE upper(substr(lower({col}), 1, {n})) END)")
+
+
 SQL = {
+    "tag_tokens": _TAGGED,
+    "noun_tokens": f"SELECT t.doc_id, t.pos, t.token FROM ({_TOKV}) t JOIN ({_DICT}) d ON d.surface = t.token "
+                   f"WHERE starts_with(d.tag, 'n')",
+    "tag_classes": f"""SELECT g.tag, {_cls('g.tag', 2)} AS tag22, {_cls('g.tag', 1)} AS tag9,
+        ts.description AS desc22, g.n_tokens
+        FROM (SELECT tag, count(*) AS n_tokens FROM ({_TAGGED}) t GROUP BY tag) g
+        LEFT JOIN (VALUES {_TAGSET_VALUES}) ts(tag, description) ON ts.tag = {_cls('g.tag', 2)}""",
+    "joined_forms": f"SELECT doc_id, pos, token || '/' || tag AS joined, token AS morph, tag FROM ({_TAGGED}) t",
+    "tab_parse": f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos,
+        CASE WHEN pos % 7 = 6 THEN '' ELSE w END AS morph,
+        CASE WHEN pos % 7 = 6 THEN 'SY' WHEN length(w) % 2 = 0 THEN 'NNG' ELSE 'VV' END AS tag
+        FROM (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS w FROM ({_DOCTOK}) a) b""",
+    "block_parse": f"""
+        WITH w AS (SELECT doc_id, unnest(range(len(toks))) AS block_pos, unnest(toks) AS w FROM ({_DOCTOK}) a)
+        SELECT doc_id, CAST(block_pos AS BIGINT) AS block_pos, w AS surface, 0 AS alt_no, 0 AS m_pos,
+               w AS morph, 'ncn' AS tag FROM w
+        UNION ALL SELECT doc_id, block_pos, w, 1, 0, substr(w, 1, length(w) - 2), 'ncn' FROM w WHERE length(w) >= 4
+        UNION ALL SELECT doc_id, block_pos, w, 1, 1, substr(w, length(w) - 1, 2), 'jcs' FROM w WHERE length(w) >= 4""",
+    "token_analyses": f"""
+        WITH an AS (SELECT surface, 0 AS alt_no, tag AS a_tag FROM ({_DICT}) d
+                    UNION ALL SELECT surface, 1, 'ncn' FROM ({_DICT}) d WHERE length(surface) >= 4
+                    UNION ALL SELECT surface, 1, 'jcs' FROM ({_DICT}) d WHERE length(surface) >= 4)
+        SELECT t.token, count(*) AS n_rows, count(DISTINCT (t.doc_id, t.pos, an.alt_no)) AS n_alternatives,
+               count_if(an.a_tag = 'jcs') AS n_jcs
+        FROM ({_TOKV}) t JOIN an ON an.surface = t.token GROUP BY t.token""",
+    "user_dictionary": f"SELECT surface, CASE WHEN length(surface) % 10 = 0 THEN 'NNP' ELSE tag END AS tag FROM ({_DICT}) d",
+    "tag_groups": f"""
+        WITH RECURSIVE e AS ({_EDGES}),
+        c(parent, child) AS (SELECT parent, child FROM e UNION SELECT c.parent, e.child FROM c JOIN e ON e.parent = c.child)
+        SELECT t.tag, c.parent AS "group", c.child NOT IN (SELECT parent FROM e) AS is_leaf, t.n_tokens
+        FROM (SELECT tag, count(*) AS n_tokens FROM ({_TAGGED}) x GROUP BY tag) t JOIN c ON c.child = t.tag""",
+    "line_groups": f"""
+        WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS line_pos, unnest(ls) AS line
+                   FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS ls
+                         FROM documents) a),
+        t AS (SELECT doc_id, line_pos, unnest(range(len(tk))) AS pos, unnest(tk) AS token
+              FROM (SELECT doc_id, line_pos, {oracle.ws_tokens(f"lower({oracle.normalize_for_score('line')})")} AS tk FROM l) b)
+        SELECT t.doc_id, CAST(t.line_pos AS INTEGER) AS line_pos, count(*) AS n_tokens,
+               string_agg(t.token || '/' || coalesce(d.tag, 'ncn'), ' ' ORDER BY t.pos) AS joined
+        FROM t LEFT JOIN ({_DICT}) d ON d.surface = t.token GROUP BY t.doc_id, t.line_pos""",
     "url_keys": f"""SELECT page_id, {oracle.url_host('url')} AS host, {oracle.domain_key('url')} AS domain_key,
         nullif(regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1),
                '/article/(\\p{{Nd}}{{3}})/\\p{{Nd}}+', 1), '') AS oid FROM pages""",
@@ -297,6 +456,16 @@ SQL = {
 }
 
 QUERIES = {
+    "tag_tokens": q_tag_tokens,
+    "noun_tokens": q_noun_tokens,
+    "tag_classes": q_tag_classes,
+    "joined_forms": q_joined_forms,
+    "tab_parse": q_tab_parse,
+    "block_parse": q_block_parse,
+    "token_analyses": q_token_analyses,
+    "user_dictionary": q_user_dictionary,
+    "tag_groups": q_tag_groups,
+    "line_groups": q_line_groups,
     "extract_bodies": q_extract_bodies,
     "extract_bodies_selector": q_extract_bodies_selector,
     "long_bodies": q_long_bodies,
