@@ -40,7 +40,7 @@ CLEAN = clean.CleanParams(
 POST_COLS = ["idx", "title", "content", "keyword", "account", "url"]
 
 MATCH = match.MatchParams(
-    k=5, max_df=20, stopwords=STOPWORDS,
+    k=5, stopwords=STOPWORDS,
     excluded_domains=["src7.example.com"],
     portal="portal.example",
     channels={"n.news.portal.example": ["001", "003", "005"],

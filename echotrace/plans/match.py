@@ -20,12 +20,13 @@ from echotrace.functions.text import clean_text, hyperlink, round_ratio
 from echotrace.functions.tokens import score_tokens
 from echotrace.operators import links, retrieve
 from echotrace.operators.score import pair_cosine, term_frequencies
+from echotrace.session import cut_lineage
 
 
 @dataclass
 class MatchParams:
     k: int = 5
-    max_df: int = 20
+    max_df: int | None = None
     stopwords: list = field(default_factory=list)
     excluded_domains: object = field(default_factory=list)
     portal: str = "naver.com"
@@ -47,7 +48,7 @@ def candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p:
 
 def scored_candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams) -> DataFrame:
     """Candidates with ``cosine`` and the rounded ``copy_ratio``."""
-    cand = candidates(posts, articles, dictionary, p).select("idx", "cand_pos", "article_id", "link")
+    cand = cut_lineage(candidates(posts, articles, dictionary, p).select("idx", "cand_pos", "article_id", "link"))
     post_text = posts.select("idx", F.concat(clean_text("title"), F.lit(" "), clean_text("content")).alias("text"))
     post_text = post_text.join(cand.select("idx").distinct(), "idx", "left_semi")
     art_text = (articles.join(cand.select("article_id").distinct(), "article_id", "left_semi")
