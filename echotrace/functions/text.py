@@ -130,15 +130,12 @@ def hex2char(col) -> Column:
 # ---------------------------------------------------------------- P18
 def partition_array(arr_col, idx_col) -> Column:
     """Split an array at ascending 0-based indices: ``[a[i:j] for i, j in
-    zip([0]+idx, idx+[None])]``."""
+    zip([0]+idx, idx+[None])]``.  The lambda walks the (start, end) pairs
+    only; pass materialised columns so the array is not rebuilt per group."""
     arr, idx = _c(arr_col), _c(idx_col)
-    starts = F.concat(F.array(F.lit(0)), idx)
-    ends = F.concat(idx, F.array(F.size(arr)))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(idx)),
-        lambda k: F.slice(arr, F.element_at(starts, k + 1) + 1,
-                          F.greatest(F.element_at(ends, k + 1) - F.element_at(starts, k + 1), F.lit(0))),
-    )
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), idx).alias("s"),
+                          F.concat(idx, F.array(F.size(arr))).alias("e"))
+    return F.transform(bounds, lambda b: F.slice(arr, b["s"] + 1, F.greatest(b["e"] - b["s"], F.lit(0))))
 
 
 # ---------------------------------------------------------------- P24

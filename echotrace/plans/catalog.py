@@ -15,7 +15,9 @@ from echotrace.operators import filters as flt
 from echotrace.operators import score
 from echotrace.functions import segment as seg
 from echotrace.operators import pages as pg
+from echotrace.operators import links as lk
 from echotrace.operators import retrieve
+from echotrace.sources import sinks
 from echotrace.operators import tags as tg
 from echotrace.session import read_table
 from echotrace.sources import readers as rd
@@ -133,6 +135,48 @@ def q_match_stats(spark, sf_dir):
 FLAGSHIP = q_match_posts
 
 
+def q_match_report(spark, sf_dir):
+    return match.with_stats_rows(q_match_posts(spark, sf_dir)).select(
+        "idx", "article_link", "copy_ratio", "stat_pos", "label", "count_text")
+
+
+def q_match_evidence(spark, sf_dir):
+    """Evidence text of every matched post (title, link and article body)."""
+    posts, arts, d = _match_inputs(spark, sf_dir)
+    best = match.best_matches(match.scored_candidates(posts, arts, d, MATCH))
+    m = (best.join(posts.select("idx", tx.clean_text("title").alias("title")), "idx")
+             .join(arts.select("link", tx.clean_text("body").alias("body")), "link"))
+    return sinks.evidence(m).withColumn("idx", F.col("file_name").substr(1, 3))
+
+
+def q_link_policy(spark, sf_dir):
+    a = fixtures.articles(spark, sf_dir)
+    return a.select("article_id",
+                    lk.link_allowed("link", MATCH.excluded_domains).alias("link_ok"),
+                    lk.channel_allowed("link", MATCH.portal, MATCH.channels).alias("channel_ok"),
+                    lk.body_long_enough("body", MATCH.min_body).alias("body_ok"))
+
+
+def q_title_keywords(spark, sf_dir):
+    posts, _, d = _match_inputs(spark, sf_dir)
+    t = posts.select("idx", tx.truncate(tx.clean_text(tx.clean_text("title"))).alias("title_q"))
+    return retrieve.title_nouns(t, d, "idx", "title_q", MATCH.noun_prefix)
+
+
+def q_word_groups(spark, sf_dir):
+    """The words of every document split after each word that ends a
+    sentence (indices from the data)."""
+    d = _docs(spark, sf_dir).select("doc_id", seg.words("text").alias("w"))
+    # positions after each word ending a sentence, computed in one pass
+    d = d.withColumn("ends", F.filter(F.transform("w", lambda x, i: F.when(x.rlike("[.!?]$"), i + 1)),
+                                      lambda i: i.isNotNull() & (i < F.size("w"))))
+    g = d.select("doc_id", tx.partition_array("w", "ends").alias("groups"))
+    # outer: no inferred size() filter that would re-derive the groups per row;
+    # there is always at least one group, so the rows are the same
+    return g.select("doc_id", F.posexplode_outer("groups").alias("g_pos", "words")).select(
+        "doc_id", "g_pos", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
+
+
 # ------------------------------------------------------------------ pages
 FIXTURE_SELECTORS = {"example.com": "article", "example.net": "div.ad", "example.org": "article p"}
 
@@ -421,6 +465,28 @@ SQL = {
     "match_candidates": f"SELECT idx, CAST(cand_pos AS INTEGER) AS cand_pos, article_id, link, cosine, copy_ratio "
                         f"FROM ({_SCORED}) m WHERE NOT is_best",
     "match_posts": _MATCH,
+    "match_report": f"""SELECT idx, article_link, copy_ratio, NULL::INTEGER AS stat_pos, NULL::VARCHAR AS label,
+            NULL::VARCHAR AS count_text FROM ({_MATCH}) m
+        UNION ALL
+        SELECT NULL, NULL, NULL, v.stat_pos, v.label, CAST(v.n AS VARCHAR) || '건'
+        FROM (SELECT count_if(copy_ratio > 0) AS matched, count_if(copy_ratio >= 0.9) AS ge90,
+                     count_if(copy_ratio >= 0.5) AS ge50_all FROM ({_MATCH}) m) s,
+             LATERAL (VALUES (0, '매칭건수', s.matched), (1, '0.5 이상', s.ge50_all - s.ge90),
+                             (2, '0.9 이상', s.ge90), (3, '0 이상', s.matched - s.ge50_all)) v(stat_pos, label, n)""",
+    "match_evidence": f"""
+        WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY copy_ratio DESC, cand_pos) AS rn
+                                  FROM ({_SCORED}) m WHERE NOT is_best) x WHERE rn = 1),
+        fn AS (SELECT printf('%03d_%s.txt', b.idx + 1,
+                             substr(regexp_replace({oracle.clean_text('p.title')}, '[\\\\/*?:"<>|]', '', 'g'), 1, 50)) AS file_name,
+                      '[URL] ' || b.link || chr(10) || chr(10) || {oracle.clean_text('a.body')} AS content
+               FROM b JOIN ({oracle.POSTS_V}) p ON p.idx = b.idx JOIN ({oracle.ARTICLES_V}) a ON a.link = b.link)
+        SELECT file_name, content, substr(file_name, 1, 3) AS idx FROM fn""",
+    "link_policy": f"""SELECT article_id,
+        coalesce(link <> '', FALSE) AND NOT {oracle.contains_any('link', MATCH.excluded_domains)} AS link_ok,
+        {oracle.link_policy('link', "repeat('x', 1000)", [], MATCH.portal, MATCH.channels)} AS channel_ok,
+        coalesce(length(body) > {MATCH.min_body}, FALSE) AS body_ok
+        FROM ({oracle.ARTICLES_V}) a""",
+    "title_keywords": oracle.title_keywords(oracle.POSTS_V, _DICT, MATCH.noun_prefix),
     "match_stats": f"""SELECT count_if(copy_ratio > 0) AS matched,
         count_if(copy_ratio >= 0.5) - count_if(copy_ratio >= 0.9) AS ge50, count_if(copy_ratio >= 0.9) AS ge90,
         count_if(copy_ratio > 0) - count_if(copy_ratio >= 0.5) AS gt0 FROM ({_MATCH}) m""",
@@ -485,6 +551,11 @@ QUERIES = {
     "retrieve_top5": q_retrieve_top5,
     "match_candidates": q_match_candidates,
     "match_posts": q_match_posts,
+    "match_report": q_match_report,
+    "match_evidence": q_match_evidence,
+    "link_policy": q_link_policy,
+    "title_keywords": q_title_keywords,
+    "word_groups": q_word_groups,
     "match_stats": q_match_stats,
     "copy_ratio": q_copy_ratio,
     "clean_posts": q_clean_posts,

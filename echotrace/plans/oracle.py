@@ -327,3 +327,16 @@ def url_host(expr: str) -> str:
 def domain_key(expr: str) -> str:
     parts = f"string_split({url_host(expr)}, '.')"
     return f"(CASE WHEN len({parts}) >= 2 THEN array_to_string({parts}[-2:], '.') ELSE array_to_string({parts}, '.') END)"
+
+
+def title_keywords(posts_sql: str, dict_sql: str, noun_prefix: str = "n") -> str:
+    """``(idx, keywords)`` for posts whose title has a noun."""
+    tr = lambda e: f"coalesce(substr({e}, 1, 100), '')"
+    nouns_tok = ws_tokens(f"lower({normalize_for_score('title_q')})")
+    return f"""
+WITH sq AS (SELECT idx, {tr(clean_text(clean_text('title')))} AS title_q FROM ({posts_sql}) p),
+tt AS (SELECT idx, unnest(range(len(l))) AS pos, unnest(l) AS surface FROM (SELECT idx, {nouns_tok} AS l FROM sq) x)
+SELECT tt.idx, array_to_string(list(tt.surface ORDER BY tt.pos)[1:5], ' ') AS keywords
+FROM tt JOIN ({dict_sql}) d ON d.surface = tt.surface
+WHERE starts_with(d.tag, {q(noun_prefix)}) GROUP BY tt.idx
+"""
