@@ -19,7 +19,7 @@ from echotrace.operators import links as lk
 from echotrace.operators import retrieve
 from echotrace.sources import sinks
 from echotrace.operators import tags as tg
-from echotrace.session import read_table
+from echotrace.session import cut_lineage, read_table
 from echotrace.sources import readers as rd
 from echotrace.sources.reference_data import HANNANUM_TAGSET, TAG_HIERARCHY_LINES
 from echotrace.functions.text import normalize_for_score as _norm
@@ -57,7 +57,9 @@ def _match_inputs(spark, sf_dir):
 
 # ------------------------------------------------------------------ A5
 def q_copy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.copy_ratio(fixtures.pairs(spark, sf_dir), "pair_id", "article", "post", stopwords=STOPWORDS)
+    # the pair view (a passage join) feeds four branches of the plan: derive it once
+    pairs = cut_lineage(fixtures.pairs(spark, sf_dir))
+    return score.copy_ratio(pairs, "pair_id", "article", "post", stopwords=STOPWORDS)
 
 
 # ------------------------------------------------------------------ cleaning
