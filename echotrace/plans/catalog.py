@@ -21,7 +21,7 @@ from echotrace.sources import sinks
 from echotrace.operators import tags as tg
 from echotrace.session import cut_lineage, read_table
 from echotrace.sources import readers as rd
-from echotrace.sources.reference_data import HANNANUM_TAGSET, TAG_HIERARCHY_LINES
+from echotrace.sources.reference_data import CLASS_TAGSET, TAG_HIERARCHY_LINES
 from echotrace.functions.text import normalize_for_score as _norm
 from echotrace.functions.tokens import whitespace_tokens as _wst
 from echotrace.plans import clean, fixtures, match, oracle
@@ -277,7 +277,7 @@ def q_noun_tokens(spark, sf_dir):
 
 def q_tag_classes(spark, sf_dir):
     t = q_tag_tokens(spark, sf_dir)
-    ts = rd.tagset_frame(spark, HANNANUM_TAGSET, "hannanum")
+    ts = rd.tagset_frame(spark, CLASS_TAGSET, "classes")
     g = (t.groupBy("tag").agg(F.count(F.lit(1)).alias("n_tokens"))
           .withColumn("tag22", tg.tag_class("tag", 22)).withColumn("tag9", tg.tag_class("tag", 9)))
     g = tg.describe_tags(g, ts, "tag22")
@@ -382,7 +382,7 @@ _MATCH = f"SELECT idx, article_link, copy_ratio FROM ({_SCORED}) m WHERE is_best
 _TOKV = oracle.tokens_v()
 _TAGGED = f"SELECT t.doc_id, t.pos, t.token, coalesce(d.tag, 'ncn') AS tag FROM ({_TOKV}) t LEFT JOIN ({_DICT}) d ON d.surface = t.token"
 _DOCTOK = f"SELECT doc_id, {oracle.ws_tokens(f'lower({oracle.normalize_for_score(chr(116) + chr(101) + chr(120) + chr(116))})')} AS toks FROM documents"
-_TAGSET_VALUES = ", ".join(f"({oracle.q(k)}, {oracle.q(v)})" for k, v in HANNANUM_TAGSET.items())
+_TAGSET_VALUES = ", ".join(f"({oracle.q(k)}, {oracle.q(v)})" for k, v in CLASS_TAGSET.items())
 _EDGES = " UNION ALL ".join(
     f"SELECT {oracle.q(parts[1])} AS parent, {oracle.q(c)} AS child"
     for parts in (ln.split() for ln in TAG_HIERARCHY_LINES.splitlines() if ln.startswith("TSET"))

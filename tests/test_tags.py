@@ -43,8 +43,8 @@ def test_nouns_and_grouping(spark):
                                 "t array<struct<morph:string,tag:string>>")
     r = arr.select(tg.nouns("t", "NN").alias("n"), tg.morphs("t").alias("m")).first()
     assert r["n"] == ["오픈소스", "관심", "개발자"] and r["m"] == ["오픈소스", "에", "관심", "개발자"]
-    okt = spark.createDataFrame([([("이", "Determiner"), ("것", "Noun")],)], "t array<struct<morph:string,tag:string>>")
-    assert okt.select(tg.nouns("t", exact="Noun")).first()[0] == ["것"]
+    coarse = spark.createDataFrame([([("이", "Determiner"), ("것", "Noun")],)], "t array<struct<morph:string,tag:string>>")
+    assert coarse.select(tg.nouns("t", exact="Noun")).first()[0] == ["것"]
     rows = spark.createDataFrame([(1, 0, 1, "b", "x"), (1, 0, 0, "a", "y"), (1, 1, 0, "c", "z")],
                                  "d int, w int, pos int, morph string, tag string")
     g = tg.group_tokens(rows, ["d", "w"], "pos", ["morph", "tag"]).orderBy("w")
