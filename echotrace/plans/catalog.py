@@ -419,7 +419,7 @@ SQL = {
                     UNION ALL SELECT surface, 1, 'ncn' FROM ({_DICT}) d WHERE length(surface) >= 4
                     UNION ALL SELECT surface, 1, 'jcs' FROM ({_DICT}) d WHERE length(surface) >= 4)
         SELECT t.token, count(*) AS n_rows, count(DISTINCT (t.doc_id, t.pos, an.alt_no)) AS n_alternatives,
-               count_if(an.a_tag = 'jcs') AS n_jcs
+               CAST(count_if(an.a_tag = 'jcs') AS BIGINT) AS n_jcs
         FROM ({_TOKV}) t JOIN an ON an.surface = t.token GROUP BY t.token""",
     "user_dictionary": f"SELECT surface, CASE WHEN length(surface) % 10 = 0 THEN 'NNP' ELSE tag END AS tag FROM ({_DICT}) d",
     "tag_groups": f"""
@@ -433,7 +433,7 @@ SQL = {
                          FROM documents) a),
         t AS (SELECT doc_id, line_pos, unnest(range(len(tk))) AS pos, unnest(tk) AS token
               FROM (SELECT doc_id, line_pos, {oracle.ws_tokens(f"lower({oracle.normalize_for_score('line')})")} AS tk FROM l) b)
-        SELECT t.doc_id, CAST(t.line_pos AS INTEGER) AS line_pos, count(*) AS n_tokens,
+        SELECT t.doc_id, CAST(t.line_pos AS INTEGER) AS line_pos, CAST(count(*) AS INTEGER) AS n_tokens,
                string_agg(t.token || '/' || coalesce(d.tag, 'ncn'), ' ' ORDER BY t.pos) AS joined
         FROM t LEFT JOIN ({_DICT}) d ON d.surface = t.token GROUP BY t.doc_id, t.line_pos""",
     "url_keys": f"""SELECT page_id, {oracle.url_host('url')} AS host, {oracle.domain_key('url')} AS domain_key,
@@ -489,16 +489,17 @@ SQL = {
         coalesce(length(body) > {MATCH.min_body}, FALSE) AS body_ok
         FROM ({oracle.ARTICLES_V}) a""",
     "title_keywords": oracle.title_keywords(oracle.POSTS_V, _DICT, MATCH.noun_prefix),
-    "match_stats": f"""SELECT count_if(copy_ratio > 0) AS matched,
-        count_if(copy_ratio >= 0.5) - count_if(copy_ratio >= 0.9) AS ge50, count_if(copy_ratio >= 0.9) AS ge90,
-        count_if(copy_ratio > 0) - count_if(copy_ratio >= 0.5) AS gt0 FROM ({_MATCH}) m""",
+    "match_stats": f"""SELECT CAST(count_if(copy_ratio > 0) AS BIGINT) AS matched,
+        CAST(count_if(copy_ratio >= 0.5) - count_if(copy_ratio >= 0.9) AS BIGINT) AS ge50,
+        CAST(count_if(copy_ratio >= 0.9) AS BIGINT) AS ge90,
+        CAST(count_if(copy_ratio > 0) - count_if(copy_ratio >= 0.5) AS BIGINT) AS gt0 FROM ({_MATCH}) m""",
     "copy_ratio": oracle.copy_ratio(oracle.PAIRS_V, "pair_id", STOPWORDS),
     "clean_posts": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
     "clean_stage_counts": f"""
-        SELECT count(*) AS total, count_if(stage <> 1) AS after_url, count_if(stage = 2) AS removed_search,
-               count_if(stage = 0 OR stage >= 3) AS after_search, count_if(stage = 3) AS removed_untrusted,
-               count_if(stage = 0 OR stage = 4) AS kept_untrusted, count_if(stage = 4) AS removed_ending,
-               count_if(stage = 0) AS kept
+        SELECT count(*) AS total, CAST(count_if(stage <> 1) AS BIGINT) AS after_url, CAST(count_if(stage = 2) AS BIGINT) AS removed_search,
+               CAST(count_if(stage = 0 OR stage >= 3) AS BIGINT) AS after_search, CAST(count_if(stage = 3) AS BIGINT) AS removed_untrusted,
+               CAST(count_if(stage = 0 OR stage = 4) AS BIGINT) AS kept_untrusted, CAST(count_if(stage = 4) AS BIGINT) AS removed_ending,
+               CAST(count_if(stage = 0) AS BIGINT) AS kept
         FROM ({_STAGE}) s""",
     "removed_posts": f"SELECT idx, stage FROM ({_STAGE}) s WHERE stage <> 0",
     "title_prefix": f"SELECT idx, split_part(title, '&keyword=', 1) AS title FROM ({_P}) p",
