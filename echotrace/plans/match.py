@@ -36,9 +36,10 @@ class MatchParams:
     exclude_self: bool = True
 
 
-def candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams) -> DataFrame:
+def candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams,
+               cleaned: DataFrame | None = None) -> DataFrame:
     """``(idx, cand_pos, q_pos, rank, article_id, link, body)`` in result order."""
-    q = retrieve.search_queries(posts, dictionary, noun_prefix=p.noun_prefix)
+    q = retrieve.search_queries(posts, dictionary, noun_prefix=p.noun_prefix, cleaned=cleaned)
     hits = retrieve.top_k(q, articles.select("article_id", "body"), k=p.k, max_df=p.max_df,
                           stopwords=p.stopwords, exclude_self=p.exclude_self)
     hits = hits.join(articles.select("article_id", "link", "body"), "article_id")
@@ -48,8 +49,11 @@ def candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p:
 
 def scored_candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams) -> DataFrame:
     """Candidates with ``cosine`` and the rounded ``copy_ratio``."""
-    cand = cut_lineage(candidates(posts, articles, dictionary, p).select("idx", "cand_pos", "article_id", "link"))
-    post_text = posts.select("idx", F.concat(clean_text("title"), F.lit(" "), clean_text("content")).alias("text"))
+    # the posts' cleaned texts feed both the queries and the scoring: clean once
+    cleaned = cut_lineage(retrieve.clean_post_texts(posts))
+    cand = cut_lineage(candidates(posts, articles, dictionary, p, cleaned)
+                       .select("idx", "cand_pos", "article_id", "link"))
+    post_text = cleaned.select("idx", F.concat("title_c", F.lit(" "), "content_c").alias("text"))
     post_text = post_text.join(cand.select("idx").distinct(), "idx", "left_semi")
     art_text = (articles.join(cand.select("article_id").distinct(), "article_id", "left_semi")
                         .select("article_id", clean_text("body").alias("text")))
