@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echotrace.llm import mix_sources, secret_ledger, url_templates
-from echotrace.llm.common import docs_of, pages_of, read_table
+from echotrace.llm import (gga_packing, html_tree, mix_sources, pfor_tokens, quality_crf, secret_ledger,
+                           url_templates)
+from echotrace.llm.common import docs_of, pages_of, read_table, scratch_path
+from echotrace.llm.token_ids import tokenizer_path
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the line labelling on every document."""
+    docs = docs_of(spark, sf_dir)
+    model = quality_crf.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality_crf.verdicts(docs.select("doc_id", "text"), model).drop("text")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +33,31 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(pages_of(spark, sf_dir).select("page_id", "url"), labels)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of at most 4096 tokens."""
+    return gga_packing.pack_documents(docs_of(spark, sf_dir), tokenizer_path())
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    path = scratch_path(spark, "token-files")
+    pfor_tokens.write_files(docs_of(spark, sf_dir), path, tokenizer_path(), end_id=2)
+    return pfor_tokens.read_documents(spark, path)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_tree.extract(pages_of(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_token_files": op8_token_files,
+    "op10_main_text": op10_main_text,
 }
 
 SQL = {
