@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echotrace.llm import (gga_packing, html_tree, mix_sources, pfor_tokens, quality_crf, secret_ledger,
-                           url_templates)
+from echotrace.llm import (gga_packing, html_tree, mix_sources, pfor_tokens, posting_ann, quality_crf,
+                           secret_ledger, url_templates)
 from echotrace.llm.common import docs_of, pages_of, read_table, scratch_path
 from echotrace.llm.token_ids import tokenizer_path
 
@@ -45,6 +46,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_tokens.read_documents(spark, path)
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors of every vector whose id is divisible by 20."""
+    return posting_ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_tree.extract(pages_of(spark, sf_dir))
@@ -57,6 +63,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op9_nearest_vectors": op9_nearest_vectors,
     "op10_main_text": op10_main_text,
 }
 
