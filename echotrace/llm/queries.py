@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import (gga_packing, html_tree, mix_sources, pfor_tokens, posting_ann, quality_crf,
-                           secret_ledger, url_templates)
+from echotrace.llm import (gga_packing, html_tree, minmax_dedup, mix_sources, pfor_tokens, posting_ann,
+                           quality_crf, secret_ledger, url_templates)
 from echotrace.llm.common import docs_of, pages_of, read_table, scratch_path
 from echotrace.llm.token_ids import tokenizer_path
 
@@ -39,6 +39,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gga_packing.pack_documents(docs_of(spark, sf_dir), tokenizer_path())
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    found = minmax_dedup.near_duplicates(docs_of(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     path = scratch_path(spark, "token-files")
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_main_text": op10_main_text,
