@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.llm import (gga_packing, html_tree, minmax_dedup, mix_sources, pfor_tokens, posting_ann,
-                           quality_crf, secret_ledger, url_templates)
+                           quality_crf, secret_ledger, suffix_dedup, url_templates)
 from echotrace.llm.common import docs_of, pages_of, read_table, scratch_path
 from echotrace.llm.token_ids import tokenizer_path
 
@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.verdicts(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without strings of 100 bytes that start earlier too."""
+    return suffix_dedup.remove_repeats(docs_of(spark, sf_dir)).drop("kept_text")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: words taken of each."""
     return mix_sources.mix(docs_of(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -64,6 +69,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_mix_sources": op3_mix_sources,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
