@@ -221,7 +221,7 @@ def _decided(digested: DataFrame) -> DataFrame:
             new_c = new_key | np.concatenate([[True], digest[1:] != digest[:-1]])
             group = np.cumsum(new_key) - 1
             live = flag != SETTLED
-            several = np.bincount(group, weights=(new_c & live) + (flag == SHARED))[group] > 1
+            several = np.bincount(group, weights=(new_c & live) + 1 * (flag == SHARED))[group] > 1
             later = live & ~new_c
             place = np.where(later, (place & ~(3 << 16)) | REMOVED << 16, place)
             keep = ~live | later | several
