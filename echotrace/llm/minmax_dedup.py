@@ -304,3 +304,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"),
                       own.eqNullSafe(F.col("doc_id")).alias("kept"),
                       ((F.col("n_shingles") == 0) | (F.col("uid") == F.col("head_uid"))).alias("first_row"))
+
+
+def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stand first in their group; a row listed twice stays once."""
+    found = near_duplicates(docs, threshold).where("first_row")
+    keys = found.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("__hash", F.xxhash64("text"))
+    # both steps deal the texts by the same two columns: they move once
+    return keyed.join(keys, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"]).select(*docs.columns)

@@ -8,8 +8,9 @@ more than the rest.  No row is ever sorted: windows run over histogram cells.
 
 The sized rows (id, source, size, hash) are checkpointed once; each level reads
 only them.  The histogram is map-side combined, the refinement joins on
-(source, bucket), and thresholds are joined back on (source, salt), so a source
-that holds a third of all rows never meets in one task.
+(source, bucket), and the few rates per source are broadcast behind a count or
+joined on (source, salt), so a source that holds a third of all rows never meets
+in one task.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source
 of its own (last in the weight order); rows with equal ids share a hash and are
@@ -26,13 +27,18 @@ from echotrace.llm.common import cut, word_count
 
 HASH_BITS, LEVEL_BITS = 60, 15
 SALTS = 64
+#: Most sources (five numbers and a name each) sent to every task.
+BROADCAST_SOURCES = 50_000
+
+
+def id_hash():
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): the only columns later steps need."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    h = F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash().alias("h"))
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -41,6 +47,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) ->
     ``target = least(max_repeat * source_size, level * weight)`` with the one
     level that spends the total.  Sorted by ``cap / weight``, the sources before
     the first that is not capped are full; the rest share what is left by weight.
+    Seen from later sources the level only falls, so it is the largest that fits.
     The windows run over one row per source.
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -53,7 +60,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) ->
           .withColumn("open_weight", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
           .withColumn("total", F.sum("source_size").over(everything))
           .withColumn("level", (F.col("total") - F.coalesce(F.col("capped"), F.lit(0.0))) / F.col("open_weight"))
-          .withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level")))
+          .withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level")))
                                 .over(everything)))
     target = F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap"))
     return s.select("source", "source_size", target.alias("target"))
@@ -91,27 +98,53 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + closer).alias("threshold")).unionByName(done)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source, source_size, target, taken.
-
-    ``taken`` is the size times the copies of the row in the mix: the whole
-    repeats every row of its source gets, and one more below the threshold.
-    """
-    sized = cut(sized_rows(docs))
+def rates(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
+    """(p_source, source_size, target, full, threshold) of every source: a row of it is taken ``full`` times, and
+    once more when its hash lies below the threshold."""
     sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     shares = cut(water_fill(sums, weights, max_repeat)
                  .withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                                       .otherwise(F.lit(0)).cast("long"))
                  .withColumn("need", F.col("target") - F.col("full") * F.col("source_size")))
     limit = thresholds(sized, shares).select(F.col("source").alias("t_source"), "threshold")
-    per_source = (shares.join(limit, F.col("source").eqNullSafe(F.col("t_source")), "left")
-                        .select(F.col("source").alias("p_source"), "source_size", "target", "full", "threshold",
-                                F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col("p_source"))
-                        & (F.pmod(F.col("h"), F.lit(SALTS)) == F.col("salt")))
-    copies = F.col("full") + (F.col("h") < F.col("threshold")).cast("long")
-    return joined.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * copies).alias("taken"),
-                         copies.alias("copies"))
+    return cut(shares.join(limit, F.col("source").eqNullSafe(F.col("t_source")), "left")
+                     .select(F.col("source").alias("p_source"), "source_size", "target", "full", "threshold"))
+
+
+def with_copies(rows: DataFrame, per_source: DataFrame, source: str = "source", h: str = "h") -> DataFrame:
+    """``rows`` with the columns of ``per_source`` and ``copies``.
+
+    Up to ``BROADCAST_SOURCES`` sources (counted) go to every task; more are
+    joined by (source, salt).
+    """
+    same = F.col(source).eqNullSafe(F.col("p_source"))
+    if per_source.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(per_source), same)
+    else:
+        salted = per_source.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, same & (F.pmod(F.col(h), F.lit(SALTS)) == F.col("p_salt")))
+    return joined.withColumn("copies", F.col("full") + (F.col(h) < F.col("threshold")).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source, source_size, target, taken, copies.
+
+    ``taken`` is the size times the copies of the row in the mix.
+    """
+    sized = cut(sized_rows(docs))
+    return (with_copies(sized, rates(sized, weights, max_repeat))
+            .select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+                    "copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
+    """The mix itself: the rows of ``docs`` (all columns), each as often as it is taken."""
+    per_source = rates(cut(sized_rows(docs)), weights, max_repeat)
+    keyed = docs.withColumn("__h", id_hash()).withColumn("__source", F.col("source"))
+    chosen = with_copies(keyed.select(F.struct(*docs.columns).alias("__row"), "__h", "__source"), per_source, "__source", "__h")
+    return (chosen.where(F.col("copies") > 0)
+                  .select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nr"))
+                  .select("__row.*"))
 
 
 #: The same rows by plain sorting: running sums over rows in hash order.
@@ -135,7 +168,7 @@ levels AS (
   FROM weighed),
 targets AS (
   SELECT source, source_size,
-         coalesce(least(cap, min(CASE WHEN level <= cap / weight THEN level END) OVER () * weight), cap) AS target
+         coalesce(least(cap, max(CASE WHEN level <= cap / weight THEN level END) OVER () * weight), cap) AS target
   FROM levels),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS full_copies

@@ -207,6 +207,20 @@ def verdicts(docs: DataFrame, model: CrfModel, text: str = "text", min_words: in
     return docs.select(*carried).mapInArrow(run, schema)
 
 
+def kept_documents(docs: DataFrame, model: CrfModel, text: str = "text", min_words: int = 50, max_repeat: int = 50,
+                   min_share: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns, unchanged) that the verdict keeps."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                found = _judge_slice(plain_strings(part.column(text)), model, min_words, max_repeat, min_share)
+                yield pa.RecordBatch.from_arrays(part.columns, names).filter(pa.array(found["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = 600, sample_lines: int = 60,
                     ) -> list[tuple[int, np.ndarray]]:
     """(label, feature bins of consecutive lines) of a bounded sample of labelled documents.

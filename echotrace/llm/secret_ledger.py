@@ -171,7 +171,8 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` (doc_id, text, and any columns) with every found span replaced by ``mask``.
 
-    Overlapping spans give one mask.  Rows without a finding keep their text as it is.
+    Overlapping spans give one mask.  Rows without a finding keep their text as it
+    is.  A column ``n_chars`` follows the changed texts.
     """
     fresh = scan_blobs(unseen_content(docs, "doc_id"))
     hit = fresh.where(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
@@ -184,7 +185,11 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
             F.concat(acc["out"], cut_at(acc["pos"], s["start"]), F.lit(mask)).alias("out"), s["end"].alias("pos")))
         .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))),
         lambda acc: F.concat(acc["out"], cut_at(acc["pos"], F.length("text").cast("long"))))
-    return joined.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    out = joined.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(done))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(
+            F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
 
 
 #: The same rows from the base rules and the further rules, whole texts, without the ledger.
