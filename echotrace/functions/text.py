@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from echotrace.functions import regex as R
 
-ColumnOrName = "Column | str"
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -129,9 +127,9 @@ def hex2char(col) -> Column:
 
 # ---------------------------------------------------------------- P18
 def partition_array(arr_col, idx_col) -> Column:
-    """Split an array at ascending 0-based indices: ``[a[i:j] for i, j in
-    zip([0]+idx, idx+[None])]``.  The lambda walks the (start, end) pairs
-    only; pass materialised columns so the array is not rebuilt per group."""
+    """Cut an array in front of each of the ascending 0-based indices; the
+    pieces in order, empty ones included.  The lambda walks the (start, end)
+    pairs only; pass materialised columns so the array is not rebuilt per group."""
     arr, idx = _c(arr_col), _c(idx_col)
     bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), idx).alias("s"),
                           F.concat(idx, F.array(F.size(arr))).alias("e"))

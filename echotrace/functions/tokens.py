@@ -19,9 +19,6 @@ from echotrace.functions.text import _c, normalize_for_score, py_strip
 
 Tokenizer = Callable[[Column], Column]
 
-# Above this many entries a stop list is removed by a join, not an inline array.
-MAX_INLINE_STOPWORDS = 10_000
-
 
 def whitespace_tokens(col) -> Column:
     return F.filter(F.split(py_strip(_c(col)), R.WS + "+", -1), lambda x: x != "")
@@ -40,17 +37,12 @@ def score_tokens(col, tokenizer: Tokenizer | None = None, stopwords: Iterable[st
 
 
 def remove_stopwords(tokens_col, stopwords: Iterable[str] | None) -> Column:
-    """Filter an array column against a bounded stop list (checked size).
+    """Filter an array column against a stop list (a hash set for more than ten words).
     Stop words are compared as given (not lower-cased), like the reference."""
     words = sorted(set(stopwords or []))
     if not words:
         return _c(tokens_col)
-    if len(words) > MAX_INLINE_STOPWORDS:
-        raise ValueError(
-            f"{len(words)} stop words exceed the inline bound {MAX_INLINE_STOPWORDS}; "
-            "use remove_stopwords_rows with a stop-word DataFrame")
-    stop = F.array(*[F.lit(w) for w in words])
-    return F.filter(_c(tokens_col), lambda x: ~F.array_contains(stop, x))
+    return F.filter(_c(tokens_col), lambda x: ~x.isin(words))
 
 
 def remove_stopwords_rows(token_rows: DataFrame, stop_df: DataFrame, token: str = "token") -> DataFrame:

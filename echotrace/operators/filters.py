@@ -1,39 +1,36 @@
 """List-driven post filters.
 
-Reference lists are parameters of bounded, checked size.  They become array
-literals tested with ``exists(..., contains)``: no join, no shuffle, the test
-stays inside whole-stage codegen and every row is checked exactly once.
+A short reference list given as Python values becomes an ``OR`` of ``contains``
+inside whole-stage codegen.  A list given as a DataFrame, of any length, is
+never collected: entries and texts meet in an equi-join on their character
+4-grams (shorter entries on their own length) and ``contains`` verifies, so the
+rows are the same as with the expression.
 Filters that return two halves add one boolean flag column; ``split`` (U3)
 turns it into the kept and removed frames, so both halves come from one plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions.text import _c
 
-# Above this many entries a list is refused as an inline literal.
-MAX_LIST_ENTRIES = 10_000
+# Up to this many values the test is an OR chain; beyond, one array literal.
+OR_CHAIN = 64
+GRAM = 4
 
 
-def list_values(values, max_entries: int = MAX_LIST_ENTRIES) -> list[str]:
-    """A Python list, or a one-column DataFrame whose size is checked before it
-    is brought to the driver (nulls dropped, as the reference does)."""
+def list_values(values: Iterable) -> list[str]:
+    """Entries of a Python list as strings; nulls and empty cells (missing in a sheet) dropped."""
     if isinstance(values, DataFrame):
-        col = values.columns[0]
-        small = values.where(F.col(col).isNotNull()).select(F.col(col).cast("string"))
-        n = small.count()
-        if n > max_entries:
-            raise ValueError(f"reference list has {n} entries, more than the bound {max_entries}")
-        return [r[0] for r in small.collect()]
-    out = [str(v) for v in (values or []) if v is not None]
-    if len(out) > max_entries:
-        raise ValueError(f"reference list has {len(out)} entries, more than the bound {max_entries}")
-    return out
+        raise TypeError("a DataFrame list is joined: use contains_flag")
+    return [str(v) for v in (values or []) if v is not None and str(v) != ""]
 
 
 def contains_any(col, values: Iterable[str]) -> Column:
@@ -42,19 +39,59 @@ def contains_any(col, values: Iterable[str]) -> Column:
     vals = list_values(values)
     if not vals:
         return F.lit(False)
-    arr = F.array(*[F.lit(v) for v in vals])
-    return F.coalesce(F.exists(arr, lambda x: F.contains(_c(col), x)), F.lit(False))
+    if len(vals) <= OR_CHAIN:
+        hit = reduce(or_, [F.contains(_c(col), F.lit(v)) for v in vals])
+    else:
+        hit = F.exists(F.array(*[F.lit(v) for v in vals]), lambda x: F.contains(_c(col), x))
+    return F.coalesce(hit, F.lit(False))
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, n, gram): the distinct character n-grams of each whole text."""
+    for batch in batches:
+        for key, text in zip(batch.column("_k").to_pylist(), batch.column("_t").to_pylist()):
+            grams = [(n, g) for n in range(1, GRAM + 1) for g in {text[i:i + n] for i in range(len(text) - n + 1)}]
+            if grams:
+                ns, gs = zip(*grams)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(gs), batch.schema.field("_k").type), pa.array(ns, pa.int32()), pa.array(gs, pa.string())],
+                    ["_k", "_n", "_g"])
+
+
+def contains_flag(df: DataFrame, key: str, text: Column, entries: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: the text of the row contains an entry (J1, J2 as a join).
+
+    ``key`` identifies a row; ``entries`` has one column."""
+    e = (entries.select(F.col(entries.columns[0]).cast("string").alias("_e")).where(F.col("_e") != "").distinct()
+                .withColumn("_n", F.least(F.length("_e"), F.lit(GRAM)))
+                .withColumn("_g", F.substring(F.col("_e"), 1, GRAM)))
+    rows = df.select(F.col(key).alias("_k"), text.alias("_t")).where(F.col("_t").isNotNull())
+    key_type = rows.schema["_k"].dataType.simpleString()
+    grams = rows.mapInArrow(_gram_rows, f"_k {key_type}, _n int, _g string")
+    # ids only through the join on grams; texts and entries meet for verification
+    near = grams.join(e, ["_n", "_g"]).select("_k", "_e").distinct()
+    hit = rows.join(near, "_k").where(F.contains("_t", F.col("_e"))).select("_k").distinct()
+    hit = hit.withColumn(name, F.lit(True))
+    out = df.join(hit, df[key].eqNullSafe(hit["_k"]), "left").drop("_k")
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
+def list_flag(df: DataFrame, key: str, text: Column, values, name: str) -> DataFrame:
+    """``contains_flag`` for a DataFrame list, the expression for Python values."""
+    if isinstance(values, DataFrame):
+        return contains_flag(df, key, text, values, name)
+    return df.withColumn(name, contains_any(text, values))
 
 
 def as_text(col) -> Column:
-    """``str(cell)`` of a pandas cell: a missing value prints as ``nan``."""
-    return F.coalesce(_c(col).cast("string"), F.lit("nan"))
+    """``str(cell)`` of a sheet cell: a missing cell prints as ``None``."""
+    return F.coalesce(_c(col).cast("string"), F.lit("None"))
 
 
 # ---------------------------------------------------------------- F1
-def exclude_urls(df: DataFrame, excluded, url: str = "url") -> DataFrame:
+def exclude_urls(df: DataFrame, excluded, url: str = "url", key: str = "idx") -> DataFrame:
     """Drop rows whose URL (``None`` when missing) contains an excluded entry."""
-    return df.where(~contains_any(F.coalesce(F.col(url), F.lit("None")), excluded))
+    return list_flag(df, key, as_text(url), excluded, "_excluded").where(~F.col("_excluded")).drop("_excluded")
 
 
 # ---------------------------------------------------------------- F2
@@ -87,7 +124,7 @@ def drop_banned(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
 # ---------------------------------------------------------------- F4
 def untrusted_flag(untrusted_phrases, untrusted_domains, trusted_domains, content: str = "content") -> Column:
     """Remove when (an untrusted phrase or domain is in the body) and no trusted
-    domain is."""
+    domain is; Python lists (``plans.clean`` also takes DataFrames)."""
     body = as_text(content)
     return ((contains_any(body, untrusted_phrases) | contains_any(body, untrusted_domains))
             & ~contains_any(body, trusted_domains))
@@ -111,10 +148,6 @@ def split(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
     return df.where(~F.col(flag)).drop(flag), df.where(F.col(flag)).drop(flag)
 
 
-def with_flag(df: DataFrame, name: str, flag: Column) -> DataFrame:
-    return df.withColumn(name, flag)
-
-
 # ---------------------------------------------------------------- A9
 def non_null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row: non-null count per column (``DataFrame.count()`` of pandas)."""

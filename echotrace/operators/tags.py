@@ -9,16 +9,17 @@ only inside one text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions import regex as R
 from echotrace.functions.text import _c, py_strip
+from echotrace.session import cut_lineage
 from echotrace.sources.reference_data import UNKNOWN_TAG
 
 # Python str.splitlines() boundaries.
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
-# One morpheme of an analysis: shortest text, a slash, a word tag, optional '+'.
+# Fixed value. One morpheme of an analysis: shortest text, a slash, a word tag, optional '+'.
 MORPH_TAG = r"(.+?/" + R.WORD + r"+)\+?"
 
 
@@ -47,22 +48,18 @@ def parse_block_output(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the surface, every other line one candidate analysis ``m/t+m/t``.
 
     Returns ``(id, block_pos, surface, alt_no, m_pos, morph, tag)``; the
-    flattened form is these rows in (block_pos, alt_no, m_pos) order."""
-    lines = df.select(F.col(id_col).alias("id"),
-                      F.posexplode(splitlines(py_strip(F.col(text_col)))).alias("line_pos", "line"))
-    w = Window.partitionBy("id").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("block_pos", F.sum((F.col("line") == "").cast("int")).over(w)).where(F.col("line") != "")
-    lines = lines.withColumn("rn", F.row_number().over(Window.partitionBy("id", "block_pos").orderBy("line_pos")))
-    surf = lines.where(F.col("rn") == 1).select("id", "block_pos", F.col("line").alias("surface"))
-    opts = (lines.where(F.col("rn") > 1)
-                 .withColumn("alt_no", F.col("rn") - 2)
-                 .select("id", "block_pos", "alt_no",
-                         F.posexplode(F.regexp_extract_all(py_strip(F.col("line")), F.lit(MORPH_TAG), 1))
-                          .alias("m_pos", "mt")))
-    opts = opts.withColumn("_s", split_last_slash("mt")).select(
-        "id", "block_pos", "alt_no", "m_pos", F.col("_s.morph").alias("morph"), F.col("_s.tag").alias("tag"))
-    return opts.join(surf, ["id", "block_pos"]).select(
-        "id", "block_pos", "surface", "alt_no", "m_pos", "morph", "tag")
+    flattened form is these rows in (block_pos, alt_no, m_pos) order.  A block
+    without analyses is one row with null ``alt_no``, ``m_pos``, ``morph`` and
+    ``tag``.  Parsed inside the row: no shuffle."""
+    text = F.array_join(splitlines(py_strip(F.col(text_col))), "\n")
+    blocks = F.transform(F.split(text, "\n\n", -1), lambda b: F.filter(F.split(b, "\n", -1), lambda x: x != ""))
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(blocks).alias("block_pos", "ls")).where(F.size("ls") > 0)
+    alts = rows.select("id", F.col("block_pos").cast("long").alias("block_pos"), F.get("ls", F.lit(0)).alias("surface"),
+                       F.posexplode_outer(F.slice("ls", 2, F.size("ls"))).alias("alt_no", "line"))
+    ms = alts.select("id", "block_pos", "surface", "alt_no", F.posexplode_outer(
+        F.regexp_extract_all(py_strip(F.col("line")), F.lit(MORPH_TAG), 1)).alias("m_pos", "mt"))
+    part = split_last_slash("mt")
+    return ms.select("id", "block_pos", "surface", "alt_no", "m_pos", part["morph"].alias("morph"), part["tag"].alias("tag"))
 
 
 # ---------------------------------------------------------------- T2
@@ -123,7 +120,7 @@ def tag_class(tag, ntags: int = 9) -> Column:
     otherwise the upper-cased first two letters (22) or first letter (9);
     ``unk`` and ``iwg`` belong to no class (null)."""
     if ntags not in (9, 22):
-        raise ValueError("ntags in [9, 22]")
+        raise ValueError(f"no class set with {ntags} tags; 9 or 22")
     t = F.lower(_c(tag))
     n = 2 if ntags == 22 else 1
     return (F.when(t.isin("unk", "iwg") | t.isNull() | (t == ""), F.lit(None).cast("string"))
@@ -133,33 +130,41 @@ def tag_class(tag, ntags: int = 9) -> Column:
 
 
 # ---------------------------------------------------------------- T8
-def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """Tag-set membership closure: every (group, member) reachable through the
     hierarchy, with ``is_leaf`` for members that are not groups themselves.
-    Semi-naive iteration on a small edge table (depth <= 4 in the data)."""
-    e = edges.select("parent", "child").distinct()
-    reach = e
-    frontier = e
-    for _ in range(max_depth):
-        step = (frontier.alias("f").join(e.alias("e"), F.col("f.child") == F.col("e.parent"))
-                        .select(F.col("f.parent").alias("parent"), F.col("e.child").alias("child")))
-        new = step.join(reach, ["parent", "child"], "left_anti").distinct().cache()
-        if new.isEmpty():
+
+    Paths are doubled until nothing new appears, so a chain of any depth takes a
+    logarithmic number of steps; each step is checkpointed, so the plan stays flat."""
+    reach = cut_lineage(edges.select("parent", "child").distinct())
+    n = reach.count()
+    while True:
+        step = (reach.alias("f").join(reach.alias("e"), F.col("f.child") == F.col("e.parent"))
+                     .select(F.col("f.parent").alias("parent"), F.col("e.child").alias("child")))
+        reach = cut_lineage(reach.unionByName(step).distinct())
+        grown = reach.count()
+        if grown == n:
             break
-        reach = reach.unionByName(new).cache()
-        frontier = new
-    groups = e.select(F.col("parent").alias("child")).distinct().withColumn("_g", F.lit(True))
+        n = grown
+    groups = edges.select(F.col("parent").alias("child")).distinct().withColumn("_g", F.lit(True))
     return (reach.join(groups, "child", "left")
                  .select(F.col("parent").alias("group"), F.col("child").alias("member"),
                          F.col("_g").isNull().alias("is_leaf")))
 
 
 # ---------------------------------------------------------------- J7 / J8 / J9
+def first_entries(dictionary: DataFrame, order: str | None = None) -> DataFrame:
+    """One tag per surface: the first line of the dictionary wins (``order`` is
+    the line number; without one the smallest tag)."""
+    by = F.col(order) if order else F.col("tag")
+    return dictionary.groupBy("surface").agg(F.min_by("tag", by).alias("tag"))
+
+
 def tag_with_dictionary(tokens: DataFrame, dictionary: DataFrame, token: str = "token",
-                        default_tag: str | None = UNKNOWN_TAG) -> DataFrame:
-    """Each token's dictionary tag; unknown tokens get ``default_tag``.
+                        default_tag: str | None = UNKNOWN_TAG, order: str | None = None) -> DataFrame:
+    """Each token's dictionary tag (``first_entries``); unknown tokens get ``default_tag``.
     The planner picks broadcast only when the dictionary is small at run time."""
-    d = dictionary.select(F.col("surface").alias(token), F.col("tag").alias("_dtag")).dropDuplicates([token])
+    d = first_entries(dictionary, order).select(F.col("surface").alias(token), F.col("tag").alias("_dtag"))
     out = tokens.join(d, token, "left")
     tag = F.coalesce("_dtag", F.lit(default_tag)) if default_tag is not None else F.col("_dtag")
     return out.withColumn("tag", tag).drop("_dtag")

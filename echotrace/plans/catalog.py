@@ -19,12 +19,13 @@ from echotrace.operators import links as lk
 from echotrace.operators import retrieve
 from echotrace.sources import sinks
 from echotrace.operators import tags as tg
-from echotrace.session import cut_lineage, read_table
+from echotrace.session import read_table, scratch_path
 from echotrace.sources import readers as rd
 from echotrace.sources.reference_data import CLASS_TAGSET, TAG_HIERARCHY_LINES
 from echotrace.functions.text import normalize_for_score as _norm
+from echotrace.functions.tokens import require_string
 from echotrace.functions.tokens import whitespace_tokens as _wst
-from echotrace.plans import clean, fixtures, match, oracle
+from echotrace.plans import clean, fixtures, jobs, match, oracle
 
 # Parameters of the Latin fixtures (small literal lists, see FIXTURES.md).
 STOPWORDS = ["a", "an", "the", "of", "and", "to", "in", "is", "le", "la", "les", "de", "des", "et",
@@ -57,9 +58,13 @@ def _match_inputs(spark, sf_dir):
 
 # ------------------------------------------------------------------ A5
 def q_copy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the pair view (a passage join) feeds four branches of the plan: derive it once
-    pairs = cut_lineage(fixtures.pairs(spark, sf_dir))
-    return score.copy_ratio(pairs, "pair_id", "article", "post", stopwords=STOPWORDS)
+    return score.copy_ratio(fixtures.pairs(spark, sf_dir), "pair_id", "article", "post", stopwords=STOPWORDS)
+
+
+def q_copy_ratio_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: mean over the article's sentences."""
+    return score.copy_ratio(fixtures.pairs(spark, sf_dir), "pair_id", "article", "post", stopwords=STOPWORDS, per_sentence=True).select(
+        "pair_id", F.round("cosine", 9).alias("cosine"), F.round("cosine", 2).alias("ratio"))
 
 
 # ------------------------------------------------------------------ cleaning
@@ -115,7 +120,7 @@ def q_search_queries(spark, sf_dir):
 def q_retrieve_top5(spark, sf_dir):
     posts, arts, d = _match_inputs(spark, sf_dir)
     qs = retrieve.search_queries(posts, d, noun_prefix=MATCH.noun_prefix)
-    return retrieve.top_k(qs, arts.select("article_id", "body"), k=MATCH.k, max_df=MATCH.max_df,
+    return retrieve.top_k(qs, arts.select("article_id", "body"), k=MATCH.k,
                           stopwords=MATCH.stopwords)
 
 
@@ -127,7 +132,7 @@ def q_match_candidates(spark, sf_dir):
 
 def q_match_posts(spark, sf_dir):
     posts, arts, d = _match_inputs(spark, sf_dir)
-    return match.match_posts(posts, arts, d, MATCH)
+    return match.match_posts(posts, arts, d, MATCH).select("idx", "article_link", "copy_ratio")
 
 
 def q_match_stats(spark, sf_dir):
@@ -147,8 +152,8 @@ def q_match_evidence(spark, sf_dir):
     posts, arts, d = _match_inputs(spark, sf_dir)
     best = match.best_matches(match.scored_candidates(posts, arts, d, MATCH))
     m = (best.join(posts.select("idx", tx.clean_text("title").alias("title")), "idx")
-             .join(arts.select("link", tx.clean_text("body").alias("body")), "link"))
-    return sinks.evidence(m).withColumn("idx", F.col("file_name").substr(1, 3))
+             .join(arts.select("article_id", tx.clean_text("body").alias("body")), "article_id"))
+    return sinks.evidence(m)
 
 
 def q_link_policy(spark, sf_dir):
@@ -358,6 +363,151 @@ def q_line_groups(spark, sf_dir):
                      .alias("joined"))
 
 
+# ------------------------------------------------------------------ readers and sinks: written and read back
+def q_post_rows(spark, sf_dir):
+    """Posts from several CSV files, numbered in file order."""
+    path = scratch_path(spark, "post-rows")
+    sheet = _docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias(" 게시글제목 "), F.col("source").alias("계정명"))
+    (sheet.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+          .write.option("header", True).option("escape", '"').csv(path))
+    return rd.read_posts(spark, path, "csv", escape='"').select("idx", F.col("doc_id").cast("long").alias("doc_id"), "title", "account")
+
+
+def q_reference_list(spark, sf_dir):
+    """S3: one column of a list file, nulls dropped."""
+    path = scratch_path(spark, "list")
+    src = _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 3 != 0, F.concat("source", F.lit("/"), "doc_id")).alias(" 도메인 "))
+    src.write.option("header", True).csv(path)
+    return rd.load_list(spark, path, "도메인").select("value")
+
+
+def _write_oids(spark, sf_dir, path):
+    a = fixtures.articles(spark, sf_dir).select(tx.oid_from_url("link").cast("int").alias("oid"))
+    a.write.option("header", True).csv(path)
+
+
+def q_publisher_ids(spark, sf_dir):
+    """Zero-filled distinct ids of a numeric column with gaps."""
+    path = scratch_path(spark, "oids")
+    _write_oids(spark, sf_dir, path)
+    return rd.load_oids(spark, path)
+
+
+def q_channel_links(spark, sf_dir):
+    """Allowed links with the ids as a (channel, oid) table."""
+    a = fixtures.articles(spark, sf_dir).select("article_id", "link")
+    oids = rd.channel_oids({ch: rd.list_frame(spark, ids, "oid") for ch, ids in MATCH.channels.items()})
+    return lk.channel_filter(a, MATCH.portal, list(MATCH.channels), oids).select("article_id")
+
+
+def q_stop_word_lines(spark, sf_dir):
+    """Stripped, non-empty, distinct lines."""
+    path = scratch_path(spark, "stop-words")
+    (_docs(spark, sf_dir).select(F.explode(F.slice(seg.words("text"), 1, 3)).alias("w"))
+        .select(F.concat(F.lit(" "), "w", F.lit("  ")).alias("value")).write.text(path))
+    return rd.load_stopwords(spark, path)
+
+
+def q_corpus_lines(spark, sf_dir):
+    """Lines of all files of a corpus folder."""
+    path = scratch_path(spark, "corpus")
+    _docs(spark, sf_dir).select(F.substring_index("text", "\n", 1).alias("value")).repartition(7).write.text(path)
+    c = rd.read_corpus(spark, path)
+    return c.select(F.explode(seg.lines("content")).alias("line"))
+
+
+def q_corpus_listing(spark, sf_dir):
+    """Files and bytes of a corpus folder."""
+    path = scratch_path(spark, "corpus")
+    _docs(spark, sf_dir).select(F.substring_index("text", "\n", 1).alias("value")).repartition(7).write.text(path)
+    return rd.corpus_listing(spark, path).agg(F.sum("file_size").alias("n_bytes"))
+
+
+def q_tagset_rows(spark, sf_dir):
+    """JSON maps tag -> description, one per source."""
+    d = _docs(spark, sf_dir).groupBy("source").agg(F.map_from_entries(F.collect_set(F.struct(
+        F.concat("lang", F.lit("_"), F.col("doc_id").cast("string")), F.col("n_chars").cast("string")))).alias("m"))
+    path = scratch_path(spark, "tagsets")
+    d.select(F.concat("source", F.lit(".json")).alias("file_name"), F.to_json("m").alias("content")).write.json(path)
+    return rd.parse_tagsets(spark.read.schema("file_name string, content string").json(path))
+
+
+def q_token_csv(spark, sf_dir):
+    """Rows of strings through CSV; empty fields are null."""
+    path = scratch_path(spark, "token-csv")
+    t = fixtures.tokens(spark, sf_dir).select(F.col("doc_id").cast("string"), F.when(F.col("pos") % 5 != 0, F.col("token")).alias("t"))
+    sinks.write_token_csv(t, path)
+    return rd.read_token_csv(spark, path).select(F.col("_c0").alias("doc_id"), F.col("_c1").alias("token"))
+
+
+def q_result_sink(spark, sf_dir):
+    """The cleaned posts written and read again."""
+    path = scratch_path(spark, "result")
+    sinks.write_result(clean.clean_posts(fixtures.posts(spark, sf_dir), CLEAN), path)
+    return spark.read.parquet(path).select(*POST_COLS)
+
+
+def q_appended_lines(spark, sf_dir):
+    """Lines appended in two runs."""
+    path = scratch_path(spark, "lines")
+    d = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("value"))
+    sinks.append_lines(d, path)
+    sinks.append_lines(d.where(F.col("value").endswith("7")), path)
+    return spark.read.text(path).select("value")
+
+
+def q_empty_result(spark, sf_dir):
+    """L2: a result without rows keeps its columns."""
+    path = scratch_path(spark, "empty")
+    sinks.write_result(fixtures.posts(spark, sf_dir).where(F.col("idx") < 0), path)
+    return spark.read.parquet(path).select(*POST_COLS)
+
+
+def q_clean_job(spark, sf_dir):
+    """F11 from path to path, with the lists joined as tables."""
+    posts, out = scratch_path(spark, "posts"), scratch_path(spark, "cleaned")
+    fixtures.posts(spark, sf_dir).write.parquet(posts)
+    lists = {}
+    for name in ("excluded_urls", "untrusted_phrases", "untrusted_domains", "trusted_domains"):
+        path = scratch_path(spark, name)
+        rd.list_frame(spark, getattr(CLEAN, name)).write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+        lists[name] = (path, "value")
+    return jobs.clean_job(spark, posts, out, lists, CLEAN).select(*POST_COLS)
+
+
+def q_match_job(spark, sf_dir):
+    """A10 from path to path: all post columns and the two result columns."""
+    _, arts, d = _match_inputs(spark, sf_dir)
+    posts = scratch_path(spark, "posts")
+    fixtures.posts(spark, sf_dir).write.parquet(posts)
+    return jobs.match_job(spark, posts, arts, d, scratch_path(spark, "matched"), scratch_path(spark, "evidence"), MATCH).select(
+        *POST_COLS, "article_link", "copy_ratio")
+
+
+def q_string_guard(spark, sf_dir):
+    """The guard passes a string column on."""
+    return require_string(_docs(spark, sf_dir), "text").select("doc_id", F.length("text").alias("n"))
+
+
+def _tagged_groups(spark, sf_dir):
+    t = q_tag_tokens(spark, sf_dir).withColumnRenamed("token", "morph")
+    return tg.group_tokens(t, ["doc_id"], "pos", ["morph", "tag"])
+
+
+def q_morph_rows(spark, sf_dir):
+    """The morphs of every tagged document, in order."""
+    g = _tagged_groups(spark, sf_dir)
+    return g.select("doc_id", F.posexplode(tg.morphs("tokens")).alias("pos", "morph"))
+
+
+def q_flat_groups(spark, sf_dir):
+    """The groups of a document's lines as rows again."""
+    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(seg.lines("text")).alias("line_pos", "line"))
+    t = d.select("doc_id", "line_pos", F.posexplode(_wst(F.lower(_norm("line")))).alias("pos", "morph")).withColumn("tag", F.length("morph"))
+    g = tg.group_tokens(t, ["doc_id", "line_pos"], "pos", ["morph", "tag"])
+    return tg.flatten_groups(g, ["doc_id"], "line_pos").select("doc_id", "line_pos", "pos_in_group", "morph")
+
+
 _STAGE = oracle.clean_stage(oracle.POSTS_V, CLEAN)
 _F1, _F2, _FL = oracle.first_sentences("text")
 _W = oracle.words("text")
@@ -381,7 +531,8 @@ _MATCH = f"SELECT idx, article_link, copy_ratio FROM ({_SCORED}) m WHERE is_best
 
 _TOKV = oracle.tokens_v()
 _TAGGED = f"SELECT t.doc_id, t.pos, t.token, coalesce(d.tag, 'ncn') AS tag FROM ({_TOKV}) t LEFT JOIN ({_DICT}) d ON d.surface = t.token"
-_DOCTOK = f"SELECT doc_id, {oracle.ws_tokens(f'lower({oracle.normalize_for_score(chr(116) + chr(101) + chr(120) + chr(116))})')} AS toks FROM documents"
+_TEXT_TOKENS = oracle.ws_tokens("lower(" + oracle.normalize_for_score("text") + ")")
+_DOCTOK = f"SELECT doc_id, {_TEXT_TOKENS} AS toks FROM documents"
 _TAGSET_VALUES = ", ".join(f"({oracle.q(k)}, {oracle.q(v)})" for k, v in CLASS_TAGSET.items())
 _EDGES = " UNION ALL ".join(
     f"SELECT {oracle.q(parts[1])} AS parent, {oracle.q(c)} AS child"
@@ -478,11 +629,11 @@ SQL = {
     "match_evidence": f"""
         WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY copy_ratio DESC, cand_pos) AS rn
                                   FROM ({_SCORED}) m WHERE NOT is_best) x WHERE rn = 1),
-        fn AS (SELECT printf('%03d_%s.txt', b.idx + 1,
-                             substr(regexp_replace({oracle.clean_text('p.title')}, '[\\\\/*?:"<>|]', '', 'g'), 1, 50)) AS file_name,
-                      '[URL] ' || b.link || chr(10) || chr(10) || {oracle.clean_text('a.body')} AS content
-               FROM b JOIN ({oracle.POSTS_V}) p ON p.idx = b.idx JOIN ({oracle.ARTICLES_V}) a ON a.link = b.link)
-        SELECT file_name, content, substr(file_name, 1, 3) AS idx FROM fn""",
+        w AS (SELECT b.idx, b.link, {oracle.clean_text('p.title')} AS title, {oracle.clean_text('a.body')} AS body
+              FROM b JOIN ({oracle.POSTS_V}) p ON p.idx = b.idx JOIN ({oracle.ARTICLES_V}) a ON a.article_id = b.article_id)
+        SELECT idx, CASE WHEN idx + 1 < 1000 THEN lpad(CAST(idx + 1 AS VARCHAR), 3, '0') ELSE CAST(idx + 1 AS VARCHAR) END
+               || '_' || substr(regexp_replace(title, '[\\\\/*?:"<>|]', '', 'g'), 1, 50) || '.txt' AS file_name,
+               '[URL] ' || link || chr(10) || chr(10) || body AS content FROM w""",
     "link_policy": f"""SELECT article_id,
         coalesce(link <> '', FALSE) AND NOT {oracle.contains_any('link', MATCH.excluded_domains)} AS link_ok,
         {oracle.link_policy('link', "repeat('x', 1000)", [], MATCH.portal, MATCH.channels)} AS channel_ok,
@@ -506,14 +657,14 @@ SQL = {
     "url_exclusion": f"SELECT idx, url FROM ({_P}) p WHERE NOT "
                      + oracle.contains_any("coalesce(url, 'None')", CLEAN.excluded_urls),
     "keyword_filter": f"""SELECT idx, keyword FROM ({_P}) p
-        WHERE coalesce(contains(lower(coalesce(title, 'nan')), lower(keyword))
-                       OR contains(lower(coalesce(content, 'nan')), lower(keyword)), FALSE)""",
+        WHERE coalesce(contains(lower(coalesce(title, 'None')), lower(keyword))
+                       OR contains(lower(coalesce(content, 'None')), lower(keyword)), FALSE)""",
     "banned_terms": f"SELECT idx, account FROM ({_P}) p WHERE NOT ("
                     + " OR ".join(f"regexp_matches(coalesce({c}, ''), {oracle.q(t)}, 'i')" for c, t in CLEAN.banned)
                     + ")",
-    "trust_filter": f"""SELECT idx, (({oracle.contains_any("coalesce(content, 'nan')", CLEAN.untrusted_phrases)}
-                         OR {oracle.contains_any("coalesce(content, 'nan')", CLEAN.untrusted_domains)})
-                         AND NOT {oracle.contains_any("coalesce(content, 'nan')", CLEAN.trusted_domains)}) AS removed
+    "trust_filter": f"""SELECT idx, (({oracle.contains_any("coalesce(content, 'None')", CLEAN.untrusted_phrases)}
+                         OR {oracle.contains_any("coalesce(content, 'None')", CLEAN.untrusted_domains)})
+                         AND NOT {oracle.contains_any("coalesce(content, 'None')", CLEAN.trusted_domains)}) AS removed
                        FROM ({_P}) p""",
     "ending_filter": f"""SELECT idx,
         ((NOT coalesce(contains(t, 'nd.'), FALSE) OR coalesce(contains(t, 'and.'), FALSE))
@@ -522,6 +673,47 @@ SQL = {
         FROM (SELECT idx, split_part(title, '&keyword=', 1) AS t, content FROM ({_P}) p0) p""",
     "column_counts": f"""SELECT count(idx) AS idx, count(title) AS title, count(content) AS content,
         count(keyword) AS keyword, count(account) AS account, count(url) AS url FROM ({_P}) p""",
+    "copy_ratio_sentences": f"""
+        WITH p AS ({oracle.PAIRS_V}),
+        u AS (SELECT pair_id, unnest(range(len(l))) AS s_pos, unnest(l) AS article, post
+              FROM (SELECT pair_id, {oracle.sentences('article')} AS l, post FROM p) x),
+        c AS ({oracle.copy_ratio("SELECT pair_id || '#' || s_pos AS unit, article, post FROM u", "unit", STOPWORDS)}),
+        k AS (SELECT u.pair_id, c.cosine FROM u JOIN c ON c.unit = u.pair_id || '#' || u.s_pos
+              WHERE len({oracle.score_tokens('u.article', STOPWORDS)}) > 0 OR len({oracle.score_tokens('u.post', STOPWORDS)}) > 0)
+        SELECT p.pair_id, round(coalesce(a.cosine, 0.0), 9) AS cosine, round(coalesce(a.cosine, 0.0), 2) AS ratio
+        FROM p LEFT JOIN (SELECT pair_id, avg(cosine) AS cosine FROM k GROUP BY pair_id) a ON a.pair_id = p.pair_id""",
+    "word_groups": f"""
+        WITH w AS (SELECT doc_id, l, unnest(range(len(l))) AS pos, unnest(l) AS word FROM (SELECT doc_id, {_W} AS l FROM documents) x),
+        g AS (SELECT doc_id, pos, word, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (
+                     PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g_pos FROM w)
+        SELECT doc_id, CAST(g_pos AS INTEGER) AS g_pos, CAST(count(*) AS INTEGER) AS n_words, string_agg(word, ' ' ORDER BY pos) AS text
+        FROM g GROUP BY doc_id, g_pos
+        UNION ALL SELECT doc_id, 0, 0, '' FROM documents WHERE len({_W}) = 0""",
+    "post_rows": """SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, doc_id, split_part(text, chr(10), 1) AS title,
+        source AS account FROM documents""",
+    "reference_list": "SELECT source || '/' || doc_id AS value FROM documents WHERE doc_id % 3 <> 0",
+    "publisher_ids": "SELECT DISTINCT lpad(CAST(doc_id % 7 AS VARCHAR), 3, '0') AS oid FROM documents WHERE doc_id % 3 = 0",
+    "channel_links": f"""SELECT article_id FROM ({oracle.ARTICLES_V}) a
+        WHERE NOT contains(link, 'portal.example') OR article_id % 7 IN (1, 3, 5)""",
+    "stop_word_lines": f"SELECT DISTINCT unnest(l[1:3]) AS word FROM (SELECT {_W} AS l FROM documents) x",
+    "corpus_lines": "SELECT split_part(text, chr(10), 1) AS line FROM documents WHERE split_part(text, chr(10), 1) <> ''",
+    "corpus_listing": "SELECT CAST(sum(strlen(split_part(text, chr(10), 1)) + 1) AS BIGINT) AS n_bytes FROM documents",
+    "tagset_rows": """SELECT source AS tagset, lang || '_' || doc_id AS tag, CAST(n_chars AS VARCHAR) AS description FROM documents""",
+    "token_csv": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN pos % 5 <> 0 THEN token END AS token FROM ({_TOKV}) t",
+    "result_sink": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
+    "appended_lines": """SELECT CAST(doc_id AS VARCHAR) AS value FROM documents
+        UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 10 = 7""",
+    "empty_result": f"SELECT idx, title, content, keyword, account, url FROM ({_P}) p WHERE idx < 0",
+    "clean_job": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
+    "match_job": f"""SELECT p.idx, p.title, p.content, p.keyword, p.account, p.url, m.article_link, m.copy_ratio
+        FROM ({_P}) p JOIN ({_MATCH}) m ON m.idx = p.idx""",
+    "string_guard": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents",
+    "morph_rows": f"SELECT doc_id, pos, token AS morph FROM ({_TOKV}) t",
+    "flat_groups": f"""
+        WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS line_pos, unnest(ls) AS line
+                   FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS ls FROM documents) a)
+        SELECT doc_id, CAST(line_pos AS INTEGER) AS line_pos, CAST(unnest(range(len(tk))) AS INTEGER) AS pos_in_group, unnest(tk) AS morph
+        FROM (SELECT doc_id, line_pos, {oracle.ws_tokens("lower(" + oracle.normalize_for_score('line') + ")")} AS tk FROM l) b""",
 }
 
 QUERIES = {
@@ -571,4 +763,22 @@ QUERIES = {
     "trust_filter": q_trust_filter,
     "ending_filter": q_ending_filter,
     "column_counts": q_column_counts,
+    "copy_ratio_sentences": q_copy_ratio_sentences,
+    "post_rows": q_post_rows,
+    "reference_list": q_reference_list,
+    "publisher_ids": q_publisher_ids,
+    "channel_links": q_channel_links,
+    "stop_word_lines": q_stop_word_lines,
+    "corpus_lines": q_corpus_lines,
+    "corpus_listing": q_corpus_listing,
+    "tagset_rows": q_tagset_rows,
+    "token_csv": q_token_csv,
+    "result_sink": q_result_sink,
+    "appended_lines": q_appended_lines,
+    "empty_result": q_empty_result,
+    "clean_job": q_clean_job,
+    "match_job": q_match_job,
+    "string_guard": q_string_guard,
+    "morph_rows": q_morph_rows,
+    "flat_groups": q_flat_groups,
 }

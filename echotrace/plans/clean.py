@@ -31,14 +31,18 @@ class CleanParams:
 
 def flag_posts(posts: DataFrame, p: CleanParams) -> DataFrame:
     """Adds ``stage``: 0 kept, 1 URL excluded, 2 keyword/banned, 3 untrusted,
-    4 ending filter — the first filter that removes the row."""
+    4 ending filter — the first filter that removes the row.  Lists given as
+    DataFrames are joined by ``idx``; nothing is counted or collected."""
     df = posts.withColumn("title", preprocess_title("title"))
-    url_out = flt.contains_any(F.coalesce(F.col("url"), F.lit("None")), p.excluded_urls)
+    body = flt.as_text("content")
+    for name, text, values in (("_url", flt.as_text("url"), p.excluded_urls), ("_phrase", body, p.untrusted_phrases),
+                               ("_domain", body, p.untrusted_domains), ("_trusted", body, p.trusted_domains)):
+        df = flt.list_flag(df, "idx", text, values, name)
     search_out = ~flt.keyword_present() | flt.banned_term_flag(p.banned)
-    untrusted = flt.untrusted_flag(p.untrusted_phrases, p.untrusted_domains, p.trusted_domains)
+    untrusted = (F.col("_phrase") | F.col("_domain")) & ~F.col("_trusted")
     ending = flt.ending_flag(p.ending, p.ending_exception, p.keep_term)
-    stage = (F.when(url_out, 1).when(search_out, 2).when(untrusted, 3).when(ending, 4).otherwise(0))
-    return df.withColumn("stage", stage)
+    stage = (F.when(F.col("_url"), 1).when(search_out, 2).when(untrusted, 3).when(ending, 4).otherwise(0))
+    return df.withColumn("stage", stage).drop("_url", "_phrase", "_domain", "_trusted")
 
 
 def clean_posts(posts: DataFrame, p: CleanParams) -> DataFrame:

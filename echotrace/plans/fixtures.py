@@ -11,9 +11,9 @@ benchmark passage); the same definitions are written in DuckDB SQL in
                look like portal links with a publisher id.  Matching excludes
                the pair (post i, article i), so no text meets itself.
 * ``pairs``    neighbouring documents, plus benchmark passages against the
-               documents that contain their first 40 characters.
+               documents that share a run of eight words with them.
 * ``tokens``   long token table ``(doc_id, pos, token)``.
-* ``dictionary`` synthetic (surface, tag) table from frequent tokens.
+* ``dictionary`` synthetic (surface, tag) table: every token, tagged by its length.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ from echotrace.functions.tokens import whitespace_tokens
 from echotrace.functions.text import normalize_for_score
 from echotrace.session import read_table
 
-# Bound on benchmark passages that have no whole interior word in their first
-# 40 characters and are therefore matched by a nested-loop ``contains``.
-MAX_UNANCHORED_PASSAGES = 10_000
+#: Words in a row that a passage and a document share.
+RUN_WORDS = 8
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,32 +56,23 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("body"))
 
 
+def _runs(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, run): distinct runs of ``RUN_WORDS`` words anywhere in the text."""
+    w = df.select(id_col, words("text").alias("_w")).where(F.size("_w") >= RUN_WORDS)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (RUN_WORDS - 1)),
+                       lambda i: F.array_join(F.slice("_w", i, RUN_WORDS), " "))
+    return w.select(id_col, F.explode(F.array_distinct(runs)).alias("run"))
+
+
 def _passage_candidates(bench: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id) with ``contains(doc.text, prefix40(item.text))``.
-
-    Exact, without a cross join: a whole word strictly inside the 40-character
-    prefix is a whitespace token of every document containing the prefix, so
-    the longest such word is an equi-join key into the document token table;
-    ``contains`` then verifies.  Passages without an interior word (a prefix
-    with fewer than three pieces) are few and bounded by a checked count."""
-    pieces = F.split(F.col("prefix"), R.WS + "+", -1)
-    interior = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda x: x != "")
-    anchor = F.aggregate(interior, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-    b = (bench.select("item_id", F.col("text").alias("i_text"))
-              .withColumn("prefix", F.substring("i_text", 1, 40))
-              .withColumn("anchor", anchor))
-    doc_tokens = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("anchor"))
-    anchored = (b.where(F.col("anchor") != "").join(doc_tokens, "anchor")
-                 .join(docs.select("doc_id", F.col("text").alias("d_text")), "doc_id")
-                 .where(F.contains(F.col("d_text"), F.col("prefix"))))
-    loose = b.where(F.col("anchor") == "")
-    n_loose = loose.count()
-    if n_loose > MAX_UNANCHORED_PASSAGES:
-        raise ValueError(f"{n_loose} passages without an anchor word exceed {MAX_UNANCHORED_PASSAGES}")
-    unanchored = (docs.select("doc_id", F.col("text").alias("d_text"))
-                      .join(F.broadcast(loose), F.contains(F.col("d_text"), F.col("prefix"))))
-    cols = ["item_id", "doc_id", "i_text", "d_text"]
-    return anchored.select(*cols).unionByName(unanchored.select(*cols))
+    """(item_id, doc_id, texts): passages and documents that share a run of words.
+
+    Whole passages and whole documents are shingled; only ids travel through the
+    join on runs, the texts follow for the pairs found."""
+    near = (_runs(bench, "item_id").join(_runs(docs, "doc_id"), "run").select("item_id", "doc_id").distinct())
+    return (near.join(bench.select("item_id", F.col("text").alias("i_text")), "item_id")
+                .join(docs.select("doc_id", F.col("text").alias("d_text")), "doc_id")
+                .select("item_id", "doc_id", "i_text", "d_text"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +94,9 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(toks).alias("pos", "token"))
 
 
-def dictionary(spark: SparkSession, sf_dir: str, min_docs: int = 20) -> DataFrame:
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     toks = F.array_distinct(whitespace_tokens(F.lower(normalize_for_score(F.col("text")))))
-    tag = (F.when(F.length("token") % 4 == 0, "ncn").when(F.length("token") % 4 == 1, "pvg")
-            .when(F.length("token") % 4 == 2, "jcs").otherwise("mag"))
-    # distinct per document inside the row, so one partially aggregated shuffle
-    return (d.select(F.explode(toks).alias("token"))
-             .groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
-             .where(F.col("n_docs") >= min_docs)
-             .select(F.col("token").alias("surface"), tag.alias("tag")))
+    tag = (F.when(F.length("surface") % 4 == 0, "ncn").when(F.length("surface") % 4 == 1, "pvg")
+            .when(F.length("surface") % 4 == 2, "jcs").otherwise("mag"))
+    return d.select(F.explode(toks).alias("surface")).distinct().select("surface", tag.alias("tag"))

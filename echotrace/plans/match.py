@@ -5,8 +5,8 @@ posts -> search queries (P2, P4, P5, P6) -> exact top-5 retrieval per query
 copy ratio of every surviving candidate (A5) -> best per post (A6, W3) ->
 left merge with defaults (J6) -> bucket statistics (A7) appended (U1).
 
-Each post and each candidate article is tokenised once; the only Python is
-none at all — every step is a DataFrame expression, join, aggregate or window.
+Each post and each candidate article is tokenised once for scoring.  Python runs
+only inside the retrieval blocks, on arrays of a bounded number of articles.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions.text import clean_text, hyperlink, round_ratio
-from echotrace.functions.tokens import score_tokens
+from echotrace.functions.tokens import Tokenizer, score_tokens
 from echotrace.operators import links, retrieve
 from echotrace.operators.score import pair_cosine, term_frequencies
 from echotrace.session import cut_lineage
@@ -26,39 +26,42 @@ from echotrace.session import cut_lineage
 @dataclass
 class MatchParams:
     k: int = 5
-    max_df: int | None = None
     stopwords: list = field(default_factory=list)
     excluded_domains: object = field(default_factory=list)
     portal: str = "naver.com"
     channels: dict = field(default_factory=dict)
+    oids: DataFrame | None = None  # (channel, oid) table in place of the id lists in ``channels``
     min_body: int = 300
     noun_prefix: str = "n"
     exclude_self: bool = True
+    tokenizer: Tokenizer | None = None
+    literal_escape: bool = False
 
 
 def candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams,
                cleaned: DataFrame | None = None) -> DataFrame:
     """``(idx, cand_pos, q_pos, rank, article_id, link, body)`` in result order."""
-    q = retrieve.search_queries(posts, dictionary, noun_prefix=p.noun_prefix, cleaned=cleaned)
-    hits = retrieve.top_k(q, articles.select("article_id", "body"), k=p.k, max_df=p.max_df,
+    q = retrieve.search_queries(posts, dictionary, noun_prefix=p.noun_prefix, cleaned=cleaned,
+                                literal_escape=p.literal_escape)
+    hits = retrieve.top_k(q, articles.select("article_id", "body"), k=p.k, tokenizer=p.tokenizer,
                           stopwords=p.stopwords, exclude_self=p.exclude_self)
     hits = hits.join(articles.select("article_id", "link", "body"), "article_id")
-    hits = links.apply_policy(hits, p.excluded_domains, p.portal, p.channels, p.min_body)
+    hits = links.apply_policy(hits, p.excluded_domains, p.portal, p.channels, p.min_body, oids=p.oids)
     return retrieve.first_seen(hits, "link")
 
 
 def scored_candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams) -> DataFrame:
     """Candidates with ``cosine`` and the rounded ``copy_ratio``."""
     # the posts' cleaned texts feed both the queries and the scoring: clean once
-    cleaned = cut_lineage(retrieve.clean_post_texts(posts))
+    cleaned = cut_lineage(retrieve.clean_post_texts(posts, literal_escape=p.literal_escape))
     cand = cut_lineage(candidates(posts, articles, dictionary, p, cleaned)
                        .select("idx", "cand_pos", "article_id", "link"))
     post_text = cleaned.select("idx", F.concat("title_c", F.lit(" "), "content_c").alias("text"))
     post_text = post_text.join(cand.select("idx").distinct(), "idx", "left_semi")
     art_text = (articles.join(cand.select("article_id").distinct(), "article_id", "left_semi")
-                        .select("article_id", clean_text("body").alias("text")))
-    b_tf = term_frequencies(post_text, "idx", score_tokens("text", None, p.stopwords))
-    a_tf = term_frequencies(art_text, "article_id", score_tokens("text", None, p.stopwords))
+                        .select("article_id", clean_text("body", p.literal_escape).alias("text")))
+    b_tf = term_frequencies(post_text, "idx", score_tokens("text", p.tokenizer, p.stopwords))
+    a_tf = term_frequencies(art_text, "article_id", score_tokens("text", p.tokenizer, p.stopwords))
     keys = cand.select(F.concat_ws(":", F.col("idx").cast("string"), F.col("cand_pos").cast("string")).alias("pair"),
                        F.col("article_id").alias("a_id"), F.col("idx").alias("b_id"), "idx", "cand_pos", "link")
     cos = pair_cosine(keys.select("pair", "a_id", "b_id"), a_tf, b_tf).select("pair", "cosine")
@@ -70,18 +73,23 @@ def scored_candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFra
 def best_matches(scored: DataFrame) -> DataFrame:
     """Max rounded ratio per post, the earlier candidate wins ties."""
     return (scored.groupBy("idx")
-                  .agg(F.min_by(F.struct("link", "copy_ratio", "cosine"),
+                  .agg(F.min_by(F.struct("article_id", "link", "copy_ratio", "cosine"),
                                 F.struct((-F.col("copy_ratio")).alias("neg"), F.col("cand_pos"))).alias("b"))
-                  .select("idx", "b.link", "b.copy_ratio", "b.cosine"))
+                  .select("idx", "b.article_id", "b.link", "b.copy_ratio", "b.cosine"))
+
+
+def with_best(posts: DataFrame, best: DataFrame) -> DataFrame:
+    """Every post with all its columns, ``article_link`` ('' when none) and
+    ``copy_ratio`` (0.0 when none)."""
+    b = best.select(F.col("idx").alias("_i"), hyperlink("link").alias("_link"), F.col("copy_ratio").alias("_ratio"))
+    kept = [c for c in posts.columns if c not in ("article_link", "copy_ratio")]
+    return (posts.select(*kept).join(b, F.col("idx") == F.col("_i"), "left")
+                 .select(*kept, F.coalesce("_link", F.lit("")).alias("article_link"),
+                         F.coalesce("_ratio", F.lit(0.0)).alias("copy_ratio")))
 
 
 def match_posts(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams) -> DataFrame:
-    """Every post with ``article_link`` ('' when none) and ``copy_ratio``
-    (0.0 when none)."""
-    best = best_matches(scored_candidates(posts, articles, dictionary, p))
-    return (posts.select("idx").join(best, "idx", "left")
-                 .select("idx", F.coalesce(hyperlink("link"), F.lit("")).alias("article_link"),
-                         F.coalesce("copy_ratio", F.lit(0.0)).alias("copy_ratio")))
+    return with_best(posts, best_matches(scored_candidates(posts, articles, dictionary, p)))
 
 
 def bucket_stats(result: DataFrame, ratio: str = "copy_ratio") -> DataFrame:

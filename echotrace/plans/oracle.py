@@ -97,10 +97,17 @@ SELECT 'n' || CAST(a.doc_id AS VARCHAR) AS pair_id, a.text AS article, b.text AS
 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
 UNION ALL
 SELECT 'b' || CAST(i.item_id AS VARCHAR) || '_' || CAST(d.doc_id AS VARCHAR), i.text, d.text
-FROM benchmark i JOIN documents d ON contains(d.text, substr(i.text, 1, 40))
+FROM (SELECT DISTINCT a.item_id, b.doc_id FROM (%s) a JOIN (%s) b ON a.run = b.run) n
+JOIN benchmark i ON i.item_id = n.item_id JOIN documents d ON d.doc_id = n.doc_id
 """
 
 
+def runs(table: str, id_col: str, n: int = 8) -> str:
+    """Distinct runs of ``n`` whitespace words of every text."""
+    return (f"SELECT DISTINCT {id_col}, array_to_string(w[i:i + {n - 1}], ' ') AS run FROM (SELECT {id_col}, w, "
+            f"unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {id_col}, {words('text')} AS w FROM {table}) x) y")
+
+
 def tokens_v() -> str:
     toks = ws_tokens(f"lower({normalize_for_score('text')})")
     return f"""
@@ -109,12 +116,12 @@ FROM (SELECT doc_id, {toks} AS l FROM documents) s
 """
 
 
-def dict_v(min_docs: int = 20) -> str:
+def dict_v() -> str:
     return f"""
 SELECT token AS surface,
        CASE length(token) % 4 WHEN 0 THEN 'ncn' WHEN 1 THEN 'pvg'
                               WHEN 2 THEN 'jcs' ELSE 'mag' END AS tag
-FROM ({tokens_v()}) t GROUP BY token HAVING count(DISTINCT doc_id) >= {min_docs}
+FROM ({tokens_v()}) t GROUP BY token
 """
 
 
@@ -153,9 +160,9 @@ def contains_any(expr: str, values) -> str:
 
 def clean_stage(posts_sql: str, p) -> str:
     """Posts with the ``stage`` column of ``echotrace.plans.clean.flag_posts``."""
-    body = "coalesce(CAST(content AS VARCHAR), 'nan')"
-    kw = ("coalesce(contains(lower(coalesce(CAST(title AS VARCHAR), 'nan')), lower(keyword)) "
-          "OR contains(lower(coalesce(CAST(content AS VARCHAR), 'nan')), lower(keyword)), FALSE)")
+    body = "coalesce(CAST(content AS VARCHAR), 'None')"
+    kw = ("coalesce(contains(lower(coalesce(CAST(title AS VARCHAR), 'None')), lower(keyword)) "
+          "OR contains(lower(coalesce(CAST(content AS VARCHAR), 'None')), lower(keyword)), FALSE)")
     banned = " OR ".join(f"regexp_matches(coalesce({c}, ''), {q(t)}, 'i')" for c, t in p.banned) or "FALSE"
 
     def has(c, s):
@@ -340,3 +347,6 @@ SELECT tt.idx, array_to_string(list(tt.surface ORDER BY tt.pos)[1:5], ' ') AS ke
 FROM tt JOIN ({dict_sql}) d ON d.surface = tt.surface
 WHERE starts_with(d.tag, {q(noun_prefix)}) GROUP BY tt.idx
 """
+
+
+PAIRS_V = PAIRS_V % (runs("benchmark", "item_id"), runs("documents", "doc_id"))

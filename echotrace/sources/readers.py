@@ -1,17 +1,18 @@
 """Readers (S1-S12) and row index (P25).
 
-Everything returns a DataFrame with an explicit schema; nothing is read on
-the driver except bounded parameter lists (see ``operators.filters``).
+Everything returns a DataFrame with an explicit schema; nothing is collected.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotrace.functions import regex as R
 from echotrace.functions.text import py_strip
+from echotrace.session import cut_lineage
 from echotrace.sources.reference_data import USER_DICT_DEFAULT_TAG
 
 # Source sheet headers and the column names used here.
@@ -39,16 +40,19 @@ POST_SCHEMA = T.StructType([
 
 # ---------------------------------------------------------------- P25
 def with_row_index(df: DataFrame, name: str = "idx") -> DataFrame:
-    """0-based consecutive row index in file order, computed distributedly:
-    per-partition counts (one small row per partition) give each partition its
-    offset; rows never move."""
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    # offsets has one row per input partition: a size bounded by the plan
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return out.withColumn(name, F.col("_off") + local).drop("_pid", "_mid", "_off")
+    """0-based consecutive row index in file order, for a frame read from files.
+
+    A row's place is (file path, start of its split, position in the split);
+    rows never move.  The rows are checkpointed first, so the counts and the
+    result see the same rows; offsets have one row per split."""
+    tagged = cut_lineage(df.select("*", F.col("_metadata.file_path").alias("_file"),
+                                   F.col("_metadata.file_block_start").alias("_start"),
+                                   F.monotonically_increasing_id().alias("_mid")))
+    splits = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    offsets = splits.select(F.col("_file").alias("_of"), F.col("_start").alias("_os"), "_first",
+                            (F.sum("_n").over(Window.orderBy("_file", "_start")) - F.col("_n")).alias("_off"))
+    out = tagged.join(offsets, (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_os")))
+    return out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first")).select(*df.columns, name)
 
 
 # ---------------------------------------------------------------- S1 / S2
@@ -72,11 +76,12 @@ def read_posts(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
         reader = reader.option("header", True).option("inferSchema", False)
     if schema is not None:
         reader = reader.schema(schema)
-    df = normalize_headers(reader.load(path), header_map)
+    df = reader.load(path)
+    if "idx" not in normalize_headers(df, header_map).columns:
+        df = with_row_index(df)
+    df = normalize_headers(df, header_map)
     if "reg_date" in df.columns:
         df = df.withColumn("reg_date", F.col("reg_date").cast("string"))
-    if "idx" not in df.columns:
-        df = with_row_index(df)
     return df
 
 
@@ -97,6 +102,10 @@ def list_frame(spark: SparkSession, values, name: str = "value") -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], schema)
 
 
+def _is_missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
 # ---------------------------------------------------------------- S4
 def zero_fill(col, width: int = 3):
     """``str.zfill(3)``: left-pad with zeros, never truncate."""
@@ -111,15 +120,16 @@ def zero_fill(col, width: int = 3):
 
 def load_oids(spark: SparkSession, path: str, column: str = "oid", fmt: str = "csv", **options) -> DataFrame:
     """Publisher ids: drop nulls, integer, string, zero-filled to 3, distinct.
-    An unreadable source gives an empty table (as the reference)."""
-    schema = T.StructType([T.StructField("oid", T.StringType())])
+    A missing file gives an empty table; any other error is raised."""
     try:
         vals = load_list(spark, path, column, fmt, **options)
-        as_int = F.expr("try_cast(try_cast(value AS DOUBLE) AS BIGINT)")
-        return (vals.select(as_int.alias("_i")).where(F.col("_i").isNotNull())
-                    .select(zero_fill(F.col("_i").cast("string")).alias("oid")).distinct())
-    except Exception:  # noqa: BLE001 — a missing file means an empty list
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        return spark.createDataFrame([], "oid string")
+    as_int = F.expr("try_cast(try_cast(value AS DOUBLE) AS BIGINT)")
+    return (vals.select(as_int.alias("_i")).where(F.col("_i").isNotNull())
+                .select(zero_fill(F.col("_i").cast("string")).alias("oid")).distinct())
 
 
 def channel_oids(frames: dict[str, DataFrame]) -> DataFrame:
@@ -133,13 +143,14 @@ def channel_oids(frames: dict[str, DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- S5
 def load_stopwords(spark: SparkSession, path: str) -> DataFrame:
-    """Stripped, non-empty, distinct lines; a missing file gives no words."""
-    schema = T.StructType([T.StructField("word", T.StringType())])
+    """Stripped, non-empty, distinct lines; a missing file gives no words, any other error is raised."""
     try:
         lines = spark.read.text(path)
-        return (lines.select(py_strip("value").alias("word")).where(F.col("word") != "").distinct())
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        return spark.createDataFrame([], "word string")
+    return lines.select(py_strip("value").alias("word")).where(F.col("word") != "").distinct()
 
 
 # ---------------------------------------------------------------- S6 / S7
@@ -213,7 +224,7 @@ def parse_tag_hierarchy(lines: DataFrame, col: str = "value") -> DataFrame:
     parts = F.split(py_strip(F.col(col)), R.WS + "+", -1)
     t = lines.where(F.col(col).rlike("^TSET" + R.WS)).select(parts.alias("p"))
     return t.select(F.try_element_at("p", F.lit(2)).alias("parent"),
-                    F.explode(F.slice("p", 3, 1 << 20)).alias("child"))
+                    F.explode(F.slice("p", 3, F.size("p"))).alias("child"))
 
 
 def read_tag_hierarchy(spark: SparkSession, path: str) -> DataFrame:

@@ -57,11 +57,24 @@ def test_empty_input_and_counts(spark):
     assert c["url"] == 6 and c["idx"] == 7
 
 
-def test_list_bound(spark):
-    import pytest
-    with pytest.raises(ValueError):
-        flt.list_values(["a"] * 5, max_entries=3)
-    lst = spark.createDataFrame([("a",), (None,), ("b",)], "v string")
-    assert sorted(flt.list_values(lst)) == ["a", "b"]
-    df = spark.createDataFrame([("xa",), ("yy",)], "t string")
-    assert [r[0] for r in df.select(flt.contains_any(F.col("t"), lst)).collect()] == [True, False]
+def test_long_lists_are_joined(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abc가") for _ in range(n))
+    texts = [(i, None if i == 7 else word(rng.randint(0, 40))) for i in range(60)]
+    values = [word(rng.randint(1, 9)) for _ in range(40)] + [None, "zz", ""]
+    df = spark.createDataFrame(texts, "idx long, t string")
+    want = {i: any(v in (t or "") for v in values if v) if t is not None else False for i, t in texts}
+    by_join = flt.contains_flag(df, "idx", F.col("t"), spark.createDataFrame([(v,) for v in values], "v string"), "f")
+    assert {r["idx"]: r["f"] for r in by_join.collect()} == want
+    assert {r["idx"]: r["f"] for r in df.select("idx", flt.contains_any("t", values).alias("f")).collect()} == want
+    long_list = [f"entry-{i}" for i in range(20_000)]
+    few = spark.createDataFrame([(1, "x entry-19999 y"), (2, "entry"), (3, "an entry-5")], "idx long, t string")
+    got = flt.contains_flag(few, "idx", F.col("t"), spark.createDataFrame([(v,) for v in long_list], "v string"), "f")
+    assert {r["idx"]: r["f"] for r in got.collect()} == {1: True, 2: False, 3: True}
+
+
+def test_missing_cells_print_none(spark):
+    df = spark.createDataFrame([(1, None, None, "na", "a", None), (2, None, None, "non", "a", None)], SCHEMA)
+    assert [r["idx"] for r in flt.keep_keyword_posts(df).collect()] == [2]

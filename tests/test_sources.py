@@ -34,9 +34,22 @@ def test_posts_headers_and_index(spark, tmp_path):
     assert set(df.columns) == {"title", "content", "keyword", "reg_date", "idx"}
     got = sorted((r["idx"], r["title"], r["reg_date"]) for r in df.collect())
     assert got == [(0, "t1", "2024-01-01"), (1, "t2", "0012")]
-    big = spark.range(0, 1000, numPartitions=7).withColumn("v", F.col("id"))
-    idx = rd.with_row_index(big)
-    assert sorted(r["idx"] for r in idx.collect()) == list(range(1000))
+
+
+def test_row_index_follows_the_files(spark, tmp_path):
+    # files of unequal size, the largest last: Spark packs splits by size
+    n = 0
+    for f, rows in enumerate([3, 40, 1, 5000]):
+        (tmp_path / f"p{f}.csv").write_text("title\n" + "".join(f"t{n + i} {'x' * (i % 50)}\n" for i in range(rows)), encoding="utf-8")
+        n += rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = rd.read_posts(spark, str(tmp_path), fmt="csv")
+        got = {r["idx"]: r["title"].split()[0] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: f"t{i}" for i in range(n)}
 
 
 def test_struct_title(spark):

@@ -77,6 +77,28 @@ def test_hierarchy_closure(spark):
     assert {"sf", "ncn", "jcs", "unk", "xsnca"} <= all_leaf
 
 
+def test_closure_of_a_long_chain(spark):
+    import time
+
+    edges = spark.createDataFrame([(f"g{i}", f"g{i + 1}") for i in range(40)], "parent string, child string")
+    t0 = time.time()
+    assert tg.closure(edges).count() == 40 * 41 // 2
+    assert time.time() - t0 < 30
+
+
+def test_block_without_analyses_stays(spark):
+    df = spark.createDataFrame([(1, "a\n\ta/N\n\nb\n\nc\n\tc/V+d/E")], "id int, t string")
+    got = sorted((r["block_pos"], r["surface"], r["morph"] or "") for r in tg.parse_block_output(df, "id", "t").collect())
+    assert got == [(0, "a", "a"), (1, "b", ""), (2, "c", "c"), (2, "c", "d")]
+
+
+def test_first_dictionary_line_wins(spark):
+    d = spark.createDataFrame([(2, "x", "b"), (1, "x", "c"), (3, "y", "n")], "nr int, surface string, tag string")
+    assert {r["surface"]: r["tag"] for r in tg.first_entries(d, "nr").collect()} == {"x": "c", "y": "n"}
+    t = spark.createDataFrame([("x",), ("x",)], "token string")
+    assert [r["tag"] for r in tg.tag_with_dictionary(t, d, order="nr").collect()] == ["c", "c"]
+
+
 def test_tagsets(spark, tmp_path):
     (tmp_path / "mini.json").write_text('{"NC": "보통명사", "JC": "격조사"}', encoding="utf-8")
     got = {(r["tagset"], r["tag"]): r["description"] for r in rd.read_tagsets(spark, str(tmp_path)).collect()}
