@@ -6,12 +6,10 @@ columns (also ones named like an operator's own outputs) never clash.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.session import cut_lineage, ensure_checkpoint_dir, read_table
+from echotrace.session import cut_lineage, read_table, scratch_path
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +22,6 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name inside the shared checkpoint folder of the cluster."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

@@ -313,3 +313,23 @@ def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("__hash", F.xxhash64("text"))
     # both steps deal the texts by the same two columns: they move once
     return keyed.join(keys, ["__doc", "__hash"], "left_semi").dropDuplicates(["__doc", "__hash"]).select(*docs.columns)
+
+
+#: The same rows by joining all shingles and closing the links.
+NEAR_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4
+           THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s FROM w),
+one AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
+          WHERE 100 * c >= 80 * (len(a.s) + len(b.s) - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id, r.c = s.doc_id AS kept
+FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""

@@ -126,11 +126,10 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, min_support:
                                                .otherwise(F.concat("template", F.lit("/"), "named")))
                       .select("host", "shape", "n", "n_lab", "n_bad", "template"))
         nodes = cut(nodes)
-    everything = nodes.agg((F.sum("n_bad") / F.greatest(F.sum("n_lab"), F.lit(1))).alias("g"))
+    everything = nodes.agg((F.sum("n_bad") / F.greatest(F.sum("n_lab"), F.lit(1))).alias("g")).collect()[0]["g"]
     hosts = (nodes.groupBy("host").agg(F.sum("n_lab").alias("h_lab"), F.sum("n_bad").alias("h_bad"))
-                  .crossJoin(F.broadcast(everything))  # one row
                   .select(F.col("host").alias("h_host"), "h_lab",
-                          ((F.col("h_bad") + smooth * F.col("g")) / (F.col("h_lab") + smooth)).alias("host_share")))
+                          ((F.col("h_bad") + smooth * F.lit(everything or 0.0)) / (F.col("h_lab") + smooth)).alias("host_share")))
     pure = (nodes.groupBy("host", "template").agg(F.sum("n_lab").alias("t_lab"), F.sum("n_bad").alias("t_bad"))
                  .join(hosts, F.col("host") == F.col("h_host"))
                  .select(F.col("host").alias("t_host"), F.col("template").alias("t_template"), "t_lab", "t_bad",
@@ -161,3 +160,48 @@ def page_labels(labels: DataFrame) -> DataFrame:
     bad = F.when(F.col("quality").isNull() & F.col("toxic").isNull(), F.lit(None).cast("int")).otherwise(
         ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int"))
     return labels.select("doc_id", bad.alias("bad"))
+
+
+def templates_sql(depth: int = 4, min_support: int = 5, z: float = 1.96, smooth: float = 4.0, reject_at: float = 0.5) -> str:
+    """The same rows over ``pages`` and ``labels``, one node table per level."""
+    ends = r"'\.[A-Za-z]{1,5}$'"
+    levels, last = [], "n0"
+    for i in range(1, depth + 2):
+        levels.append(f"""
+c{i} AS (SELECT host, template, shape[{i}] AS seg, sum(n_lab) AS c_lab, sum(n_bad) AS c_bad FROM {last}
+        WHERE len(shape) >= {i} GROUP BY ALL),
+p{i} AS (SELECT *, sum(c_bad) OVER (PARTITION BY host, template) / greatest(sum(c_lab) OVER (PARTITION BY host, template), 1) AS p FROM c{i}),
+d{i} AS (SELECT host, template, seg, CASE WHEN c_lab >= {min_support} AND abs(c_bad / greatest(c_lab, 1) - p)
+                > {z} * sqrt(p * (1 - p) / greatest(c_lab, 1)) THEN seg ELSE '*' END AS named FROM p{i}),
+n{i} AS (SELECT n.host, n.shape, n.n_lab, n.n_bad, CASE WHEN d.named IS NULL THEN n.template ELSE n.template || '/' || d.named END AS template
+        FROM {last} n LEFT JOIN d{i} d ON d.host = n.host AND d.template = n.template AND len(n.shape) >= {i} AND d.seg = n.shape[{i}]),""")
+        last = f"n{i}"
+    fits = [f"(s.host = '{r.host}' OR ends_with(s.host, '.{r.host}')) AND starts_with(s.path, '{r.path}')" for r in RULES]
+    longest = sorted(zip(RULES, fits), key=lambda x: -len(x[0].text))
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.text}'" for r, f in longest) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for r, f in longest) + " END"
+    return f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+parts AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM parsed),
+shaped AS (
+  SELECT page_id, host, path, list_concat(list_transform(parts[1:{depth}], lambda x:
+    CASE WHEN regexp_matches(regexp_replace(x, {ends}, ''), '^[0-9]+$') THEN '{{n}}'
+         WHEN regexp_matches(regexp_replace(x, {ends}, ''), '^[0-9a-fA-F-]{{16,}}$') THEN '{{hex}}'
+         WHEN regexp_matches(regexp_replace(x, {ends}, ''), '[0-9]') THEN '{{mixed}}' ELSE regexp_replace(x, {ends}, '') END
+    || regexp_extract(x, {ends})), CASE WHEN len(parts) > {depth} THEN ['**'] ELSE []::VARCHAR[] END) AS shape FROM parts),
+lab AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+        WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+n0 AS (SELECT host, shape, count(bad) AS n_lab, coalesce(sum(bad), 0) AS n_bad, '' AS template
+       FROM shaped LEFT JOIN lab ON doc_id = page_id GROUP BY host, shape),{"".join(levels)}
+g AS (SELECT coalesce(sum(n_bad) / greatest(sum(n_lab), 1), 0) AS g FROM {last}),
+h AS (SELECT host, (sum(n_bad) + {smooth} * (SELECT g FROM g)) / (sum(n_lab) + {smooth}) AS host_share FROM {last} GROUP BY host),
+t AS (SELECT x.host, x.template, (sum(n_bad) + {smooth} * any_value(host_share)) / (sum(n_lab) + {smooth}) AS bad_share
+      FROM {last} x JOIN h ON h.host = x.host GROUP BY x.host, x.template)
+SELECT s.page_id, s.host, s.path, {rule} AS rule,
+       coalesce({verdict}, CASE WHEN t.bad_share >= {reject_at} THEN 'block' ELSE 'allow' END) AS verdict, t.template
+FROM shaped s JOIN {last} n ON n.host = s.host AND n.shape = s.shape JOIN t ON t.host = n.host AND t.template = n.template
+"""
