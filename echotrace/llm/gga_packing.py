@@ -42,7 +42,7 @@ from echotrace.llm.token_ids import WordEncoder
 SHARD_PIECES = 4000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 20
 POPULATION = 4
 #: Share of a shard's bins (and the fill they must miss) that meets other shards' again.
 RELEASED, WELL_FILLED = 0.02, 0.995
