@@ -11,9 +11,10 @@ contiguous run of starts, its *context*.  That deals the suffixes out:
 1. One pass over the texts gives the contexts as digests.  Equal contexts inside a
    slice of texts are pre-aggregated; a shuffle by anchor drops contexts whose
    anchor has no other context and decides repeats of equal contexts.
-2. Contexts whose anchor has different surroundings are cut from the texts in
-   chunks of up to 16 starts and dealt by the bytes all starts of the chunk share.
-   A key with very many different chunks is dealt again by single starts.
+2. Contexts whose anchor has different surroundings are cut into chunks of up to
+   16 starts, keyed by the bytes all starts of the chunk share.  Digests tell which
+   keys have different chunks; only those chunks are cut from the texts and dealt
+   by key.  Where very many chunks share a key, their single starts are dealt.
 3. Each task sorts the suffixes of its chunks in two stages.  Only suffixes
    smaller than their successors are sorted directly (by 8-byte words, to the
    depth that matters).  The rest is induced by scanning the buckets in order:
@@ -48,11 +49,14 @@ CHUNK = 16
 CORE = LENGTH - CHUNK + 1
 STRETCH = 3 << 20
 #: Different chunks of one key that one task sorts together.
-HOT_CHUNKS = 20_000
-BUILD_BYTES = 2 << 20
+HOT_CHUNKS = 5_000
+#: Bytes of chunks in one suffix array; its working memory is about a hundred times as much.
+BUILD_BYTES = 1 << 19
 LAST_ID = (1 << 63) - 1
 REMOVED, CANDIDATE, KEPT = 0, 1, 2
-ALONE, SHARED, SETTLED = 0, 1, 2
+#: A place is one long: start (31 bits), tie of the document (14), kind (2), detail (16).
+#: Detail of a context: shared (1), distance to its anchor (7), starts (7); of kept starts: their bits.
+TIE_BITS, SHARED = 14, 1 << 15
 
 _U = np.uint64
 
@@ -67,9 +71,24 @@ BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 BASE = 0x5851F42D4C957F2D
 
 
-def pack(start, kind, detail):
-    """start (31 bits), kind (2 bits), detail (16 bits) in one long."""
-    return (start << 18) | (kind << 16) | detail
+def pack(start, tie, kind, detail):
+    return (start << 32) | (tie << 18) | (kind << 16) | detail
+
+
+def start_of(place):
+    return place >> 32
+
+
+def tie_of(place):
+    return (place >> 18) & ((1 << TIE_BITS) - 1)
+
+
+def kind_of(place):
+    return (place >> 16) & 3
+
+
+def with_kind(place, kind):
+    return (place & ~(3 << 16)) | (kind << 16)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -112,20 +131,20 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[anchor[first]], start[first], count, anchor[first]
 
 
-def context_digests(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """64-bit digest of the bytes [start, start + count + LENGTH - 1)."""
+def span_digests(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """64-bit digests of the bytes [start, stop) for each (starts, stops)."""
     n = len(data)
     power = np.full(n, BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE[data] * power, out=run[1:])
-    stop = start + count + LENGTH - 1
     # bring the sum to the place 0 by the inverse power
     back = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    return _mix(((run[stop] - run[start]) * back[start]) ^ _mix(count.astype(np.uint64)))
+    return [_mix(((run[stop] - run[start]) * back[np.minimum(start, n - 1)]) ^ _mix((stop - start).astype(np.uint64)))
+            for start, stop in spans]
 
 
 def _different(*columns: np.ndarray) -> np.ndarray:
@@ -138,9 +157,11 @@ def _different(*columns: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, tie, text): the id (null: the last), and what tells rows of one id apart: null flag and text digest."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"),
-                       F.xxhash64(text).bitwiseAND((1 << 18) - 1).cast("int").alias("tie"), text.alias("text"))
+    digest = F.xxhash64(text).bitwiseAND((1 << (TIE_BITS - 1)) - 1)
+    null = F.when(F.col("doc_id").isNull(), 1 << (TIE_BITS - 1)).otherwise(0)
+    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), (digest + null).cast("int").alias("tie"), text.alias("text"))
 
 
 def _stretches(texts: pa.Array, docs: np.ndarray, ties: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -155,37 +176,35 @@ def _stretches(texts: pa.Array, docs: np.ndarray, ties: np.ndarray) -> Iterator[
 
 
 def _digested(docs: DataFrame) -> DataFrame:
-    """(key, digest, flag, doc, tie, place): contexts, pre-aggregated inside slices."""
+    """(key, digest, doc, place): contexts, pre-aggregated inside slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", STRETCH):
                 all_docs = part.column("doc").to_numpy()
                 all_ties = part.column("tie").to_numpy().astype(np.int64)
-                for data, ends, begins, shift, doc, tie in _stretches(plain_strings(part.column("text")), all_docs, all_ties):
+                for data, ends, begins, shift, docs_, ties in _stretches(plain_strings(part.column("text")), all_docs, all_ties):
                     h, start, count, anchor = contexts(data, ends)
                     if not len(h):
                         continue
-                    digest = context_digests(data, start, count)
+                    digest, = span_digests(data, (start, start + count + LENGTH - 1))
                     of = np.searchsorted(ends, start, side="right")
-                    place = pack(start - begins[of] + shift[of], CANDIDATE, (anchor - start) << 8 | count)
-                    doc_of, tie_of = doc[of], tie[of]
-                    order = np.lexsort((place, tie_of, doc_of, digest, h))
-                    order = order[_different(h[order], digest[order], doc_of[order], tie_of[order], place[order])]
-                    h, digest, place, doc_of, tie_of = (x[order] for x in (h, digest, place, doc_of, tie_of))
+                    doc = docs_[of]
+                    place = pack(start - begins[of] + shift[of], ties[of], CANDIDATE, (anchor - start) << 7 | count)
+                    order = np.lexsort((start_of(place), tie_of(place), doc, digest, h))
+                    order = order[_different(h[order], digest[order], doc[order], place[order])]
+                    h, digest, doc, place = (x[order] for x in (h, digest, doc, place))
                     new_h = np.concatenate([[True], h[1:] != h[:-1]])
                     new_c = new_h | np.concatenate([[True], digest[1:] != digest[:-1]])
                     group = np.cumsum(new_h) - 1
                     several = np.bincount(group, weights=new_c)[group] > 1
                     # one row of each anchor goes to the anchor's key; what is decided already is spread by digest
-                    flag = np.where(new_c, np.where(several, SHARED, ALONE), SETTLED)
                     key = np.where(new_h, h, _mix(digest ^ place.astype(np.uint64)))
-                    place = np.where(new_c, place, (place & ~(3 << 16)) | REMOVED << 16)
+                    place = np.where(new_c, place | np.where(several, SHARED, 0), with_kind(place, REMOVED))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.astype(np.int64)), pa.array(digest.astype(np.int64)), pa.array(flag.astype(np.int32)),
-                         pa.array(doc_of), pa.array(tie_of.astype(np.int32)), pa.array(place)],
-                        ["key", "digest", "flag", "doc", "tie", "place"])
+                        [pa.array(key.astype(np.int64)), pa.array(digest.astype(np.int64)), pa.array(doc), pa.array(place)],
+                        ["key", "digest", "doc", "place"])
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, "key long, digest long, flag int, doc long, tie int, place long")
+    return docs.mapInArrow(run, "key long, digest long, doc long, place long")
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
@@ -210,67 +229,115 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Itera
 
 
 def _decided(digested: DataFrame) -> DataFrame:
-    """(doc, tie, place): removed contexts and those that need their bytes compared."""
+    """(doc, place): removed contexts and those that need their bytes compared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, "key", 200_000):
-            key, digest, flag, doc, tie, place = (table.column(c).to_numpy() for c in ("key", "digest", "flag", "doc", "tie", "place"))
-            order = np.lexsort((place, tie, doc, digest, flag == SETTLED, key))
-            order = order[_different(key[order], flag[order] == SETTLED, digest[order], doc[order], tie[order], place[order])]
-            key, digest, flag, doc, tie, place = (x[order] for x in (key, digest, flag, doc, tie, place))
+            key, digest, doc, place = (table.column(c).to_numpy() for c in ("key", "digest", "doc", "place"))
+            order = np.lexsort((start_of(place), tie_of(place), doc, digest, kind_of(place) == REMOVED, key))
+            key, digest, doc, place = (x[order] for x in (key, digest, doc, place))
+            live = kind_of(place) == CANDIDATE
+            new = _different(key, live, digest, doc, place & ~SHARED)
+            key, digest, doc, place, live = (x[new] for x in (key, digest, doc, place, live))
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
             new_c = new_key | np.concatenate([[True], digest[1:] != digest[:-1]])
             group = np.cumsum(new_key) - 1
-            live = flag != SETTLED
-            several = np.bincount(group, weights=(new_c & live) + 1 * (flag == SHARED))[group] > 1
+            several = np.bincount(group, weights=(new_c & live) + 1 * (live & (place & SHARED != 0)))[group] > 1
             later = live & ~new_c
-            place = np.where(later, (place & ~(3 << 16)) | REMOVED << 16, place)
+            place = np.where(later, with_kind(place, REMOVED), place)
             keep = ~live | later | several
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, tie, place)], ["doc", "tie", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, place & ~SHARED)], ["doc", "place"])
 
-    return (digested.repartition("key").sortWithinPartitions("key")
-                    .mapInArrow(run, "doc long, tie int, place long"))
+    return digested.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, place long")
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc", "tie").agg(F.collect_list("place").alias("places")).select(
-        F.col("doc").alias("p_doc"), F.col("tie").alias("p_tie"), "places")
+    tie = F.shiftright("place", 18).bitwiseAND((1 << TIE_BITS) - 1).cast("int")
+    return rows.groupBy(F.col("doc").alias("p_doc"), tie.alias("p_tie")).agg(F.collect_list("place").alias("places"))
 
 
-def _chunks(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(ck, chunk, doc, tie, base): bytes around the candidate contexts, up to 16 starts each."""
-    same = (F.col("doc") == F.col("p_doc")) & (F.col("tie") == F.col("p_tie"))
-    joined = docs.select("doc", "tie", "text").join(places, same).select("doc", "tie", "text", "places")
+def _same_document():
+    return (F.col("doc") == F.col("p_doc")) & (F.col("tie") == F.col("p_tie"))
+
+
+def _chunk_digests(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(ck, cd, doc, at, detail): candidate contexts in chunks of up to 16 starts.
+
+    ck and cd are digests of the bytes all starts share and of the whole chunk, at = (tie, first start),
+    detail = (place of the shared bytes behind the first start, starts)."""
+    joined = docs.join(places, _same_document()).select("doc", "tie", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", STRETCH):
-                data, offsets = raw_bytes(plain_strings(part.column("text")))
-                lists = part.column("places")
-                place = lists.flatten().to_numpy()
-                of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                pick = (place >> 16) & 3 == CANDIDATE
-                place, of = place[pick], of[pick]
-                start, ahead, count = place >> 18, (place >> 8) & 0xFF, place & 0xFF
+                data, offsets, place, of = _placed(part)
+                start, ahead, count = start_of(place), (place >> 7) & 0x7F, place & 0x7F
                 # starts at distances ahead, ahead - 1, ... from the anchor; chunk by distance // CHUNK
                 first, last = ahead // CHUNK, (ahead - count + 1) // CHUNK
                 n = first - last + 1
                 row = np.repeat(np.arange(len(place)), n)
                 nr = first[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
-                anchor = start + ahead
-                lo = np.maximum(start[row], anchor[row] - (nr * CHUNK + CHUNK - 1))
-                hi = np.minimum(start[row] + count[row] - 1, anchor[row] - nr * CHUNK)
+                anchor = (start + ahead)[row]
+                lo = np.maximum(start[row], anchor - (nr * CHUNK + CHUNK - 1))
+                hi = np.minimum(start[row] + count[row] - 1, anchor - nr * CHUNK)
+                core, shift = anchor - nr * CHUNK, offsets[:-1][of[row]]
+                ck, cd = span_digests(data, (shift + core, shift + core + CORE), (shift + lo, shift + hi + LENGTH))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ck.astype(np.int64)), pa.array(cd.astype(np.int64)), pa.array(part.column("doc").to_numpy()[of[row]]),
+                     pa.array(tie_of(place)[row] << 32 | lo), pa.array((core - lo) << 5 | (hi - lo + 1))],
+                    ["ck", "cd", "doc", "at", "detail"])
+
+    return joined.mapInArrow(run, "ck long, cd long, doc long, at long, detail long")
+
+
+def _placed(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(bytes, offsets, places, text of each place) of rows with text and places."""
+    data, offsets = raw_bytes(plain_strings(part.column("text")))
+    lists = part.column("places")
+    of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+    return data, offsets, lists.flatten().to_numpy(), of
+
+
+def _judged(digests: DataFrame) -> DataFrame:
+    """(doc, place) of the first occurrence of every chunk.
+
+    A chunk that shares its bytes with no other is kept; others are to be sorted together
+    (CANDIDATE), or by single starts where very many share the bytes (REMOVED)."""
+    distinct = digests.groupBy("ck", "cd").agg(F.min(F.struct("doc", "at", "detail")).alias("first"))
+    alike = distinct.groupBy("ck").agg(F.count(F.lit(1)).alias("alike"))
+    kind = F.when(F.col("alike") == 1, KEPT).when(F.col("alike") <= HOT_CHUNKS, CANDIDATE).otherwise(REMOVED).cast("long")
+    starts = F.col("first.detail").bitwiseAND(31).cast("int")
+    bits = F.element_at(F.array(*[F.lit((1 << n) - 1).cast("long") for n in range(1, CHUNK + 1)]), starts)
+    detail = F.when(F.col("alike") == 1, bits).otherwise(F.col("first.detail"))
+    at = F.col("first.at")
+    place = (F.shiftleft(at.bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(F.shiftleft(F.shiftright(at, 32), 18))
+             .bitwiseOR(F.shiftleft(kind, 16)).bitwiseOR(detail))
+    return distinct.join(alike, "ck").select(F.col("first.doc").alias("doc"), place.alias("place"))
+
+
+def _chunks(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(ck, chunk, doc, at): the bytes of the chunks to be sorted, or of their single starts."""
+    joined = docs.join(places, _same_document()).select("doc", "tie", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", STRETCH):
+                data, offsets, place, of = _placed(part)
+                together = kind_of(place) == CANDIDATE
+                detail = place & 0xFFFF
+                n = np.where(together, 1, detail & 31)
+                row = np.repeat(np.arange(len(place)), n)
+                lo = start_of(place)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                hi = np.where(together[row], lo + (detail[row] & 31) - 1, lo)
                 shift = offsets[:-1][of[row]]
-                core = shift + anchor[row] - nr * CHUNK
+                core = np.where(together[row], lo + (detail[row] >> 5), lo)
+                ck, = span_digests(data, (shift + core, shift + core + np.where(together[row], CORE, LENGTH)))
                 raw = data.tobytes()
-                keys = [int.from_bytes(hashlib.blake2b(raw[c:c + CORE], digest_size=8).digest(), "little", signed=True)
-                        for c in core.tolist()]
                 pieces = [raw[a:b] for a, b in zip((shift + lo).tolist(), (shift + hi + LENGTH).tolist())]
-                doc, tie = part.column("doc").to_numpy()[of[row]], part.column("tie").to_numpy()[of[row]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(pieces, pa.binary()), pa.array(doc), pa.array(tie), pa.array(lo)],
-                    ["ck", "chunk", "doc", "tie", "base"])
+                    [pa.array(ck.astype(np.int64)), pa.array(pieces, pa.binary()), pa.array(part.column("doc").to_numpy()[of[row]]),
+                     pa.array(tie_of(place)[row] << 32 | lo)], ["ck", "chunk", "doc", "at"])
 
-    return joined.mapInArrow(run, "ck long, chunk binary, doc long, tie int, base long")
+    return joined.mapInArrow(run, "ck long, chunk binary, doc long, at long")
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -379,21 +446,20 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.minimum(lcp, LENGTH)
 
 
-def _kept_starts(chunk: pa.Array, doc: np.ndarray, tie: np.ndarray, base: np.ndarray) -> np.ndarray:
+def _kept_starts(chunk: pa.Array, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each chunk the bits of its starts that are the earliest of their class."""
-    size = np.diff(np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]).astype(np.int64)
+    offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1].astype(np.int64)
+    size = np.diff(offsets)
     raw = np.frombuffer(chunk.buffers()[2], np.uint8)
-    first = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset]
     width = CHUNK - 1 + LENGTH + LENGTH + 8
     text = np.zeros((len(chunk), width), np.uint8)
-    inside = np.arange(width)[None, :] < size[:, None]
-    text[inside] = raw[first:first + int(size.sum())]
+    text[np.arange(width)[None, :] < size[:, None]] = raw[offsets[0]:offsets[-1]]
     text = text.reshape(-1)
     starts = np.arange(width)[None, :] <= (size - LENGTH)[:, None]
     order = suffix_order(text, starts.reshape(-1))
     group = np.cumsum(common_prefixes(text, order) < LENGTH)
     row, col = np.divmod(order, width)
-    earliest = np.lexsort((base[row] + col, tie[row], doc[row], group))
+    earliest = np.lexsort((at[row] + col, doc[row], group))
     lead = np.concatenate([[True], group[earliest][1:] != group[earliest][:-1]])
     kept = earliest[lead]
     bits = np.zeros(len(chunk), np.int64)
@@ -402,38 +468,28 @@ def _kept_starts(chunk: pa.Array, doc: np.ndarray, tie: np.ndarray, base: np.nda
 
 
 def _sorted_chunks(chunks: DataFrame) -> DataFrame:
-    """(doc, tie, place) of the kept starts of every first occurrence of a chunk."""
-    first = F.min(F.struct("doc", "tie", "base")).alias("first")
-    distinct = cut(chunks.groupBy("ck", "chunk").agg(first))
-    hot = distinct.groupBy("ck").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CHUNKS).select(F.col("ck").alias("hk"))
-    cold = distinct.join(hot, F.col("ck") == F.col("hk"), "left_anti")
-    single = (distinct.join(hot, F.col("ck") == F.col("hk"), "left_semi")
-              .select("first", "chunk", F.explode(F.sequence(F.lit(0), F.length("chunk") - LENGTH)).alias("i"))
-              .select(F.substring("chunk", F.col("i") + 1, F.lit(LENGTH)).alias("chunk"), F.struct(
-                  F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"),
-                  (F.col("first.base") + F.col("i")).alias("base")).alias("first"))
-              .groupBy("chunk").agg(F.min("first").alias("first"))
-              .select(F.xxhash64("chunk").alias("ck"), "chunk", "first"))
-    work = cold.select("ck", "chunk", "first").unionByName(single).select("ck", "chunk", "first.doc", "first.tie", "first.base")
+    """(doc, place) of the kept starts of the chunks, by the suffix array of all chunks of a key."""
+    work = (chunks.groupBy("ck", "chunk").agg(F.min(F.struct("doc", "at")).alias("first"))
+                  .select("ck", "chunk", "first.doc", "first.at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, "ck", BUILD_BYTES // LENGTH):
-            doc, tie, base = (table.column(c).to_numpy() for c in ("doc", "tie", "base"))
-            bits = _kept_starts(table.column("chunk").combine_chunks(), doc, tie, base)
-            if isinstance(bits, np.ndarray):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(pack(base, KEPT, bits))],
-                                                 ["doc", "tie", "place"])
+            doc, at = table.column("doc").to_numpy(), table.column("at").to_numpy()
+            chunk = pa.concat_arrays(table.column("chunk").chunks)
+            bits = _kept_starts(chunk, doc, at)
+            place = pack(at & 0xFFFFFFFF, at >> 32, KEPT, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place)], ["doc", "place"])
 
-    return work.repartition("ck").sortWithinPartitions("ck").mapInArrow(run, "doc long, tie int, place long")
+    return work.repartition("ck").sortWithinPartitions("ck").mapInArrow(run, "doc long, place long")
 
 
 def removed_starts(n_bytes: int, places: np.ndarray) -> np.ndarray:
     """Flags of the starts whose string occurs earlier."""
     gone = np.zeros(n_bytes + 1, np.int64)
-    kind, start, detail = (places >> 16) & 3, places >> 18, places & 0xFFFF
+    kind, start, detail = kind_of(places), start_of(places), places & 0xFFFF
     runs = kind != KEPT
     np.add.at(gone, start[runs], 1)
-    np.add.at(gone, start[runs] + (detail[runs] & 0xFF), -1)
+    np.add.at(gone, start[runs] + (detail[runs] & 0x7F), -1)
     gone = np.cumsum(gone)[:n_bytes] > 0
     for i in range(CHUNK):
         bit = (kind == KEPT) & (detail >> i & 1 == 1)
@@ -448,10 +504,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     keyed = _keyed(docs)
     places = cut(_decided(_digested(keyed)))
-    kept = _sorted_chunks(_chunks(keyed, _per_document(places.where(F.shiftright("place", 16).bitwiseAND(3) == CANDIDATE))))
-    found = _per_document(places.unionByName(kept))
-    same = (F.col("doc") == F.col("p_doc")) & (F.col("tie") == F.col("p_tie"))
-    joined = keyed.join(found, same, "left").select("doc_id", "text", "places")
+    kind = F.shiftright("place", 16).bitwiseAND(3)
+    judged = _judged(_chunk_digests(keyed, _per_document(places.where(kind == CANDIDATE))))
+    kept = _sorted_chunks(_chunks(keyed, _per_document(judged.where(kind != KEPT))))
+    found = _per_document(places.unionByName(judged.where(kind == KEPT)).unionByName(kept))
+    # the texts are dealt by (doc, tie) once: here and for the chunks it is the same exchange,
+    # and the digests of the chunks are one exchange too, so nothing is materialised in between
+    joined = keyed.join(found, _same_document(), "left").select("doc", "tie", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,8 +530,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     rest = text.tobytes()
                     rows.append((hi - lo, n_removed, n_spans, hashlib.sha256(rest).hexdigest(), rest))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                null = part.column("tie").to_numpy() >> (TIE_BITS - 1) == 1
+                doc_id = pa.array(part.column("doc").to_numpy(), mask=null)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id")] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                    [doc_id] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
