@@ -12,8 +12,9 @@ closest one.  The ratio is the smallest of a grid that reaches ``target_recall``
 by brute force on the sample, which is harder than the whole table: there the
 neighbours lie closer.  Lists and queries meet in blocks: a list with many
 vectors is split by vector, one with many queries by query, so a vector or a
-query that is very common never gathers in one task.  Each block returns its best
-``k`` per query; the merge drops replicas.
+query that is very common never gathers in one task.  The nearest lists are read
+first; farther rounds return only what beats the ``k``-th score found so far, so
+few rows leave a block.  The merge drops replicas.
 
 The largest inner product is searched as the nearest point: each vector gets one
 more component that brings all to the same length.
@@ -42,6 +43,8 @@ SAMPLE_ROWS, MAX_LISTS = 20_000, 4096
 LIST_ROWS = 200
 LINKS = 24
 MAX_REPLICAS = 3
+#: Lists a query reads first, and how much farther each later round reaches.
+FIRST_LISTS, WIDENING = 8, 8
 BLOCK_VECTORS, BLOCK_QUERIES = 4000, 500
 RATIOS = (1.0, 1.01, 1.02, 1.03, 1.04, 1.05, 1.06, 1.08, 1.1, 1.12, 1.15, 1.2, 1.3, 1.5, 2.0)
 
@@ -164,7 +167,8 @@ def fit(sample: np.ndarray, rows: int, radius: float, k: int, target_recall: flo
         seed: int = 7) -> Index:
     """Index from a bounded sample (rows x dimension) for a table of ``rows`` vectors."""
     rng = np.random.default_rng(seed)
-    lists = max(1, min(MAX_LISTS, rows // LIST_ROWS))
+    # as many lists as half the root of the rows: what a query reads grows with the root, not with the table
+    lists = max(1, min(MAX_LISTS, rows // LIST_ROWS, int(rows ** 0.5 / 2) + 1))
     bare = Index(np.zeros((1, 1)), np.zeros((1, 1), np.int64), radius, 1.0, 1)
     lifted = bare.lift(sample)
     centroids = _halve(lifted, max(1, -(-len(sample) * 4 // (3 * lists))), rng)
@@ -225,6 +229,7 @@ def _search_block(k: int):
         vectors = vectors.sort_values("vec_id")
         v, q = np.stack(vectors["v"].to_numpy()), np.stack(queries["v"].to_numpy())
         v_id, q_id = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        floor = queries["floor"].fillna(-np.inf).to_numpy()
         out = []
         for lo in range(0, len(q), 128):
             part, part_id = q[lo:lo + 128], q_id[lo:lo + 128]
@@ -232,7 +237,7 @@ def _search_block(k: int):
             rough[part_id[:, None] == v_id[None, :]] = -np.inf
             kth = np.partition(rough, -min(k, len(v)), axis=1)[:, -min(k, len(v))]
             room = 1e-9 * (1 + np.sqrt((part ** 2).sum(axis=1) * (v ** 2).sum(axis=1).max()))
-            row, col = np.nonzero((rough >= (kth - room)[:, None]) & np.isfinite(rough))
+            row, col = np.nonzero((rough >= (np.maximum(kth, floor[lo:lo + 128]) - room)[:, None]) & np.isfinite(rough))
             # the measure itself, always summed in the same order, so equal vectors tie exactly
             score = np.zeros(len(row))
             for j in range(v.shape[1]):
@@ -248,7 +253,7 @@ def _search_block(k: int):
 
 
 def _blocks(vectors: DataFrame, queries: DataFrame, n_lists: int, k: int) -> DataFrame:
-    """Best ``k`` of each query in each block; both sides have list, vec_id, v."""
+    """Best ``k`` of each query in each block, none below the query's ``floor``; both sides have list, vec_id, v."""
     v_count = {r["list"]: r["n"] for r in vectors.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per list
     q_count = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     splits = [(i, -(-v_count[i] // BLOCK_VECTORS), -(-q_count[i] // BLOCK_QUERIES)) for i in range(n_lists)
@@ -261,7 +266,7 @@ def _blocks(vectors: DataFrame, queries: DataFrame, n_lists: int, k: int) -> Dat
         return (rows.join(F.broadcast(table), F.col("list") == F.col("s_list"))  # at most MAX_LISTS rows
                     .withColumn(mine, F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col(own)))
                     .withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-                    .select("list", F.col("v_part"), F.col("q_part"), "vec_id", "v"))
+                    .select("list", "v_part", "q_part", *[c for c in rows.columns if c != "list"]))
 
     left = side(vectors, "v_splits", "q_splits", "v_part", "q_part").groupBy("list", "v_part", "q_part")
     right = side(queries, "q_splits", "v_splits", "q_part", "v_part").groupBy("list", "v_part", "q_part")
@@ -283,22 +288,35 @@ def search(table: DataFrame, is_query, k: int = 20, target_recall: float = 0.96,
         "v", F.lit(0.0), lambda a, x: a + x * x))).alias("radius")).collect()[0]
     if not facts["n"]:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
-    index = fit(np.array([r["v"] for r in picked]), facts["n"], facts["radius"], k, target_recall, replica_ratio)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toArrow().combine_chunks()
+    sample = pa.concat_arrays(picked.column("v").chunks).flatten().to_numpy(zero_copy_only=False).reshape(picked.num_rows, -1)
+    index = fit(sample, facts["n"], facts["radius"], k, target_recall, replica_ratio)
     n_lists = len(index.centroids)
-    opened = lambda homes, own: (homes.select(F.col("vec_id").alias("h_id"), "lists")
-                                 .join(own, F.col("h_id") == F.col("vec_id"))
-                                 .select(F.explode("lists").alias("list"), "vec_id", "v"))
+    vectors = cut(_routed(rows, index, replica_ratio).select(F.col("vec_id").alias("h_id"), F.explode("lists").alias("list"))
+                  .join(rows, F.col("h_id") == F.col("vec_id")).select("list", "vec_id", "v"))
     queries = rows.where(is_query)
-    vectors = cut(opened(_routed(rows, index, replica_ratio), rows))
-    asked = cut(opened(_routed(queries, index, None), queries))
-    found = cut(_merged(_blocks(vectors, asked, n_lists, k), k))
+    asked = cut(_routed(queries, index, None).select(F.col("vec_id").alias("h_id"), F.posexplode("lists").alias("nr", "list"))
+                .join(queries, F.col("h_id") == F.col("vec_id")).select("list", "nr", "vec_id", "v"))
+    last = asked.agg(F.max("nr")).collect()[0][0]
+    found, lo, hi = None, 0, FIRST_LISTS
+    while found is None or (last is not None and lo <= last):
+        # nearest lists first; what they find is the floor for the farther ones
+        now = asked.where((F.col("nr") >= lo) & (F.col("nr") < hi)).select("list", "vec_id", "v")
+        if found is None:
+            now = now.withColumn("floor", F.lit(None).cast("double"))
+        else:
+            floors = (found.where(F.col("rank") == k).select(F.col("query_id").alias("f_id"), F.col("score").alias("floor")))
+            now = now.join(floors, F.col("vec_id") == F.col("f_id"), "left").drop("f_id")
+        more = _blocks(vectors, now, n_lists, k)
+        found = cut(_merged(more if found is None else found.select("query_id", "vec_id", "score").unionByName(more), k))
+        lo, hi = hi, hi * WIDENING
     # queries whose lists held too few candidates: all lists, exactly
     full = min(k, facts["n"] - 1)
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= full)
     short = cut(queries.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"))
     if short.isEmpty():
         return found
-    everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(n_lists - 1)))).select("list", "vec_id", "v")
+    everywhere = (short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(n_lists - 1))))
+                       .select("list", "vec_id", "v", F.lit(None).cast("double").alias("floor")))
     again = _merged(_blocks(vectors, everywhere, n_lists, k), k)
     return found.join(enough.select("query_id"), "query_id", "left_semi").unionByName(again)
