@@ -36,7 +36,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page url."""
     labels = url_templates.page_labels(read_table(spark, sf_dir, "labels"))
-    return url_templates.judge(pages_of(spark, sf_dir).select("page_id", "url"), labels).drop("bad_share")
+    return url_templates.judge(pages_of(spark, sf_dir).select("page_id", "url"), labels, depth=None).drop("bad_share")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ children of a node are merged into the wildcard ``*`` when they are
 * statistically similar: their bad share lies within ``z`` standard errors of
   the share of all children of the node (two-sided test of a proportion).
 
+The tree grows until no path has a further segment.  Below a node whose children
+have less than ``min_support`` labelled pages together, or only good or only bad
+ones, every merge is ``*``: its rows get the rest of their template at once.  With
+a ``depth`` the segments below it are one tail segment ``**``.
+
 A template is rejected when its smoothed purity
 
     (bad + k * host_share) / (labelled + k),  host_share = (bad_h + k * g) / (labelled_h + k)
@@ -80,8 +85,8 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> t
     return text, verdict
 
 
-def shape_of(path: Column, depth: int) -> Column:
-    """Segments of a path with variable ones as classes; what lies below ``depth`` is one tail segment."""
+def shape_of(path: Column, depth: int | None) -> Column:
+    """Segments of a path with variable ones as classes; what lies below ``depth`` (if any) is one tail segment."""
     def segment(x: Column) -> Column:
         ext = F.regexp_extract(x, r"(\.[A-Za-z]{1,5})$", 1)
         stem = F.regexp_replace(x, r"\.[A-Za-z]{1,5}$", "")
@@ -91,15 +96,18 @@ def shape_of(path: Column, depth: int) -> Column:
         return F.concat(kind, ext)
 
     parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
+    if depth is None:
+        return F.transform(parts, segment)
     shape = F.transform(F.slice(parts, 1, depth), segment)
     return F.concat(shape, F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
 
 
-def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, min_support: int = 5, z: float = 1.96,
+def templates(pages: DataFrame, labels: DataFrame, depth: int | None = 4, min_support: int = 5, z: float = 1.96,
               smooth: float = 4.0, reject_at: float = 0.5) -> DataFrame:
     """One row per (host, shape): template, counts, purity and verdict.
 
     ``pages``: page_id, host, path.  ``labels``: doc_id, bad (0/1 or null).
+    ``depth``: most segments that are read (None: all).
     """
     shaped = pages.select("page_id", "host", shape_of(F.col("path"), depth).alias("shape"))
     bad = labels.where(F.col("bad").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("bad").alias("bad"))
@@ -107,24 +115,29 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, min_support:
                    .groupBy("host", "shape")
                    .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("n_lab"),
                         F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("n_bad"))
-                   .withColumn("template", F.lit("")))
-    for level in range(1, depth + 2):
+                   .withColumn("template", F.lit("")).withColumn("open", F.size("shape") > 0))
+    nodes, level = cut(nodes), 0
+    while not nodes.where("open").isEmpty():
+        level += 1
         # the node a row passes at this level: its parent's template and its own segment
-        nodes = nodes.withColumn("seg", F.get("shape", F.lit(level - 1)))
+        nodes = nodes.withColumn("seg", F.when(F.col("open"), F.get("shape", F.lit(level - 1))))
         child = (nodes.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg")
                       .agg(F.sum("n_lab").alias("c_lab"), F.sum("n_bad").alias("c_bad")))
         of_parent = Window.partitionBy("host", "template")
-        p = F.sum("c_bad").over(of_parent) / F.greatest(F.sum("c_lab").over(of_parent), F.lit(1))
-        child = child.withColumn("p", p)
+        p_lab, p_bad = F.sum("c_lab").over(of_parent), F.sum("c_bad").over(of_parent)
+        child = (child.withColumn("p", p_bad / F.greatest(p_lab, F.lit(1)))
+                      .withColumn("alike", (p_lab < min_support) | (p_bad == 0) | (p_bad == p_lab)))
         far = (F.abs(F.col("c_bad") / F.greatest(F.col("c_lab"), F.lit(1)) - F.col("p"))
                > z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.greatest(F.col("c_lab"), F.lit(1))))
-        child = child.select(F.col("host").alias("c_host"), F.col("template").alias("c_template"), F.col("seg").alias("c_seg"),
+        child = child.select(F.col("host").alias("c_host"), F.col("template").alias("c_template"), F.col("seg").alias("c_seg"), "alike",
                              F.when((F.col("c_lab") >= min_support) & far, F.col("seg")).otherwise(F.lit("*")).alias("named"))
         nodes = (nodes.join(child, (F.col("host") == F.col("c_host")) & (F.col("template") == F.col("c_template"))
                             & (F.col("seg") == F.col("c_seg")), "left")
                       .withColumn("template", F.when(F.col("named").isNull(), F.col("template"))
+                                               .when(F.col("alike"), F.concat("template", F.repeat(F.lit("/*"), F.size("shape") - (level - 1))))
                                                .otherwise(F.concat("template", F.lit("/"), "named")))
-                      .select("host", "shape", "n", "n_lab", "n_bad", "template"))
+                      .withColumn("open", F.col("named").isNotNull() & ~F.col("alike") & (F.size("shape") > level))
+                      .select("host", "shape", "n", "n_lab", "n_bad", "template", "open"))
         nodes = cut(nodes)
     everything = nodes.agg((F.sum("n_bad") / F.greatest(F.sum("n_lab"), F.lit(1))).alias("g")).collect()[0]["g"]
     hosts = (nodes.groupBy("host").agg(F.sum("n_lab").alias("h_lab"), F.sum("n_bad").alias("h_bad"))
@@ -139,7 +152,7 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = 4, min_support:
                          "bad_share", F.when(F.col("bad_share") >= reject_at, "block").otherwise("allow").alias("verdict")))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, depth: int = 4, **params) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple[UrlRule, ...] = RULES, depth: int | None = 4, **params) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): host, path, rule, verdict, template, bad_share."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))

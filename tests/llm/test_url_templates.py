@@ -83,3 +83,26 @@ def test_empty_and_unlabelled(spark):
     assert [r.verdict for r in U.judge(pages(spark, [(1, "http://q.org/a")]), none).collect()] == ["allow"]
     raw = spark.createDataFrame([(1, None, None), (2, 0, None), (3, 1, 1), (4, None, 0), (5, 1, None)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.bad for r in U.page_labels(raw).collect()} == {1: None, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
+def test_branches_that_part_below_the_fourth_segment(spark):
+    urls = [(i, f"https://deep.org/blog/a/b/c/{'spam' if i % 2 else 'news'}/d/{'x' if i % 3 else 'y'}/{'p/' * (i % 7)}end") for i in range(240)]
+    urls += [(500, "https://deep.org/" + "q/" * 900)]
+    bad = {i: int(i % 2 == 1 or i % 12 == 0) for i in range(240)}
+    labels = spark.createDataFrame(list(bad.items()), "doc_id long, bad int")
+    got = U.judge(pages(spark, urls), labels, depth=None).collect()
+    want = brute(urls, bad, depth=1000)
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict, r.template) == want[r.page_id], r
+    assert {r.verdict for r in got if r.page_id % 2 and r.page_id < 240} == {"block"} and "allow" in {r.verdict for r in got}
+
+
+def test_query_reads_all_segments(spark, tmp_path):
+    from echotrace.llm.queries import op5_url_filter
+
+    urls = [(i, f"https://deep.org/blog/a/b/c/{'spam' if i % 2 else 'news'}/x", None, "clash", "clash") for i in range(80)]
+    spark.createDataFrame(urls, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r.page_id % 2, r.verdict) for r in op5_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {(1, "block"), (0, "allow")}
