@@ -54,9 +54,10 @@ HOT_CHUNKS = 5_000
 BUILD_BYTES = 1 << 19
 LAST_ID = (1 << 63) - 1
 REMOVED, CANDIDATE, KEPT = 0, 1, 2
-#: A place is one long: start (31 bits), tie of the document (14), kind (2), detail (16).
+#: A document is (doc, tie): id, and a long that tells rows of one id with different texts apart.
+#: A place is one long: start (31 bits), nothing (14), kind (2), detail (16).
 #: Detail of a context: shared (1), distance to its anchor (7), starts (7); of kept starts: their bits.
-TIE_BITS, SHARED = 14, 1 << 15
+SHARED = 1 << 15
 
 _U = np.uint64
 
@@ -71,18 +72,14 @@ BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 BASE = 0x5851F42D4C957F2D
 
 
-def pack(start, tie, kind, detail):
-    return (start << 32) | (tie << 18) | (kind << 16) | detail
+def pack(start, kind, detail):
+    return (start << 32) | (kind << 16) | detail
 
 
 def start_of(place):
     return place >> 32
 
 
-def tie_of(place):
-    return (place >> 18) & ((1 << TIE_BITS) - 1)
-
-
 def kind_of(place):
     return (place >> 16) & 3
 
@@ -157,11 +154,12 @@ def _different(*columns: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, tie, text): the id (null: the last), and what tells rows of one id apart: null flag and text digest."""
+    """(doc, tie, text): the id (null: the last), and what tells rows of one id apart: 63 bits of a
+    text digest, below zero for ids and from zero on for nulls (which come behind the last id)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.xxhash64(text).bitwiseAND((1 << (TIE_BITS - 1)) - 1)
-    null = F.when(F.col("doc_id").isNull(), 1 << (TIE_BITS - 1)).otherwise(0)
-    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), (digest + null).cast("int").alias("tie"), text.alias("text"))
+    digest = F.xxhash64(text).bitwiseAND(F.lit(LAST_ID))
+    tie = F.when(F.col("doc_id").isNull(), digest).otherwise(-1 - digest)
+    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), tie.alias("tie"), text.alias("text"))
 
 
 def _stretches(texts: pa.Array, docs: np.ndarray, ties: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -176,35 +174,35 @@ def _stretches(texts: pa.Array, docs: np.ndarray, ties: np.ndarray) -> Iterator[
 
 
 def _digested(docs: DataFrame) -> DataFrame:
-    """(key, digest, doc, place): contexts, pre-aggregated inside slices."""
+    """(key, digest, doc, tie, place): contexts, pre-aggregated inside slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", STRETCH):
                 all_docs = part.column("doc").to_numpy()
-                all_ties = part.column("tie").to_numpy().astype(np.int64)
+                all_ties = part.column("tie").to_numpy()
                 for data, ends, begins, shift, docs_, ties in _stretches(plain_strings(part.column("text")), all_docs, all_ties):
                     h, start, count, anchor = contexts(data, ends)
                     if not len(h):
                         continue
                     digest, = span_digests(data, (start, start + count + LENGTH - 1))
                     of = np.searchsorted(ends, start, side="right")
-                    doc = docs_[of]
-                    place = pack(start - begins[of] + shift[of], ties[of], CANDIDATE, (anchor - start) << 7 | count)
-                    order = np.lexsort((start_of(place), tie_of(place), doc, digest, h))
-                    order = order[_different(h[order], digest[order], doc[order], place[order])]
-                    h, digest, doc, place = (x[order] for x in (h, digest, doc, place))
+                    doc, tie = docs_[of], ties[of]
+                    place = pack(start - begins[of] + shift[of], CANDIDATE, (anchor - start) << 7 | count)
+                    order = np.lexsort((start_of(place), tie, doc, digest, h))
+                    order = order[_different(h[order], digest[order], doc[order], tie[order], place[order])]
+                    h, digest, doc, tie, place = (x[order] for x in (h, digest, doc, tie, place))
                     new_h = np.concatenate([[True], h[1:] != h[:-1]])
                     new_c = new_h | np.concatenate([[True], digest[1:] != digest[:-1]])
                     group = np.cumsum(new_h) - 1
                     several = np.bincount(group, weights=new_c)[group] > 1
                     # one row of each anchor goes to the anchor's key; what is decided already is spread by digest
-                    key = np.where(new_h, h, _mix(digest ^ place.astype(np.uint64)))
+                    key = np.where(new_h, h, _mix(digest ^ place.astype(np.uint64) ^ tie.astype(np.uint64)))
                     place = np.where(new_c, place | np.where(several, SHARED, 0), with_kind(place, REMOVED))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.astype(np.int64)), pa.array(digest.astype(np.int64)), pa.array(doc), pa.array(place)],
-                        ["key", "digest", "doc", "place"])
+                        [pa.array(key.astype(np.int64)), pa.array(digest.astype(np.int64)), pa.array(doc), pa.array(tie), pa.array(place)],
+                        ["key", "digest", "doc", "tie", "place"])
 
-    return docs.mapInArrow(run, "key long, digest long, doc long, place long")
+    return docs.mapInArrow(run, "key long, digest long, doc long, tie long, place long")
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
@@ -229,15 +227,15 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Itera
 
 
 def _decided(digested: DataFrame) -> DataFrame:
-    """(doc, place): removed contexts and those that need their bytes compared."""
+    """(doc, tie, place): removed contexts and those that need their bytes compared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, "key", 200_000):
-            key, digest, doc, place = (table.column(c).to_numpy() for c in ("key", "digest", "doc", "place"))
-            order = np.lexsort((start_of(place), tie_of(place), doc, digest, kind_of(place) == REMOVED, key))
-            key, digest, doc, place = (x[order] for x in (key, digest, doc, place))
+            key, digest, doc, tie, place = (table.column(c).to_numpy() for c in ("key", "digest", "doc", "tie", "place"))
+            order = np.lexsort((start_of(place), tie, doc, digest, kind_of(place) == REMOVED, key))
+            key, digest, doc, tie, place = (x[order] for x in (key, digest, doc, tie, place))
             live = kind_of(place) == CANDIDATE
-            new = _different(key, live, digest, doc, place & ~SHARED)
-            key, digest, doc, place, live = (x[new] for x in (key, digest, doc, place, live))
+            new = _different(key, live, digest, doc, tie, place & ~SHARED)
+            key, digest, doc, tie, place, live = (x[new] for x in (key, digest, doc, tie, place, live))
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
             new_c = new_key | np.concatenate([[True], digest[1:] != digest[:-1]])
             group = np.cumsum(new_key) - 1
@@ -245,14 +243,13 @@ def _decided(digested: DataFrame) -> DataFrame:
             later = live & ~new_c
             place = np.where(later, with_kind(place, REMOVED), place)
             keep = ~live | later | several
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, place & ~SHARED)], ["doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, tie, place & ~SHARED)], ["doc", "tie", "place"])
 
-    return digested.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, place long")
+    return digested.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, tie long, place long")
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
-    tie = F.shiftright("place", 18).bitwiseAND((1 << TIE_BITS) - 1).cast("int")
-    return rows.groupBy(F.col("doc").alias("p_doc"), tie.alias("p_tie")).agg(F.collect_list("place").alias("places"))
+    return rows.groupBy(F.col("doc").alias("p_doc"), F.col("tie").alias("p_tie")).agg(F.collect_list("place").alias("places"))
 
 
 def _same_document():
@@ -260,9 +257,9 @@ def _same_document():
 
 
 def _chunk_digests(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(ck, cd, doc, at, detail): candidate contexts in chunks of up to 16 starts.
+    """(ck, cd, doc, tie, at, detail): candidate contexts in chunks of up to 16 starts.
 
-    ck and cd are digests of the bytes all starts share and of the whole chunk, at = (tie, first start),
+    ck and cd are digests of the bytes all starts share and of the whole chunk, at = first start,
     detail = (place of the shared bytes behind the first start, starts)."""
     joined = docs.join(places, _same_document()).select("doc", "tie", "text", "places")
 
@@ -283,10 +280,10 @@ def _chunk_digests(docs: DataFrame, places: DataFrame) -> DataFrame:
                 ck, cd = span_digests(data, (shift + core, shift + core + CORE), (shift + lo, shift + hi + LENGTH))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ck.astype(np.int64)), pa.array(cd.astype(np.int64)), pa.array(part.column("doc").to_numpy()[of[row]]),
-                     pa.array(tie_of(place)[row] << 32 | lo), pa.array((core - lo) << 5 | (hi - lo + 1))],
-                    ["ck", "cd", "doc", "at", "detail"])
+                     pa.array(part.column("tie").to_numpy()[of[row]]), pa.array(lo), pa.array((core - lo) << 5 | (hi - lo + 1))],
+                    ["ck", "cd", "doc", "tie", "at", "detail"])
 
-    return joined.mapInArrow(run, "ck long, cd long, doc long, at long, detail long")
+    return joined.mapInArrow(run, "ck long, cd long, doc long, tie long, at long, detail long")
 
 
 def _placed(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -298,24 +295,22 @@ def _placed(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def _judged(digests: DataFrame) -> DataFrame:
-    """(doc, place) of the first occurrence of every chunk.
+    """(doc, tie, place) of the first occurrence of every chunk.
 
     A chunk that shares its bytes with no other is kept; others are to be sorted together
     (CANDIDATE), or by single starts where very many share the bytes (REMOVED)."""
-    distinct = digests.groupBy("ck", "cd").agg(F.min(F.struct("doc", "at", "detail")).alias("first"))
+    distinct = digests.groupBy("ck", "cd").agg(F.min(F.struct("doc", "tie", "at", "detail")).alias("first"))
     alike = distinct.groupBy("ck").agg(F.count(F.lit(1)).alias("alike"))
     kind = F.when(F.col("alike") == 1, KEPT).when(F.col("alike") <= HOT_CHUNKS, CANDIDATE).otherwise(REMOVED).cast("long")
     starts = F.col("first.detail").bitwiseAND(31).cast("int")
     bits = F.element_at(F.array(*[F.lit((1 << n) - 1).cast("long") for n in range(1, CHUNK + 1)]), starts)
     detail = F.when(F.col("alike") == 1, bits).otherwise(F.col("first.detail"))
-    at = F.col("first.at")
-    place = (F.shiftleft(at.bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(F.shiftleft(F.shiftright(at, 32), 18))
-             .bitwiseOR(F.shiftleft(kind, 16)).bitwiseOR(detail))
-    return distinct.join(alike, "ck").select(F.col("first.doc").alias("doc"), place.alias("place"))
+    place = F.shiftleft("first.at", 32).bitwiseOR(F.shiftleft(kind, 16)).bitwiseOR(detail)
+    return distinct.join(alike, "ck").select("first.doc", "first.tie", place.alias("place"))
 
 
 def _chunks(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(ck, chunk, doc, at): the bytes of the chunks to be sorted, or of their single starts."""
+    """(ck, chunk, doc, tie, at): the bytes of the chunks to be sorted, or of their single starts."""
     joined = docs.join(places, _same_document()).select("doc", "tie", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +330,9 @@ def _chunks(docs: DataFrame, places: DataFrame) -> DataFrame:
                 pieces = [raw[a:b] for a, b in zip((shift + lo).tolist(), (shift + hi + LENGTH).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ck.astype(np.int64)), pa.array(pieces, pa.binary()), pa.array(part.column("doc").to_numpy()[of[row]]),
-                     pa.array(tie_of(place)[row] << 32 | lo)], ["ck", "chunk", "doc", "at"])
+                     pa.array(part.column("tie").to_numpy()[of[row]]), pa.array(lo)], ["ck", "chunk", "doc", "tie", "at"])
 
-    return joined.mapInArrow(run, "ck long, chunk binary, doc long, at long")
+    return joined.mapInArrow(run, "ck long, chunk binary, doc long, tie long, at long")
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -446,7 +441,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.minimum(lcp, LENGTH)
 
 
-def _kept_starts(chunk: pa.Array, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _kept_starts(chunk: pa.Array, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each chunk the bits of its starts that are the earliest of their class."""
     offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1].astype(np.int64)
     size = np.diff(offsets)
@@ -459,7 +454,7 @@ def _kept_starts(chunk: pa.Array, doc: np.ndarray, at: np.ndarray) -> np.ndarray
     order = suffix_order(text, starts.reshape(-1))
     group = np.cumsum(common_prefixes(text, order) < LENGTH)
     row, col = np.divmod(order, width)
-    earliest = np.lexsort((at[row] + col, doc[row], group))
+    earliest = np.lexsort((at[row] + col, tie[row], doc[row], group))
     lead = np.concatenate([[True], group[earliest][1:] != group[earliest][:-1]])
     kept = earliest[lead]
     bits = np.zeros(len(chunk), np.int64)
@@ -468,19 +463,19 @@ def _kept_starts(chunk: pa.Array, doc: np.ndarray, at: np.ndarray) -> np.ndarray
 
 
 def _sorted_chunks(chunks: DataFrame) -> DataFrame:
-    """(doc, place) of the kept starts of the chunks, by the suffix array of all chunks of a key."""
-    work = (chunks.groupBy("ck", "chunk").agg(F.min(F.struct("doc", "at")).alias("first"))
-                  .select("ck", "chunk", "first.doc", "first.at"))
+    """(doc, tie, place) of the kept starts of the chunks, by the suffix array of all chunks of a key."""
+    work = (chunks.groupBy("ck", "chunk").agg(F.min(F.struct("doc", "tie", "at")).alias("first"))
+                  .select("ck", "chunk", "first.doc", "first.tie", "first.at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, "ck", BUILD_BYTES // LENGTH):
-            doc, at = table.column("doc").to_numpy(), table.column("at").to_numpy()
+            doc, tie, at = (table.column(c).to_numpy() for c in ("doc", "tie", "at"))
             chunk = pa.concat_arrays(table.column("chunk").chunks)
-            bits = _kept_starts(chunk, doc, at)
-            place = pack(at & 0xFFFFFFFF, at >> 32, KEPT, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place)], ["doc", "place"])
+            bits = _kept_starts(chunk, doc, tie, at)
+            place = pack(at, KEPT, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(place)], ["doc", "tie", "place"])
 
-    return work.repartition("ck").sortWithinPartitions("ck").mapInArrow(run, "doc long, place long")
+    return work.repartition("ck").sortWithinPartitions("ck").mapInArrow(run, "doc long, tie long, place long")
 
 
 def removed_starts(n_bytes: int, places: np.ndarray) -> np.ndarray:
@@ -530,8 +525,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     rest = text.tobytes()
                     rows.append((hi - lo, n_removed, n_spans, hashlib.sha256(rest).hexdigest(), rest))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                null = part.column("tie").to_numpy() >> (TIE_BITS - 1) == 1
-                doc_id = pa.array(part.column("doc").to_numpy(), mask=null)
+                doc_id = pa.array(part.column("doc").to_numpy(), mask=part.column("tie").to_numpy() >= 0)
                 yield pa.RecordBatch.from_arrays(
                     [doc_id] + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])

@@ -91,3 +91,15 @@ def test_two_stage_order_is_the_suffix_order():
             a, b = keys[i - 1], keys[i]
             n = next((k for k in range(S.LENGTH) if a[k] != b[k]), S.LENGTH)
             assert lcp[i] == n
+
+
+def test_thousands_of_texts_without_an_id(spark):
+    rng = random.Random(6)
+    passage = sentence(rng, 40)
+    texts = [f"{i} " + sentence(rng, 1 + i % 90) + ("" if i % 500 else chr(65 + i // 500) + passage) for i in range(3000)]
+    rows = [(None, t) for t in texts] + [(4, t[::-1]) for t in texts[:1500] if passage not in t] + [(S.LAST_ID, passage), (None, texts[0])]
+    got = S.remove_repeats(frame(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == sorted((i or 0, len(t.encode())) for i, t in rows)
+    # the passage stands first in the row with the last id: all others lose exactly its bytes
+    want = sorted((i or 0, t.replace(passage, "") if i is None else t) for i, t in rows)
+    assert sorted((r.doc_id or 0, bytes(r.kept_text).decode()) for r in got) == want
