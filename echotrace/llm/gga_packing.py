@@ -1,7 +1,8 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Only (piece, length) rows are packed; texts and ids never move.  Pieces are
-dealt at random into shards of about ``SHARD_PIECES``.  Each shard is evolved by
+dealt at random into shards of about ``SHARD_PIECES``, or of more where these do
+not fill ``SHARD_SEQUENCES`` sequences (so every round settles some bins).  Each shard is evolved by
 several islands, every one a task of its own:
 
 * first solutions: best fit over decreasing and over shuffled lengths;
@@ -40,6 +41,8 @@ from echotrace.llm.common import cut
 from echotrace.llm.token_ids import WordEncoder
 
 SHARD_PIECES = 4000
+#: Sequences that a shard's tokens fill on average, at least: one that fills a single bin may release all it has.
+SHARD_SEQUENCES = 4
 ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 20
@@ -192,8 +195,8 @@ def pack(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, isl
     """(uid, length) -> (uid, sequence_id, offset); no length may exceed ``capacity``."""
     todo, done, round_nr = pieces.select("uid", "length"), None, 0
     while True:
-        n = todo.count()
-        shards = max(1, -(-n // shard_pieces))
+        n, tokens = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).collect()[0]
+        shards = max(1, min(-(-n // shard_pieces), -(-tokens // (SHARD_SEQUENCES * capacity))))
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_nr)), F.lit(shards)))
         dealt = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
         solved = dealt.groupBy("shard", "island").applyInPandas(

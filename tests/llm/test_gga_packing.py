@@ -55,3 +55,16 @@ def test_crossover_keeps_every_piece_once():
         assert all(sum(length[p] for p in b) <= 1000 for b in child)
     best = G.evolve(length, 1000, [], rng)
     assert len(best) <= len(one)
+
+
+def test_many_tiny_pieces_end(spark):
+    docs = frame(spark, [(i, None if i % 2 else "", "s") for i in range(10_000)])
+    got = G.pack_documents(docs, tokenizer_path()).collect()
+    assert sorted(r.doc_id for r in got) == list(range(10_000)) and {r.length for r in got} == {1}
+    assert len({(r.sequence_id, r.offset) for r in got}) == 10_000 and max(r.offset for r in got) < 4096
+    assert len({r.sequence_id for r in got}) == 3
+    # full sequences settle at once, tiny pieces of several shards are left
+    rows = spark.createDataFrame([(i, 100 if i < 40 else 1) for i in range(3000)], "uid long, length long")
+    got = G.pack(rows, 100, shard_pieces=50).collect()
+    assert sorted(r.uid for r in got) == list(range(3000))
+    assert len({r.sequence_id for r in got}) <= 40 + 30 + 1
