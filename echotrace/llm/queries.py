@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import (gga_packing, html_tree, minmax_dedup, mix_sources, pfor_tokens, posting_ann,
-                           quality_crf, secret_ledger, suffix_dedup, url_templates)
+from echotrace.llm import (gga_packing, html_tree, minmax_dedup, mix_sources, periodic_runs, pfor_tokens,
+                           posting_ann, quality_crf, secret_ledger, suffix_dedup, url_templates)
 from echotrace.llm.common import docs_of, pages_of, read_table, scratch_path
 from echotrace.llm.token_ids import tokenizer_path
 
@@ -67,6 +67,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(pages_of(spark, sf_dir))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods and six words in every document, and the text without their repeats."""
+    texts = periodic_runs.with_planted_period(docs_of(spark, sf_dir))
+    return periodic_runs.digests(periodic_runs.find_runs(texts, min_exponent=4, min_length=6))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_repeated_passages": op2_repeated_passages,
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_main_text": op10_main_text,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL = {
