@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm import (gga_packing, html_tree, minmax_dedup, mix_sources, periodic_runs, pfor_tokens,
-                           posting_ann, quality_crf, secret_ledger, suffix_dedup, url_templates)
+from echotrace.llm import (gga_packing, html_tree, importance_resampling, minmax_dedup, mix_sources, periodic_runs,
+                           pfor_tokens, posting_ann, quality_crf, secret_ledger, suffix_dedup, url_templates)
 from echotrace.llm.common import docs_of, pages_of, read_table, scratch_path
 from echotrace.llm.token_ids import tokenizer_path
 
@@ -67,6 +67,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(pages_of(spark, sf_dir))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw of a tenth of all documents in proportion to their likeness to the benchmark's words."""
+    found = importance_resampling.resample(docs_of(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least four periods and six words in every document, and the text without their repeats."""
     texts = periodic_runs.with_planted_period(docs_of(spark, sf_dir))
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_main_text": op10_main_text,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -92,4 +99,5 @@ SQL = {
     "op4_secret_scan": secret_ledger.LEDGER_SQL.format(documents="documents"),
     "op5_url_filter": url_templates.templates_sql(),
     "op7_near_duplicates": minmax_dedup.NEAR_SQL,
+    "op12_importance_resampling": importance_resampling.resample_sql(seed=2024),
 }
