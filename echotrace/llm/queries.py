@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.llm import (gga_packing, html_tree, importance_resampling, minmax_dedup, mix_sources, periodic_runs,
-                           pfor_tokens, posting_ann, quality_crf, secret_ledger, suffix_dedup, url_templates)
+                           pfor_tokens, posting_ann, quality_crf, rule_ensemble, secret_ledger, suffix_dedup,
+                           url_templates)
 from echotrace.llm.common import docs_of, pages_of, read_table, scratch_path
 from echotrace.llm.token_ids import tokenizer_path
 
@@ -67,6 +68,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(pages_of(spark, sf_dir))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs, labels = docs_of(spark, sf_dir), read_table(spark, sf_dir, "labels")
+    model = rule_ensemble.train(docs, labels.where(~rule_ensemble.held_out(F.col("doc_id"))))
+    return rule_ensemble.classify(docs.select("doc_id", "text"), model, threshold=0.3).select(
+        "doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draw of a tenth of all documents in proportion to their likeness to the benchmark's words."""
     found = importance_resampling.resample(docs_of(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), seed=2024)
@@ -90,6 +99,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_main_text": op10_main_text,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_periodic_runs": op13_periodic_runs,
 }
