@@ -1,26 +1,37 @@
-"""Token ids of whole texts with a public tokenizer, word by word inside Arrow tasks.
+"""Token ids of whole texts with a public tokenizer, part by part inside Arrow tasks.
 
 For a tokenizer whose pre-tokens never span white space (checked by
 ``tests/llm``) the ids of a text are those of its white-space pieces in order.
-A slice of texts is dictionary-encoded, and only pieces not met before go to the
-library; a bounded memo keeps the rest.  A piece of Latin letters followed by
-ASCII punctuation is looked up as lower-case letters plus punctuation run, which
-the pre-tokenizer separates anyway.
+A piece of Latin letters followed by ASCII punctuation is two parts, which the
+pre-tokenizer separates anyway; any other piece is one.  The bytes of a slice of
+texts are cut into parts by NumPy, ASCII letters lower-cased (the tokenizer does so
+itself; pieces that could hold a special token stay as they are), and the parts
+dictionary-encoded.  Only distinct parts meet Python: a bounded memo knows the ids
+of those met before, the others go to the library in one batch.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 
-from echotrace.llm.arrow_text import codes, word_lists
+from echotrace.llm.arrow_text import codes, raw_bytes
 
-#: Distinct word parts kept per worker process; beyond it the memo starts anew (speed only).
-MEMO_WORDS = 400_000
-LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Distinct parts kept per worker process; beyond it the memo starts anew (speed only).
+MEMO_PARTS = 600_000
+
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+#: Class of each byte: white space, ASCII letter or first/second byte of a Latin-1 letter, ASCII punctuation, other.
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[32, 9, 10, 11, 12, 13]] = _SPACE
+for _lo, _hi, _kind in ((65, 91, _LETTER), (97, 123, _LETTER), (33, 48, _MARK), (58, 65, _MARK), (91, 97, _MARK), (123, 127, _MARK)):
+    _CLASS[_lo:_hi] = _kind
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Second bytes of the two signs among the Latin-1 letters (U+00D7, U+00F7).
+_SIGNS = (0x97, 0xB7)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,7 +50,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocabulary = self.library.get_vocab()
+        #: Whether an id ends a word, where the vocabulary says so.
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool) if suffix else None
+        if suffix:
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -48,46 +69,97 @@ class WordEncoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def _learn(self, parts: list[str]) -> None:
-        fresh = [p for p in dict.fromkeys(parts) if p not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo.clear()
-            fresh = list(dict.fromkeys(parts))
-        for part, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.memo[part] = np.array(found.ids, np.uint32).tobytes()
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        heads, marks = [], []
-        match = LETTERS_THEN_MARKS.fullmatch
-        for w in words:
-            m = match(w)
-            if m:
-                heads.append(m.group(1).lower())
-                marks.append(m.group(2))
-            else:
-                heads.append(w)
-                marks.append("")
-        self._learn(heads + [m for m in dict.fromkeys(marks) if m])
-        memo = self.memo
-        return [memo[h] + memo[m] if m else memo[h] for h, m in zip(heads, marks)]
+    def _library_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in order, ids per part) from the library.
+
+        Words of letters alone go as one text, and the ids that end a word part them
+        again, unless their number tells that some word was split."""
+        if self.closes is not None:
+            words = [i for i, p in enumerate(parts) if p.isalpha()]
+            joined = " ".join([parts[i] for i in words])
+            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(self.closes[ids]) + 1
+            if len(stop) == len(words) and (not words or stop[-1] == len(ids)):
+                rest = [i for i, p in enumerate(parts) if not p.isalpha()]
+                others = [e.ids for e in self.library.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)]
+                size = np.zeros(len(parts), np.int64)
+                size[words] = np.diff(stop, prepend=0)
+                size[rest] = [len(x) for x in others]
+                is_word = np.zeros(len(parts), bool)
+                is_word[words] = True
+                flat, of_word = np.zeros(int(size.sum()), np.uint32), np.repeat(is_word, size)
+                flat[of_word] = ids
+                flat[~of_word] = [i for x in others for i in x]
+                return flat, size
+        found = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _known(self, parts: list[str]) -> np.ndarray:
+        """Memo number of each distinct part; new ones are encoded."""
+        found = list(map(self.memo.get, parts))
+        if None in found:
+            fresh = [p for p, k in zip(parts, found) if k is None]
+            if self.memo and len(self.memo) + len(fresh) > MEMO_PARTS:
+                self._forget()
+                return self._known(parts)
+            self.memo.update(zip(fresh, range(len(self.memo), len(self.memo) + len(fresh))))
+            ids, size = self._library_ids(fresh)
+            self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+            found = list(map(self.memo.get, parts))
+        return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of all texts in order, ids per text) for a string array without nulls."""
-        words, words_of = word_lists(texts)
-        code, vocabulary = codes(words)
-        # the end id is one more "word" behind the words of each text
-        known = self._word_ids(vocabulary.to_pylist()) + [np.array([end_id], np.uint32).tobytes()]
-        size = np.array([len(b) // 4 for b in known], np.int64)
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        first = np.cumsum(size) - size
-        closing = np.cumsum(words_of + 1) - 1
-        sequence = np.full(len(code) + len(texts), len(known) - 1, np.int64)
+        parts, parts_of = text_parts(texts)
+        code, vocabulary = codes(parts)
+        known = self._known(vocabulary.to_pylist())
+        first = (np.cumsum(self.size) - self.size)[known]
+        # the end id is one more "part" behind those of each text
+        flat = np.append(self.flat, np.uint32(end_id))
+        first = np.append(first, len(flat) - 1)
+        size = np.append(self.size[known], 1)
+        closing = np.cumsum(parts_of + 1) - 1
+        sequence = np.full(len(code) + len(texts), len(known), np.int64)
         inner = np.ones(len(sequence), bool)
         inner[closing] = False
         sequence[inner] = code
         lengths = size[sequence]
         ends = np.cumsum(lengths)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[sequence] - (ends - lengths), lengths)
-        ids = flat[at]
-        per_text = np.diff(np.concatenate([[0], ends[closing]]))
-        return ids, per_text
+        place = np.repeat((first[sequence] - (ends - lengths)).astype(np.int32), lengths)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat[place], np.diff(ends[closing], prepend=0)
+
+
+def text_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(parts of all texts in order, parts per text): white-space pieces, cut between Latin letters and punctuation."""
+    raw, offsets = raw_bytes(texts)
+    kind = _CLASS[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != _SIGNS[0]) & (raw[lead + 1] != _SIGNS[1])]
+    kind[lead] = kind[lead + 1] = _LETTER
+    dark = kind != _SPACE
+    edge = np.zeros(len(raw) + 1, bool)  # between two texts
+    edge[offsets] = True
+    begins = dark.copy()
+    begins[1:] &= ~dark[:-1] | edge[1:-1]
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(raw))  # white space included
+    # a piece is cut at its first mark if letters stand before it and only marks (and white space) behind
+    letter = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+    mark = np.flatnonzero(kind == _MARK)
+    at = np.searchsorted(mark, start)
+    cut = np.where(at < len(mark), mark[np.minimum(at, max(0, len(mark) - 1))], len(raw)) if len(mark) else np.full(len(start), len(raw))
+    cut = np.minimum(cut, end)
+    other = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+    both = (cut > start) & (cut < end) & (letter[cut] - letter[start] == cut - start) & (letter[end] == letter[cut]) & (other[end] == other[cut])
+    begins[cut[both]] = True
+    low = _LOWER[raw]
+    if len(raw) and bool(((raw[:-1] == 60) & (raw[1:] == 124)).any()):  # "<|" may begin a special token
+        special = np.concatenate([[0], np.cumsum((raw == 60) & (np.append(raw[1:], 0) == 124))])
+        for i in np.flatnonzero(special[end] > special[start]).tolist():
+            low[start[i]:end[i]] = raw[start[i]:end[i]]
+    before = np.concatenate([[0], np.cumsum(dark)])
+    first = np.flatnonzero(begins)
+    places = np.append(before[first], before[-1]).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(places), pa.py_buffer(low[dark])])
+    return parts, np.diff(np.searchsorted(first, offsets))
