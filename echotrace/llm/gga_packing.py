@@ -5,20 +5,24 @@ dealt at random into shards of about ``SHARD_PIECES``, or of more where these do
 not fill ``SHARD_SEQUENCES`` sequences (so every round settles some bins).  Each shard is evolved by
 several islands, every one a task of its own:
 
-* first solutions: best fit over decreasing and over shuffled lengths;
+* first solutions: best fit over shuffled pieces;
 * crossover: the well-filled bins of one parent are injected whole into the
   other, its bins that hold an injected piece are dissolved, and the displaced
   pieces go best-fit, longest first, into the gaps or new bins;
 * fitness: mean squared fill of the bins (few, full bins win);
-* after an epoch the elite of each island migrates to the next island.
+* after an epoch the elite of each island migrates to the next island, where its
+  first crossover is with that island's own elite.
 
 The best island of a shard gives its bins.  The worst-filled few of them are
 dissolved, and their pieces are dealt into new shards together with those of all
 other shards, until one shard is left: what a shard cannot fill meets the rest.
-A shard stops early at the lower bound ``ceil(sum of lengths / capacity)``.
+An epoch ends at the lower bound ``ceil(sum of lengths / capacity)``, after its first
+crossovers at the earliest, so every settled bin comes out of crossover and
+migration; ``crossovers`` and ``migrants`` say how many its shard has seen.
 
 Defined results: a null or empty text has the end id alone; only longer documents
-are cut; rows with equal ids stay separate; an empty table gives an empty result.
+are cut; rows with equal ids stay separate, and pieces of equal length (ties) are
+told apart by their row number; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import math
 import random
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,7 +51,7 @@ SHARD_SEQUENCES = 4
 ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 20
-POPULATION = 4
+POPULATION = 3
 #: Share of a shard's bins (and the fill they must miss) that meets other shards' again.
 RELEASED, WELL_FILLED = 0.02, 0.995
 
@@ -112,39 +117,48 @@ def crossover(one: Solution, other: Solution, length: list[int], capacity: int,
             bins.append(list(b))
         else:
             displaced += [p for p in b if p not in taken]
-    # the emptiest bins of the child are dissolved too, so that gaps are dealt anew
+    # the emptiest of the child are dissolved too, so that gaps are dealt anew
     bins.sort(key=lambda b: -sum(length[p] for p in b))
-    for _ in range(min(2, len(bins) - 1)):
+    for _ in range(min(max(2, len(bins) // 10), len(bins) - 1)):
         displaced += bins.pop()
     displaced.sort(key=lambda p: (-length[p], p))
     best_fit(bins, [sum(length[p] for p in b) for b in bins], displaced, length, capacity)
     return bins
 
 
-def evolve(length: list[int], capacity: int, seeds: list[Solution], rng: random.Random, generations: int = GENERATIONS) -> Solution:
-    """The best solution of one island after some generations; ``seeds`` are earlier elites."""
+@dataclass
+class Evolution:
+    """What an epoch on an island came to."""
+
+    best: Solution
+    crossovers: int
+    migrants: int
+
+
+def evolve(length: list[int], capacity: int, elites: list[Solution], rng: random.Random, generations: int = GENERATIONS) -> Evolution:
+    """One epoch of an island; ``elites``: its own of the epoch before, then those that came from other islands."""
     bound = -(-sum(length) // capacity)
-    people = [s for s in seeds if s]
-    while len(people) < POPULATION:
-        order = sorted(range(len(length)), key=lambda p: (-length[p], p))
-        if people:
-            rng.shuffle(order)
-            if len(people) % 2:  # long ones first, in bands
-                order.sort(key=lambda p: -(length[p] * 8 // capacity))
+    people = list(elites)
+    while len(people) < (2 if elites else POPULATION):
+        order = list(range(len(length)))
+        rng.shuffle(order)
         fresh: Solution = []
         best_fit(fresh, [], order, length, capacity)
         people.append(fresh)
-        if len(fresh) <= bound:
-            return fresh
     rank = lambda s: (len(s), -fitness(s, length, capacity))
-    people.sort(key=rank)
+    couples = [(elites[0], guest) for guest in elites[1:]]  # migrants meet the elite of the island first
+    crossovers = 0
     for _ in range(generations):
-        if len(people[0]) <= bound:
+        one, other = couples.pop() if couples else rng.sample(people, 2)
+        people += [crossover(one, other, length, capacity, rng), crossover(other, one, length, capacity, rng)]
+        crossovers += 2
+        people = sorted(people, key=rank)[:POPULATION]
+        if len(people[0]) <= bound and not couples:
             break
-        one, other = rng.sample(people, 2)
-        children = [crossover(one, other, length, capacity, rng), crossover(other, one, length, capacity, rng)]
-        people = sorted(people + children, key=rank)[:POPULATION]
-    return people[0]
+    return Evolution(people[0], crossovers, len(elites[1:]))
+
+
+SOLVED = "shard long, island int, uid long, length long, bin int, crossovers long, migrants long"
 
 
 def _island(capacity: int, round_nr: int, epoch: int):
@@ -153,18 +167,21 @@ def _island(capacity: int, round_nr: int, epoch: int):
         items = rows[["uid", "length"]].drop_duplicates("uid").sort_values("uid")
         uid, length = items["uid"].tolist(), items["length"].tolist()
         index = {u: i for i, u in enumerate(uid)}
-        seeds: list[Solution] = []
+        elites: list[Solution] = []
+        crossovers = migrants = 0
         if epoch:
+            crossovers, migrants = int(rows["crossovers"].max()), int(rows["migrants"].max())
             for _, solution in rows.sort_values("uid").groupby("origin", sort=True):
                 bins: dict[int, list[int]] = {}
                 for u, b in zip(solution["uid"].tolist(), solution["bin"].tolist()):
                     bins.setdefault(b, []).append(index[u])
-                seeds.append([bins[b] for b in sorted(bins)])
-        best = evolve(length, capacity, seeds, random.Random(f"{round_nr}:{epoch}:{shard}:{island}"))
-        flat = [(uid[p], length[p], b) for b, members in enumerate(best) for p in members]
+                elites.append([bins[b] for b in sorted(bins)])
+        found = evolve(length, capacity, elites, random.Random(f"{round_nr}:{epoch}:{shard}:{island}"))
+        flat = [(uid[p], length[p], b) for b, members in enumerate(found.best) for p in members]
         out = pd.DataFrame(flat, columns=["uid", "length", "bin"])
         out["shard"], out["island"] = shard, island
-        return out[["shard", "island", "uid", "length", "bin"]]
+        out["crossovers"], out["migrants"] = crossovers + found.crossovers, migrants + found.migrants
+        return out[["shard", "island", "uid", "length", "bin", "crossovers", "migrants"]]
 
     return run
 
@@ -186,13 +203,13 @@ def _settle(capacity: int, round_nr: int, release: bool):
             "uid": best["uid"], "length": best["length"],
             "sequence_id": (round_nr << 56) + (shard << 16) + best["bin"].astype("int64"),
             "offset": best.groupby("bin")["length"].cumsum() - best["length"],
-            "settled": ~best["bin"].isin(loose)})
+            "settled": ~best["bin"].isin(loose), "crossovers": best["crossovers"], "migrants": best["migrants"]})
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """(uid, length) -> (uid, sequence_id, offset); no length may exceed ``capacity``."""
+    """(uid, length) -> (uid, sequence_id, offset, crossovers, migrants); no length may exceed ``capacity``."""
     todo, done, round_nr = pieces.select("uid", "length"), None, 0
     while True:
         n, tokens = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).collect()[0]
@@ -200,16 +217,17 @@ def pack(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, isl
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_nr)), F.lit(shards)))
         dealt = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
         solved = dealt.groupBy("shard", "island").applyInPandas(
-            _island(capacity, round_nr, 0), "shard long, island int, uid long, length long, bin int")
+            _island(capacity, round_nr, 0), SOLVED)
         for epoch in range(1, epochs):
             # the elite of an island is a seed there and on the next island
             own = solved.withColumn("origin", F.lit(0))
             guest = solved.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands))).withColumn("origin", F.lit(1))
             solved = own.unionByName(guest).groupBy("shard", "island").applyInPandas(
-                _island(capacity, round_nr, epoch), "shard long, island int, uid long, length long, bin int")
+                _island(capacity, round_nr, epoch), SOLVED)
         placed = cut(solved.groupBy("shard").applyInPandas(
-            _settle(capacity, round_nr, shards > 1), "uid long, length long, sequence_id long, offset long, settled boolean"))
-        now = placed.where("settled").select("uid", "sequence_id", "offset")
+            _settle(capacity, round_nr, shards > 1),
+            "uid long, length long, sequence_id long, offset long, settled boolean, crossovers long, migrants long"))
+        now = placed.where("settled").select("uid", "sequence_id", "offset", "crossovers", "migrants")
         done = now if done is None else done.unionByName(now)
         if shards == 1:
             return done
@@ -217,8 +235,8 @@ def pack(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, isl
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, crossovers, migrants."""
     pieces = cut(token_pieces(docs, tokenizer, end_id, capacity))
     places = pack(pieces, capacity).withColumnRenamed("uid", "p_uid")
     return (pieces.join(places, F.col("uid") == F.col("p_uid"))
-                  .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+                  .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "crossovers", "migrants"))

@@ -6,6 +6,7 @@ from tests_llm_shared import frame
 from tokenizers import Tokenizer
 
 from echotrace.llm import gga_packing as G
+from echotrace.llm.common import docs_of
 from echotrace.llm.token_ids import tokenizer_path
 
 
@@ -53,8 +54,20 @@ def test_crossover_keeps_every_piece_once():
         child = G.crossover(one, other, length, 1000, rng)
         assert sorted(p for b in child for p in b) == list(range(200))
         assert all(sum(length[p] for p in b) <= 1000 for b in child)
-    best = G.evolve(length, 1000, [], rng)
-    assert len(best) <= len(one)
+    found = G.evolve(length, 1000, [], rng)
+    assert len(found.best) <= len(one) and found.crossovers >= 2 and found.migrants == 0
+    later = G.evolve(length, 1000, [found.best, other], rng)
+    assert len(later.best) <= len(found.best) and later.crossovers >= 2 and later.migrants == 1
+
+
+def test_every_settled_bin_comes_from_crossover_and_migration(spark):
+    got = G.pack_documents(docs_of(spark, "/root/testdata/sf0.01"), tokenizer_path()).collect()
+    assert min(r.crossovers for r in got) >= 4 and min(r.migrants for r in got) >= 1
+    assert len({r.sequence_id for r in got}) <= 221
+    pieces = spark.createDataFrame([(i, 1 + i * 7919 % 900) for i in range(2000)], "uid long, length long")
+    got = G.pack(pieces, 1000, shard_pieces=300).collect()  # several shards
+    assert len({(r.sequence_id >> 56, (r.sequence_id >> 16) & 0xFFFF) for r in got}) > 3
+    assert min(r.crossovers for r in got) >= 4 and min(r.migrants for r in got) >= 1
 
 
 def test_many_tiny_pieces_end(spark):
