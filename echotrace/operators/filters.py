@@ -1,12 +1,19 @@
 """List-driven post filters.
 
 A short reference list given as Python values becomes an ``OR`` of ``contains``
-inside whole-stage codegen.  A list given as a DataFrame, of any length, is
-never collected: entries and texts meet in an equi-join on their character
-4-grams (shorter entries on their own length) and ``contains`` verifies, so the
-rows are the same as with the expression.
-Filters that return two halves add one boolean flag column; ``split`` (U3)
-turns it into the kept and removed frames, so both halves come from one plan.
+inside whole-stage codegen.  Lists given as DataFrames, of any length, are joined:
+
+* the character 4-grams of all entries (shorter entries: the entry itself) go to the
+  tasks as hashes, at most ``GRAM_CHUNK`` at once; longer lists take several passes;
+* a first pass counts in how many texts each of them occurs, and every entry keeps
+  its rarest one as signature (an entry with a gram that no text holds is out);
+* a second pass lets a text leave its task only with signatures that it holds; they
+  meet their entries in an equi-join and ``contains`` verifies.
+
+Flags come back by the SHA-256 of the text, so null or repeated row keys matter
+nothing, equal texts are verified once, and the rows are the same as with the
+expression.  Filters that return two halves add one boolean flag column; ``split``
+(U3) turns it into the kept and removed frames, so both halves come from one plan.
 """
 
 from __future__ import annotations
@@ -15,15 +22,22 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions.text import _c
+from echotrace.session import cut_lineage
 
 # Up to this many values the test is an OR chain; beyond, one array literal.
 OR_CHAIN = 64
 GRAM = 4
+#: Gram hashes that go to the tasks at once (8 MB).
+GRAM_CHUNK = 1_000_000
+#: Bytes of text whose grams are in memory at once.
+SLICE_CHARS = 1 << 20
 
 
 def list_values(values: Iterable) -> list[str]:
@@ -46,34 +60,145 @@ def contains_any(col, values: Iterable[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (key, n, gram): the distinct character n-grams of each whole text."""
-    for batch in batches:
-        for key, text in zip(batch.column("_k").to_pylist(), batch.column("_t").to_pylist()):
-            grams = [(n, g) for n in range(1, GRAM + 1) for g in {text[i:i + n] for i in range(len(text) - n + 1)}]
-            if grams:
-                ns, gs = zip(*grams)
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of rows with about ``SLICE_CHARS`` bytes of text; a longer text is a slice of its own."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_CHARS, side="right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def _grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all n-grams of code points, in order."""
+    rows = texts.to_pylist()
+    length = np.array([len(t) for t in rows], np.int64)
+    points = np.frombuffer("".join(rows).encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(points) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(len(points) - n + 1, n, np.uint64)
+    for k in range(n):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += points[k:len(points) - n + 1 + k]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    row = np.repeat(np.arange(len(rows)), length)
+    inside = row[:len(h)] == row[n - 1:]
+    return row[:len(h)][inside], h[inside]
+
+
+class _GramSet:
+    """Sorted gram hashes with a bitmap in front, and how long the grams are."""
+
+    def __init__(self, hashes: list[int], lengths: list[int]):
+        self.sorted = np.unique(np.array(hashes, np.int64).view(np.uint64))
+        self.lengths = sorted(set(lengths))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.sorted & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (row, place of the gram in ``sorted``) of the grams that the texts hold."""
+        found = []
+        for n in self.lengths:
+            row, h = _grams(texts, n)
+            maybe = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.sorted, h[maybe]), max(0, len(self.sorted) - 1))
+            real = self.sorted[at] == h[maybe] if len(self.sorted) else np.zeros(len(maybe), bool)
+            found.append(row[maybe[real]] * len(self.sorted) + at[real])
+        key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return key // max(1, len(self.sorted)), key % max(1, len(self.sorted))
+
+
+def _gram_counts(grams: _GramSet):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(grams.sorted), np.int64)
+        for batch in batches:
+            for texts in _slices(batch.column("_t")):
+                total += np.bincount(grams.hits(texts)[1], minlength=len(total))
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.sorted[met].view(np.int64)), pa.array(total[met])], ["_g", "_df"])
+
+    return run
+
+
+def _gram_hits(grams: _GramSet):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _slices(batch.column("_t")):
+                row, at = grams.hits(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(gs), batch.schema.field("_k").type), pa.array(ns, pa.int32()), pa.array(gs, pa.string())],
-                    ["_k", "_n", "_g"])
+                    [texts.take(pa.array(row)), pa.array(grams.sorted[at].view(np.int64))], ["_t", "_g"])
+
+    return run
+
+
+def _entry_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_e) -> (_e, _g, _n): the distinct grams of each entry; of a short one itself."""
+    for batch in batches:
+        for texts in _slices(batch.column("_e")):
+            size = np.minimum(np.array([len(t) for t in texts.to_pylist()]), GRAM)
+            for n in range(1, GRAM + 1):
+                own = np.flatnonzero(size == n)
+                if len(own):
+                    row, h = _grams(texts.take(pa.array(own)), n)
+                    yield pa.RecordBatch.from_arrays(
+                        [texts.take(pa.array(own[row])), pa.array(h.view(np.int64)), pa.array(np.full(len(row), n, np.int32))],
+                        ["_e", "_g", "_n"])
+
+
+def _gram_sets(grams: DataFrame) -> Iterator[_GramSet]:
+    """The distinct (_g, _n) in sets of about ``GRAM_CHUNK``."""
+    grams = cut_lineage(grams.select("_g", "_n").distinct())
+    chunks = -(-grams.count() // GRAM_CHUNK)
+    for c in range(chunks):
+        rows = grams.where(F.pmod(F.col("_g"), F.lit(chunks)) == c).collect()
+        yield _GramSet([r["_g"] for r in rows], [r["_n"] for r in rows])
+
+
+def contains_flags(df: DataFrame, text: Column, lists: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with a boolean per list: the text of the row contains one of its entries (J1, J2 as a join).
+
+    Null texts contain nothing; null and empty entries are dropped.  An empty list flags nothing."""
+    entries = reduce(DataFrame.unionByName, [
+        e.select(F.lit(name).alias("_l"), F.col(f"`{e.columns[0]}`").cast("string").alias("_e")) for name, e in lists.items()])
+    entries = cut_lineage(entries.where(F.col("_e") != "").distinct())
+    grams = cut_lineage(entries.select("_e").distinct().mapInArrow(_entry_grams, "_e string, _g long, _n int").distinct())
+    texts = df.select(text.alias("_t")).where(F.col("_t").isNotNull())
+    rarest = hits = None
+    for some in _gram_sets(grams):
+        part = texts.mapInArrow(_gram_counts(some), "_g long, _df long").groupBy("_g").agg(F.sum("_df").alias("_df"))
+        rarest = part if rarest is None else rarest.unionByName(part)
+    if rarest is None:
+        return df.withColumns({name: F.lit(False) for name in lists})
+    # an entry occurs only where its rarest gram does, and nowhere if one of its grams does not
+    signed = (grams.join(rarest, "_g", "left").groupBy("_e")
+                   .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_g").alias("g"), F.col("_n").alias("n"))).alias("s"))
+                   .where(F.col("s.df") > 0).select("_e", F.col("s.g").alias("_g"), F.col("s.n").alias("_n")))
+    signed = cut_lineage(signed)
+    for some in _gram_sets(signed):
+        part = texts.mapInArrow(_gram_hits(some), "_t string, _g long")
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return df.withColumns({name: F.lit(False) for name in lists})
+    found = (hits.join(signed, "_g").where(F.contains("_t", F.col("_e"))).select(F.sha2("_t", 256).alias("_d"), "_e").distinct()
+                 .join(entries, "_e").groupBy("_d").agg(*[F.max(F.col("_l") == name).alias(name) for name in lists]))
+    rest = [c for c in df.columns if c not in lists]
+    joined = df.select(*rest, F.sha2(text, 256).alias("_k")).join(found, F.col("_k") == F.col("_d"), "left")
+    return joined.select(*rest, *[F.coalesce(name, F.lit(False)).alias(name) for name in lists])
 
 
 def contains_flag(df: DataFrame, key: str, text: Column, entries: DataFrame, name: str) -> DataFrame:
-    """``df`` with a boolean ``name``: the text of the row contains an entry (J1, J2 as a join).
-
-    ``key`` identifies a row; ``entries`` has one column."""
-    e = (entries.select(F.col(entries.columns[0]).cast("string").alias("_e")).where(F.col("_e") != "").distinct()
-                .withColumn("_n", F.least(F.length("_e"), F.lit(GRAM)))
-                .withColumn("_g", F.substring(F.col("_e"), 1, GRAM)))
-    rows = df.select(F.col(key).alias("_k"), text.alias("_t")).where(F.col("_t").isNotNull())
-    key_type = rows.schema["_k"].dataType.simpleString()
-    grams = rows.mapInArrow(_gram_rows, f"_k {key_type}, _n int, _g string")
-    # ids only through the join on grams; texts and entries meet for verification
-    near = grams.join(e, ["_n", "_g"]).select("_k", "_e").distinct()
-    hit = rows.join(near, "_k").where(F.contains("_t", F.col("_e"))).select("_k").distinct()
-    hit = hit.withColumn(name, F.lit(True))
-    out = df.join(hit, df[key].eqNullSafe(hit["_k"]), "left").drop("_k")
-    return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    """``contains_flags`` for one list; rows are told apart by their text, so ``key`` may be null or repeated."""
+    return contains_flags(df, text, {name: entries})
+
+
+def list_flags(df: DataFrame, text: Column, lists: dict[str, object]) -> DataFrame:
+    """A boolean per list: DataFrames are joined together, Python values become expressions."""
+    joined = {name: v for name, v in lists.items() if isinstance(v, DataFrame)}
+    df = contains_flags(df, text, joined) if joined else df
+    return df.withColumns({name: contains_any(text, v) for name, v in lists.items() if name not in joined})
 
 
 def list_flag(df: DataFrame, key: str, text: Column, values, name: str) -> DataFrame:

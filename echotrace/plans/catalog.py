@@ -463,16 +463,26 @@ def q_empty_result(spark, sf_dir):
     return spark.read.parquet(path).select(*POST_COLS)
 
 
-def q_clean_job(spark, sf_dir):
-    """F11 from path to path, with the lists joined as tables."""
-    posts, out = scratch_path(spark, "posts"), scratch_path(spark, "cleaned")
+def _clean_job_inputs(spark, sf_dir):
+    posts = scratch_path(spark, "posts")
     fixtures.posts(spark, sf_dir).write.parquet(posts)
     lists = {}
     for name in ("excluded_urls", "untrusted_phrases", "untrusted_domains", "trusted_domains"):
         path = scratch_path(spark, name)
         rd.list_frame(spark, getattr(CLEAN, name)).write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
         lists[name] = (path, "value")
-    return jobs.clean_job(spark, posts, out, lists, CLEAN).select(*POST_COLS)
+    return posts, scratch_path(spark, "cleaned"), lists
+
+
+def q_clean_job(spark, sf_dir):
+    """F11 from path to path, with the lists joined as tables."""
+    return jobs.clean_job(spark, *_clean_job_inputs(spark, sf_dir), CLEAN).select(*POST_COLS)
+
+
+def q_clean_job_counts(spark, sf_dir):
+    """The counters of a cleaning job, observed while it writes."""
+    _, seen = jobs.clean_job_counted(spark, *_clean_job_inputs(spark, sf_dir), CLEAN)
+    return spark.createDataFrame([tuple(seen.values())], ", ".join(f"{k} long" for k in seen))
 
 
 def q_match_job(spark, sf_dir):
@@ -509,6 +519,12 @@ def q_flat_groups(spark, sf_dir):
 
 
 _STAGE = oracle.clean_stage(oracle.POSTS_V, CLEAN)
+_STAGE_COUNTS = f"""
+        SELECT count(*) AS total, CAST(count_if(stage <> 1) AS BIGINT) AS after_url, CAST(count_if(stage = 2) AS BIGINT) AS removed_search,
+               CAST(count_if(stage = 0 OR stage >= 3) AS BIGINT) AS after_search, CAST(count_if(stage = 3) AS BIGINT) AS removed_untrusted,
+               CAST(count_if(stage = 0 OR stage = 4) AS BIGINT) AS kept_untrusted, CAST(count_if(stage = 4) AS BIGINT) AS removed_ending,
+               CAST(count_if(stage = 0) AS BIGINT) AS kept
+        FROM ({_STAGE}) s"""
 _F1, _F2, _FL = oracle.first_sentences("text")
 _W = oracle.words("text")
 _TEXT_UTILS = f"""
@@ -646,12 +662,7 @@ SQL = {
         CAST(count_if(copy_ratio > 0) - count_if(copy_ratio >= 0.5) AS BIGINT) AS gt0 FROM ({_MATCH}) m""",
     "copy_ratio": oracle.copy_ratio(oracle.PAIRS_V, "pair_id", STOPWORDS),
     "clean_posts": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
-    "clean_stage_counts": f"""
-        SELECT count(*) AS total, CAST(count_if(stage <> 1) AS BIGINT) AS after_url, CAST(count_if(stage = 2) AS BIGINT) AS removed_search,
-               CAST(count_if(stage = 0 OR stage >= 3) AS BIGINT) AS after_search, CAST(count_if(stage = 3) AS BIGINT) AS removed_untrusted,
-               CAST(count_if(stage = 0 OR stage = 4) AS BIGINT) AS kept_untrusted, CAST(count_if(stage = 4) AS BIGINT) AS removed_ending,
-               CAST(count_if(stage = 0) AS BIGINT) AS kept
-        FROM ({_STAGE}) s""",
+    "clean_stage_counts": _STAGE_COUNTS,
     "removed_posts": f"SELECT idx, stage FROM ({_STAGE}) s WHERE stage <> 0",
     "title_prefix": f"SELECT idx, split_part(title, '&keyword=', 1) AS title FROM ({_P}) p",
     "url_exclusion": f"SELECT idx, url FROM ({_P}) p WHERE NOT "
@@ -705,6 +716,7 @@ SQL = {
         UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 10 = 7""",
     "empty_result": f"SELECT idx, title, content, keyword, account, url FROM ({_P}) p WHERE idx < 0",
     "clean_job": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
+    "clean_job_counts": f"SELECT * FROM ({_STAGE_COUNTS}) c",
     "match_job": f"""SELECT p.idx, p.title, p.content, p.keyword, p.account, p.url, m.article_link, m.copy_ratio
         FROM ({_P}) p JOIN ({_MATCH}) m ON m.idx = p.idx""",
     "string_guard": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents",
@@ -777,6 +789,7 @@ QUERIES = {
     "appended_lines": q_appended_lines,
     "empty_result": q_empty_result,
     "clean_job": q_clean_job,
+    "clean_job_counts": q_clean_job_counts,
     "match_job": q_match_job,
     "string_guard": q_string_guard,
     "morph_rows": q_morph_rows,

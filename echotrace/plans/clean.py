@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions.text import preprocess_title
@@ -32,12 +32,11 @@ class CleanParams:
 def flag_posts(posts: DataFrame, p: CleanParams) -> DataFrame:
     """Adds ``stage``: 0 kept, 1 URL excluded, 2 keyword/banned, 3 untrusted,
     4 ending filter — the first filter that removes the row.  Lists given as
-    DataFrames are joined by ``idx``; nothing is counted or collected."""
+    DataFrames are joined by the text (``filters.contains_flags``)."""
     df = posts.withColumn("title", preprocess_title("title"))
-    body = flt.as_text("content")
-    for name, text, values in (("_url", flt.as_text("url"), p.excluded_urls), ("_phrase", body, p.untrusted_phrases),
-                               ("_domain", body, p.untrusted_domains), ("_trusted", body, p.trusted_domains)):
-        df = flt.list_flag(df, "idx", text, values, name)
+    df = flt.list_flags(df, flt.as_text("url"), {"_url": p.excluded_urls})
+    df = flt.list_flags(df, flt.as_text("content"), {"_phrase": p.untrusted_phrases, "_domain": p.untrusted_domains,
+                                                     "_trusted": p.trusted_domains})
     search_out = ~flt.keyword_present() | flt.banned_term_flag(p.banned)
     untrusted = (F.col("_phrase") | F.col("_domain")) & ~F.col("_trusted")
     ending = flt.ending_flag(p.ending, p.ending_exception, p.keep_term)
@@ -53,10 +52,10 @@ def removed_posts(posts: DataFrame, p: CleanParams) -> DataFrame:
     return flag_posts(posts, p).where(F.col("stage") != 0)
 
 
-def stage_counts(posts: DataFrame, p: CleanParams) -> DataFrame:
-    """Kept / removed per stage in one aggregation."""
+def counters() -> list[Column]:
+    """Kept / removed per stage, as aggregates over ``stage``."""
     s = F.col("stage")
-    return flag_posts(posts, p).agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(s != 1).alias("after_url"),
         F.count_if(s == 2).alias("removed_search"),
@@ -65,4 +64,9 @@ def stage_counts(posts: DataFrame, p: CleanParams) -> DataFrame:
         F.count_if((s == 0) | (s == 4)).alias("kept_untrusted"),
         F.count_if(s == 4).alias("removed_ending"),
         F.count_if(s == 0).alias("kept"),
-    )
+    ]
+
+
+def stage_counts(posts: DataFrame, p: CleanParams) -> DataFrame:
+    """The counters in one aggregation of their own (``plans.jobs.clean_job`` observes them while it writes)."""
+    return flag_posts(posts, p).agg(*counters())

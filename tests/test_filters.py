@@ -78,3 +78,32 @@ def test_long_lists_are_joined(spark):
 def test_missing_cells_print_none(spark):
     df = spark.createDataFrame([(1, None, None, "na", "a", None), (2, None, None, "non", "a", None)], SCHEMA)
     assert [r["idx"] for r in flt.keep_keyword_posts(df).collect()] == [2]
+
+
+def test_null_and_repeated_keys_and_chunks(spark, monkeypatch):
+    """Table and list form of the cleaning job give the same rows; grams in several chunks too."""
+    rows = POSTS + [(None, "t", "소식 발표했다.", "소식", "acc", "http://spam-farm/y"), (None, "t", "소식 발표했다.", "소식", "acc", "http://ok"),
+                    (9, "t", "소식 Copyright NEWS1 발표했다.", "소식", "acc", "http://f"), (9, "t", "소식 발표했다.", "소식", "acc", "http://g"),
+                    (10, "t", "소식 Copyright NEWS1 trusted.kr 발표했다.", "소식", "acc", None), (11, "t", None, "None", "acc", "http://spam")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    lists = dict(excluded_urls=["spam-farm", "x"], untrusted_phrases=["Copyright NEWS1", "가나다라마바사"], untrusted_domains=["f", "zz"],
+                 trusted_domains=["trusted.kr"])
+    params = clean.CleanParams(**{**PARAMS.__dict__, **lists})
+    want = sorted((tuple(r) for r in clean.flag_posts(df, params).collect()), key=repr)
+    frames = {k: spark.createDataFrame([(x,) for x in [*v, None, ""]], "v string") for k, v in lists.items()}
+    as_tables = clean.CleanParams(**{**PARAMS.__dict__, **frames})
+    assert sorted((tuple(r) for r in clean.flag_posts(df, as_tables).collect()), key=repr) == want
+    monkeypatch.setattr(flt, "GRAM_CHUNK", 3)
+    assert sorted((tuple(r) for r in clean.flag_posts(df, as_tables).collect()), key=repr) == want
+    none = {k: spark.createDataFrame([], "v string") for k in lists}
+    assert clean.flag_posts(df, clean.CleanParams(**{**PARAMS.__dict__, **none})).where("stage in (1, 3)").count() == 0
+
+
+def test_job_counters_are_those_of_the_run(spark, tmp_path):
+    from echotrace.plans import jobs
+
+    df = spark.createDataFrame(POSTS, SCHEMA)
+    df.write.parquet(f"{tmp_path}/posts")
+    spark.createDataFrame([("spam-farm",)], "value string").write.option("header", True).csv(f"{tmp_path}/urls")
+    kept, seen = jobs.clean_job_counted(spark, f"{tmp_path}/posts", f"{tmp_path}/out", {"excluded_urls": (f"{tmp_path}/urls", "value")}, PARAMS)
+    assert seen == clean.stage_counts(df, PARAMS).first().asDict() and kept.count() == seen["kept"]
