@@ -16,6 +16,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from echotrace.llm.arrow_text import codes, raw_bytes
 
@@ -60,7 +61,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat, self.size, self.first = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -96,38 +97,60 @@ class WordEncoder:
 
     def _known(self, parts: list[str]) -> np.ndarray:
         """Memo number of each distinct part; new ones are encoded."""
-        found = list(map(self.memo.get, parts))
-        if None in found:
-            fresh = [p for p, k in zip(parts, found) if k is None]
-            if self.memo and len(self.memo) + len(fresh) > MEMO_PARTS:
+        get = self.memo.get
+        found = np.array([get(p, -1) for p in parts], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if self.memo and len(self.memo) + len(new) > MEMO_PARTS:
                 self._forget()
                 return self._known(parts)
-            self.memo.update(zip(fresh, range(len(self.memo), len(self.memo) + len(fresh))))
+            fresh = [parts[i] for i in new.tolist()]
+            found[new] = np.arange(len(self.memo), len(self.memo) + len(new))
+            self.memo.update(zip(fresh, found[new].tolist()))
             ids, size = self._library_ids(fresh)
             self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
-            found = list(map(self.memo.get, parts))
-        return np.array(found, np.int64)
+            self.first = np.cumsum(self.size) - self.size
+        return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of all texts in order, ids per text) for a string array without nulls."""
         parts, parts_of = text_parts(texts)
         code, vocabulary = codes(parts)
-        known = self._known(vocabulary.to_pylist())
-        first = (np.cumsum(self.size) - self.size)[known]
-        # the end id is one more "part" behind those of each text
-        flat = np.append(self.flat, np.uint32(end_id))
-        first = np.append(first, len(flat) - 1)
-        size = np.append(self.size[known], 1)
+        known = self._known(_strings(vocabulary))
+        # the ids of this slice's parts side by side; the end id is one more part behind those of each text
+        flat, size = self.flat[_spread(self.first[known], self.size[known])], np.append(self.size[known], 1).astype(np.int32)
+        flat, first = np.append(flat, np.uint32(end_id)), (np.cumsum(size) - size).astype(np.int32)
         closing = np.cumsum(parts_of + 1) - 1
-        sequence = np.full(len(code) + len(texts), len(known), np.int64)
+        sequence = np.full(len(code) + len(texts), len(known), np.int32)
         inner = np.ones(len(sequence), bool)
         inner[closing] = False
         sequence[inner] = code
         lengths = size[sequence]
         ends = np.cumsum(lengths)
-        place = np.repeat((first[sequence] - (ends - lengths)).astype(np.int32), lengths)
-        place += np.arange(len(place), dtype=np.int32)
-        return flat[place], np.diff(ends[closing], prepend=0)
+        return flat[_spread(first[sequence], lengths, ends)], np.diff(ends[closing], prepend=0)
+
+
+def _strings(parts: pa.Array) -> list[str]:
+    """Python strings of an array of parts; no part holds white space."""
+    if not len(parts):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts)
+    return pc.binary_join(whole, "\n")[0].as_py().split("\n")
+
+
+def _spread(first: np.ndarray, length: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """Places first, first + 1, ... of ``length`` each, one after another."""
+    ends = np.cumsum(length) if ends is None else ends
+    place = np.repeat((first - (ends - length)).astype(np.int32), length)
+    place += np.arange(len(place), dtype=np.int32)
+    return place
+
+
+def _running(flags: np.ndarray) -> np.ndarray:
+    """Number of set flags before each place and behind the last."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:], dtype=np.int32)
+    return out
 
 
 def text_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -145,21 +168,21 @@ def text_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     start = np.flatnonzero(begins)
     end = np.append(start[1:], len(raw))  # white space included
     # a piece is cut at its first mark if letters stand before it and only marks (and white space) behind
-    letter = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+    letter = _running(kind == _LETTER)
     mark = np.flatnonzero(kind == _MARK)
     at = np.searchsorted(mark, start)
     cut = np.where(at < len(mark), mark[np.minimum(at, max(0, len(mark) - 1))], len(raw)) if len(mark) else np.full(len(start), len(raw))
     cut = np.minimum(cut, end)
-    other = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+    other = _running(kind == _OTHER)
     both = (cut > start) & (cut < end) & (letter[cut] - letter[start] == cut - start) & (letter[end] == letter[cut]) & (other[end] == other[cut])
     begins[cut[both]] = True
     low = _LOWER[raw]
     if len(raw) and bool(((raw[:-1] == 60) & (raw[1:] == 124)).any()):  # "<|" may begin a special token
-        special = np.concatenate([[0], np.cumsum((raw == 60) & (np.append(raw[1:], 0) == 124))])
+        special = _running((raw == 60) & (np.append(raw[1:], 0) == 124))
         for i in np.flatnonzero(special[end] > special[start]).tolist():
             low[start[i]:end[i]] = raw[start[i]:end[i]]
-    before = np.concatenate([[0], np.cumsum(dark)])
+    before = _running(dark)
     first = np.flatnonzero(begins)
-    places = np.append(before[first], before[-1]).astype(np.int32)
+    places = np.append(before[first], before[-1])
     parts = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(places), pa.py_buffer(low[dark])])
     return parts, np.diff(np.searchsorted(first, offsets))
