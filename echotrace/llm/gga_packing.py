@@ -5,11 +5,11 @@ dealt at random into shards of about ``SHARD_PIECES``, or of more where these do
 not fill ``SHARD_SEQUENCES`` sequences (so every round settles some bins).  Each shard is evolved by
 several islands, every one a task of its own:
 
-* first solutions: best fit over shuffled pieces;
+* first solutions: best fit over pieces shuffled as a whole or inside bands of lengths;
 * crossover: the well-filled bins of one parent are injected whole into the
   other, its bins that hold an injected piece are dissolved, and the displaced
   pieces go best-fit, longest first, into the gaps or new bins;
-* fitness: mean squared fill of the bins (few, full bins win);
+* fitness: few bins first, then the mean squared fill;
 * after an epoch the elite of each island migrates to the next island, where its
   first crossover is with that island's own elite.
 
@@ -52,6 +52,8 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 20
 POPULATION = 3
+#: Bands of lengths, in parts of the capacity, of every other first solution.
+BANDS = 8
 #: Share of a shard's bins (and the fill they must miss) that meets other shards' again.
 RELEASED, WELL_FILLED = 0.02, 0.995
 
@@ -83,79 +85,99 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
         run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(bins: Solution, fill: list[int], pieces: list[int], length: list[int], capacity: int) -> None:
+class Packing:
+    """Bins of pieces with their fill."""
+
+    def __init__(self, bins: Solution | None = None, fill: list[int] | None = None):
+        self.bins, self.fill = bins or [], fill or []
+
+    def rank(self) -> tuple[int, float]:
+        """Few bins first, then full ones (mean squared fill)."""
+        return len(self.fill), -sum(f * f for f in self.fill) / max(1, len(self.fill))
+
+
+def filled(bins: Solution, length: list[int]) -> Packing:
+    return Packing(bins, [sum([length[p] for p in b]) for b in bins])
+
+
+def best_fit(packing: Packing, pieces: list[int], length: list[int], capacity: int) -> None:
     """Put each piece into the bin with the least room that holds it, else into a new one."""
-    room = sorted((capacity - f, b) for b, f in enumerate(fill))
+    bins, fill = packing.bins, packing.fill
+    room = sorted((capacity - f, b) for b, f in enumerate(fill) if f < capacity)
+    find, put = bisect.bisect_left, bisect.insort
     for p in pieces:
         n = length[p]
-        i = bisect.bisect_left(room, (n, -1))
+        i = find(room, (n, -1))
         if i < len(room):
             left, b = room.pop(i)
             bins[b].append(p)
             fill[b] += n
-            left -= n
         else:
-            b, left = len(bins), capacity - n
+            b, left = len(bins), capacity
             bins.append([p])
             fill.append(n)
-        bisect.insort(room, (left, b))
-
-
-def fitness(bins: Solution, length: list[int], capacity: int) -> float:
-    return sum((sum(length[p] for p in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+        if left > n:
+            put(room, (left - n, b))
 
 
-def crossover(one: Solution, other: Solution, length: list[int], capacity: int, rng: random.Random) -> Solution:
+def crossover(one: Packing, other: Packing, length: list[int], capacity: int, rng: random.Random) -> Packing:
     """``other`` with some of the best-filled bins of ``one`` injected whole."""
-    ranked = sorted(one, key=lambda b: -sum(length[p] for p in b))
+    ranked = sorted(range(len(one.bins)), key=lambda b: -one.fill[b])
     injected = [b for b in ranked[:max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
-    taken = {p for b in injected for p in b}
-    bins: Solution = [list(b) for b in injected]
+    taken = {p for b in injected for p in one.bins[b]}
+    kept = [(one.fill[b], one.bins[b]) for b in injected]
     displaced: list[int] = []
-    for b in other:
+    for f, b in zip(other.fill, other.bins):
         if taken.isdisjoint(b):
-            bins.append(list(b))
+            kept.append((f, b))
         else:
             displaced += [p for p in b if p not in taken]
     # the emptiest of the child are dissolved too, so that gaps are dealt anew
-    bins.sort(key=lambda b: -sum(length[p] for p in b))
-    for _ in range(min(max(2, len(bins) // 10), len(bins) - 1)):
-        displaced += bins.pop()
+    kept.sort(key=lambda x: -x[0])
+    for _ in range(min(max(2, len(kept) // 10), len(kept) - 1)):
+        displaced += kept.pop()[1]
     displaced.sort(key=lambda p: (-length[p], p))
-    best_fit(bins, [sum(length[p] for p in b) for b in bins], displaced, length, capacity)
-    return bins
+    child = Packing([list(b) for _, b in kept], [f for f, _ in kept])
+    best_fit(child, displaced, length, capacity)
+    return child
 
 
 @dataclass
 class Evolution:
     """What an epoch on an island came to."""
 
-    best: Solution
+    best: Packing
     crossovers: int
     migrants: int
 
 
-def evolve(length: list[int], capacity: int, elites: list[Solution], rng: random.Random, generations: int = GENERATIONS) -> Evolution:
+def evolve(length: list[int], capacity: int, elites: list[Packing], rng: random.Random, generations: int = GENERATIONS) -> Evolution:
     """One epoch of an island; ``elites``: its own of the epoch before, then those that came from other islands."""
     bound = -(-sum(length) // capacity)
     people = list(elites)
     while len(people) < (2 if elites else POPULATION):
         order = list(range(len(length)))
         rng.shuffle(order)
-        fresh: Solution = []
-        best_fit(fresh, [], order, length, capacity)
+        if len(people) % 2:  # shuffled inside bands of lengths, long ones first
+            order.sort(key=lambda p: -(length[p] * BANDS // capacity))
+        fresh = Packing()
+        best_fit(fresh, order, length, capacity)
         people.append(fresh)
-    rank = lambda s: (len(s), -fitness(s, length, capacity))
     couples = [(elites[0], guest) for guest in elites[1:]]  # migrants meet the elite of the island first
+    ranked = sorted(((s.rank(), i, s) for i, s in enumerate(people)))
     crossovers = 0
     for _ in range(generations):
-        one, other = couples.pop() if couples else rng.sample(people, 2)
-        people += [crossover(one, other, length, capacity, rng), crossover(other, one, length, capacity, rng)]
-        crossovers += 2
-        people = sorted(people, key=rank)[:POPULATION]
-        if len(people[0]) <= bound and not couples:
+        one, other = couples.pop() if couples else rng.sample([s for _, _, s in ranked], 2)
+        for a, b in ((one, other), (other, one)):
+            child = crossover(a, b, length, capacity, rng)
+            crossovers += 1
+            ranked.append((child.rank(), len(people) + crossovers, child))
+            if len(child.fill) <= bound and not couples:
+                break
+        ranked = sorted(ranked)[:POPULATION]
+        if ranked[0][0][0] <= bound and not couples:
             break
-    return Evolution(people[0], crossovers, len(elites[1:]))
+    return Evolution(ranked[0][2], crossovers, len(elites[1:]))
 
 
 SOLVED = "shard long, island int, uid long, length long, bin int, crossovers long, migrants long"
@@ -167,7 +189,7 @@ def _island(capacity: int, round_nr: int, epoch: int):
         items = rows[["uid", "length"]].drop_duplicates("uid").sort_values("uid")
         uid, length = items["uid"].tolist(), items["length"].tolist()
         index = {u: i for i, u in enumerate(uid)}
-        elites: list[Solution] = []
+        elites: list[Packing] = []
         crossovers = migrants = 0
         if epoch:
             crossovers, migrants = int(rows["crossovers"].max()), int(rows["migrants"].max())
@@ -175,9 +197,9 @@ def _island(capacity: int, round_nr: int, epoch: int):
                 bins: dict[int, list[int]] = {}
                 for u, b in zip(solution["uid"].tolist(), solution["bin"].tolist()):
                     bins.setdefault(b, []).append(index[u])
-                elites.append([bins[b] for b in sorted(bins)])
+                elites.append(filled([bins[b] for b in sorted(bins)], length))
         found = evolve(length, capacity, elites, random.Random(f"{round_nr}:{epoch}:{shard}:{island}"))
-        flat = [(uid[p], length[p], b) for b, members in enumerate(found.best) for p in members]
+        flat = [(uid[p], length[p], b) for b, members in enumerate(found.best.bins) for p in members]
         out = pd.DataFrame(flat, columns=["uid", "length", "bin"])
         out["shard"], out["island"] = shard, island
         out["crossovers"], out["migrants"] = crossovers + found.crossovers, migrants + found.migrants
