@@ -18,6 +18,12 @@ benchmark passage); the same definitions are written in DuckDB SQL in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +70,35 @@ def _runs(df: DataFrame, id_col: str) -> DataFrame:
     return w.select(id_col, F.explode(F.array_distinct(runs)).alias("run"))
 
 
+def _run_hashes(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, h): hashes of the runs, many texts at once; equal runs have equal hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("w")
+            row, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten().dictionary_encode()
+            word = pd.util.hash_array(flat.dictionary.to_numpy(zero_copy_only=False))[flat.indices.to_numpy()]
+            n = len(word) - RUN_WORDS + 1
+            if n <= 0:
+                continue
+            h = np.zeros(n, np.uint64)
+            for k in range(RUN_WORDS):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + word[k:n + k]
+            at = np.flatnonzero(row[:n] == row[RUN_WORDS - 1:])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row[at])), pa.array(h[at].view(np.int64))], [id_col, "h"])
+
+    return df.select(id_col, words("text").alias("w")).mapInArrow(run, f"{id_col} long, h long")
+
+
 def _passage_candidates(bench: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, texts): passages and documents that share a run of words.
 
-    Whole passages and whole documents are shingled; only ids travel through the
-    join on runs, the texts follow for the pairs found."""
-    near = (_runs(bench, "item_id").join(_runs(docs, "doc_id"), "run").select("item_id", "doc_id").distinct())
+    Whole passages and whole documents are shingled.  Hashes of the runs pick the
+    documents that can share one; only theirs are spelled out and joined exactly, with
+    ids only, and the texts follow for the pairs found."""
+    some = _run_hashes(docs, "doc_id").join(_run_hashes(bench, "item_id").select("h").distinct(), "h", "left_semi").select("doc_id").distinct()
+    near = (_runs(bench, "item_id").join(_runs(docs.join(some, "doc_id", "left_semi"), "doc_id"), "run")
+                .select("item_id", "doc_id").distinct())
     return (near.join(bench.select("item_id", F.col("text").alias("i_text")), "item_id")
                 .join(docs.select("doc_id", F.col("text").alias("d_text")), "doc_id")
                 .select("item_id", "doc_id", "i_text", "d_text"))

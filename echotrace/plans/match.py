@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from echotrace.functions.text import clean_text, hyperlink, round_ratio
 from echotrace.functions.tokens import Tokenizer, score_tokens
 from echotrace.operators import links, retrieve
-from echotrace.operators.score import pair_cosine, term_frequencies
+from echotrace.operators.score import pair_cosine, store_terms, term_rows
 from echotrace.session import cut_lineage
 
 
@@ -36,6 +36,9 @@ class MatchParams:
     exclude_self: bool = True
     tokenizer: Tokenizer | None = None
     literal_escape: bool = False
+    #: Names of bucketed tables of all articles' and all posts' terms: written by the first run, read by later ones.
+    term_tables: tuple[str, str] | None = None
+    term_buckets: int = 64
 
 
 def candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFrame, p: MatchParams,
@@ -57,14 +60,17 @@ def scored_candidates(posts: DataFrame, articles: DataFrame, dictionary: DataFra
     cand = cut_lineage(candidates(posts, articles, dictionary, p, cleaned)
                        .select("idx", "cand_pos", "article_id", "link"))
     post_text = cleaned.select("idx", F.concat("title_c", F.lit(" "), "content_c").alias("text"))
-    post_text = post_text.join(cand.select("idx").distinct(), "idx", "left_semi")
-    art_text = (articles.join(cand.select("article_id").distinct(), "article_id", "left_semi")
-                        .select("article_id", clean_text("body", p.literal_escape).alias("text")))
-    b_tf = term_frequencies(post_text, "idx", score_tokens("text", p.tokenizer, p.stopwords))
-    a_tf = term_frequencies(art_text, "article_id", score_tokens("text", p.tokenizer, p.stopwords))
+    art_text = articles.select("article_id", clean_text("body", p.literal_escape).alias("text"))
+    if p.term_tables is None:
+        post_text = post_text.join(cand.select("idx").distinct(), "idx", "left_semi")
+        art_text = art_text.join(cand.select("article_id").distinct(), "article_id", "left_semi")
+    b_terms = term_rows(post_text, "idx", score_tokens("text", p.tokenizer, p.stopwords))
+    a_terms = term_rows(art_text, "article_id", score_tokens("text", p.tokenizer, p.stopwords))
+    if p.term_tables is not None:
+        a_terms, b_terms = (store_terms(t, name, p.term_buckets) for t, name in zip((a_terms, b_terms), p.term_tables))
     keys = cand.select(F.concat_ws(":", F.col("idx").cast("string"), F.col("cand_pos").cast("string")).alias("pair"),
                        F.col("article_id").alias("a_id"), F.col("idx").alias("b_id"), "idx", "cand_pos", "link")
-    cos = pair_cosine(keys.select("pair", "a_id", "b_id"), a_tf, b_tf).select("pair", "cosine")
+    cos = pair_cosine(keys.select("pair", "a_id", "b_id"), a_terms, b_terms).select("pair", "cosine")
     return (keys.join(cos, "pair").drop("pair")
                 .withColumnRenamed("a_id", "article_id").drop("b_id")
                 .withColumn("copy_ratio", round_ratio("cosine")))

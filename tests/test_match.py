@@ -34,3 +34,44 @@ def test_match_end_to_end(spark):
     labels = [r["label"] for r in rep.where("label IS NOT NULL").orderBy("stat_pos").collect()]
     assert labels == match.STAT_LABELS
     assert rep.where("label = '매칭건수'").first()["count_text"] == "1건"
+
+
+def test_stored_terms_are_read_without_an_exchange(spark):
+    """The matching job twice with stored term tables: same rows, and the tables stand under their joins as they are."""
+    import re
+    import uuid
+
+    from echotrace.operators import score
+    from echotrace.plans import catalog, fixtures
+
+    sf = "/root/testdata/sf0.001"
+    posts, arts, words = catalog._match_inputs(spark, sf)
+    names = tuple(f"terms_{side}_{uuid.uuid4().hex}" for side in ("a", "b"))
+    plain = match.MatchParams(**catalog.MATCH.__dict__)
+    stored = match.MatchParams(**{**catalog.MATCH.__dict__, "term_tables": names, "term_buckets": 8})
+    rows = lambda p: sorted((tuple(r) for r in match.scored_candidates(posts, arts, words, p).collect()), key=repr)
+    try:
+        want = rows(plain)
+        assert want and rows(stored) == want and rows(stored) == want
+        a, b = (spark.table(x) for x in names)
+        assert a.count() == fixtures.articles(spark, sf).count()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        pairs = spark.createDataFrame([(f"{i}", i, i + 1) for i in range(50)], "pair string, a_id long, b_id long")
+        plan = score.pair_cosine(pairs, a, b)._jdf.queryExecution().executedPlan().toString()
+        # every scan of a term table reads its buckets, and only the pairs pass an exchange
+        lines = plan.splitlines()
+        for at in (i for i, x in enumerate(lines) if "Bucketed: true" in x):
+            depth = lines[at].index("FileScan")
+            above = []
+            for x in reversed(lines[:at]):
+                start = len(re.match(r"[\s:+*()\d-]*", x).group(0))
+                if start < depth:
+                    above.append(x)
+                    depth = start
+            upto = next(i for i, x in enumerate(above) if "SortMergeJoin" in x)
+            assert not any("Exchange" in x for x in above[:upto])
+        assert sum("Bucketed: true" in x for x in lines) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for x in names:
+            spark.sql(f"DROP TABLE IF EXISTS {x}")
