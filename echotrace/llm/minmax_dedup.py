@@ -41,6 +41,7 @@ from echotrace.llm.arrow_text import codes, plain_strings, slices, word_lists
 from echotrace.llm.common import cut
 from echotrace.llm.components import components
 
+#: Words of a shingle, if the caller names no other number.
 SHINGLE = 4
 THRESHOLD = 80  # per cent
 ROWS, BANDS = 4, 28
@@ -66,7 +67,7 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(distinct 64-bit shingle hashes of all texts in order, shingles per text) of strings without nulls."""
     words, words_of = word_lists(pc.ascii_lower(texts))
     code, vocabulary = codes(words)
@@ -75,12 +76,12 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     word = pd.util.hash_array(np.array(vocabulary.to_pylist(), dtype=object), categorize=False)[code]
     first = np.cumsum(words_of) - words_of
-    size = np.where(words_of >= SHINGLE, words_of - SHINGLE + 1, (words_of > 0).astype(np.int64))
+    size = np.where(words_of >= shingle, words_of - shingle + 1, (words_of > 0).astype(np.int64))
     owner = np.repeat(np.arange(n), size)
     nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     at = first[owner] + nth
     value = np.full(len(at), 0x51ED270B, np.uint64)
-    for k in range(SHINGLE):
+    for k in range(shingle):
         inside = k < words_of[owner]
         step = _mix(value * np.uint64(0x9E3779B97F4A7C15) + word[np.minimum(at + k, len(word) - 1)])
         value = np.where(inside, step, value)
@@ -117,7 +118,7 @@ def signatures(values: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     return prints, keys, sketch
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, text_hash, n_shingles, f1, f2, keys, sketch."""
     chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
@@ -126,7 +127,7 @@ def described(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 n = part.num_rows
-                values, size = shingle_sets(plain_strings(part.column("text")))
+                values, size = shingle_sets(plain_strings(part.column("text")), shingle)
                 full = np.flatnonzero(size)
                 prints, keys, sketch = np.zeros((n, 2), np.uint64), [None] * n, [None] * n
                 if len(full):
@@ -144,7 +145,7 @@ def described(docs: DataFrame) -> DataFrame:
                                   "keys array<long>, sketch array<long>")
 
 
-def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, needed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(node, set): full sorted sets of the classes in ``needed`` (node, doc_id, text_hash)."""
     wanted = needed.select("node", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
     if needed.count() <= BROADCAST_IDS:
@@ -156,7 +157,7 @@ def _sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                values, size = shingle_sets(plain_strings(part.column("text")))
+                values, size = shingle_sets(plain_strings(part.column("text")), shingle)
                 ends = np.cumsum(size)
                 sets = [np.sort(values[e - n:e]).tobytes() for e, n in zip(ends.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
@@ -254,9 +255,9 @@ def _finished(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                   .drop("block").mapInArrow(run, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, first_row."""
-    rows = cut(described(docs))
+    rows = cut(described(docs, shingle))
     order_id = F.coalesce("doc_id", F.lit(LAST_ID))
     first = F.min(F.struct(order_id.alias("order_id"), F.col("uid")))
     classes = cut(rows.where(F.col("n_shingles") > 0).groupBy("f1", "f2").agg(first.alias("head"))
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     members = cut(in_bucket.join(facts, F.col("node") == F.col("h")).select("key", "node", "n", "sketch"))
     candidates = members.select("node").distinct()
     needed = cut(rows.join(candidates, F.col("uid") == F.col("node")).select("node", "doc_id", "text_hash"))
-    sets = cut(_sets_of(docs, needed))
+    sets = cut(_sets_of(docs, needed, shingle))
 
     # a leader per bucket, another order in every bucket
     leader = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("l"),
@@ -306,9 +307,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                       ((F.col("n_shingles") == 0) | (F.col("uid") == F.col("head_uid"))).alias("first_row"))
 
 
-def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand first in their group; a row listed twice stays once."""
-    found = near_duplicates(docs, threshold).where("first_row")
+    found = near_duplicates(docs, threshold, shingle).where("first_row")
     keys = found.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
     keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("__hash", F.xxhash64("text"))
     # both steps deal the texts by the same two columns: they move once

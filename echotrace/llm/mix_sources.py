@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every row gets a 60-bit hash of its id.  Token sums per (source, hash bucket)
+Every row gets a 60-bit hash of its id and text; exact repeats are numbered, and
+the number goes into the hash, so that no two rows need be taken alike.  Token sums per (source, hash bucket)
 form a histogram; the running sum over the buckets shows in which bucket the
 source's budget is crossed.  Only that boundary bucket is refined by the next
 15 bits, until the full hash is fixed.  Rows below the threshold get one copy
@@ -13,17 +14,18 @@ joined on (source, salt), so a source that holds a third of all rows never meets
 in one task.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source
-of its own (last in the weight order); rows with equal ids share a hash and are
-taken alike; an empty table gives an empty result; a source without words has
-target 0.  A null id is hashed as the text ``null``.
+of its own (last in the weight order); an empty table gives an empty result; a
+source without words has target 0.  A null id is hashed as the text ``null``, a null
+text as an empty one.  Rows with equal id and text are told apart by their number, so
+reruns take equally many of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import cut, word_count
+from echotrace.llm.common import cut, running_sums, word_count
 
 HASH_BITS, LEVEL_BITS = 60, 15
 SALTS = 64
@@ -31,14 +33,39 @@ SALTS = 64
 BROADCAST_SOURCES = 50_000
 
 
-def id_hash():
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+def _hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def row_hash() -> Column:
+    return _hash(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def repeats_apart(rows: DataFrame, h: str = "h") -> DataFrame:
+    """``rows`` with the hashes of all but the first of equal ones replaced by hashes of theirs and their number.
+
+    Only rows whose hash comes again are numbered: inside each partition by a window, behind the counts
+    of the partitions before, so a group of any size never meets in one task.  Which of the equal
+    rows has which number does not matter."""
+    rows = rows.withColumn("__p", F.spark_partition_id())
+    counts = rows.groupBy(h, "__p").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy(F.col(h).alias("__d")).agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("__d")
+    parts = counts.join(total, F.col(h) == F.col("__d"), "left_semi")
+    before = parts.select(F.col(h).alias("__bh"), F.col("__p").alias("__bp"), (F.sum("n").over(
+        Window.partitionBy(h).orderBy("__p")) - F.col("n")).alias("__before"))  # a row per partition that holds the hash
+    numbered = (rows.join(before, (F.col(h) == F.col("__bh")) & (F.col("__p") == F.col("__bp")), "left")
+                    .withColumn("__again", F.col("__before").isNotNull()))
+    inside = Window.partitionBy(h, "__p").orderBy(F.lit(1))
+    again = (numbered.where("__again").withColumn("__nr", F.col("__before") + F.row_number().over(inside) - 1)
+                     .withColumn(h, F.when(F.col("__nr") > 0, _hash(F.concat_ws(":", h, "__nr"))).otherwise(F.col(h))))
+    names = [c for c in rows.columns if c != "__p"]
+    return numbered.where(~F.col("__again")).select(*names).unionByName(again.select(*names))
+
+
 def sized_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): the only columns later steps need."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash().alias("h"))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash().alias("h")))
+    return repeats_apart(sized)
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -48,20 +75,19 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) ->
     level that spends the total.  Sorted by ``cap / weight``, the sources before
     the first that is not capped are full; the rest share what is left by weight.
     Seen from later sources the level only falls, so it is the largest that fits.
-    The windows run over one row per source.
+    Sources are ranked and summed by range partitions, however many there are.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
-    s = (sources.withColumn("weight", weight)
-                .withColumn("cap", F.lit(float(max_repeat)) * F.col("source_size")))
-    by_ratio = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    s = (s.withColumn("capped", F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-          .withColumn("open_weight", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-          .withColumn("total", F.sum("source_size").over(everything))
-          .withColumn("level", (F.col("total") - F.coalesce(F.col("capped"), F.lit(0.0))) / F.col("open_weight"))
-          .withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level")))
-                                .over(everything)))
+    by_name = [F.col("source").asc_nulls_last()]
+    s = running_sums(sources, by_name, {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = (s.withColumn("weight", weight).withColumn("cap", F.lit(float(max_repeat)) * F.col("source_size"))
+          .withColumn("ratio", F.col("cap") / F.col("weight")))
+    s = cut(running_sums(s, [F.col("ratio").asc(), *by_name], {"capped": F.col("cap"), "weight_before": F.col("weight")}))
+    whole = s.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights")).collect()[0]
+    level = (F.lit(float(whole["total"] or 0)) - F.col("capped")) / (F.lit(float(whole["weights"] or 0)) - F.col("weight_before"))
+    s = s.withColumn("level", level)
+    best = s.agg(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).alias("x")).collect()[0]["x"]
+    s = s.withColumn("level", F.lit(best).cast("double"))
     target = F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap"))
     return s.select("source", "source_size", target.alias("target"))
 
@@ -140,8 +166,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int =
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """The mix itself: the rows of ``docs`` (all columns), each as often as it is taken."""
     per_source = rates(cut(sized_rows(docs)), weights, max_repeat)
-    keyed = docs.withColumn("__h", id_hash()).withColumn("__source", F.col("source"))
-    chosen = with_copies(keyed.select(F.struct(*docs.columns).alias("__row"), "__h", "__source"), per_source, "__source", "__h")
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), row_hash().alias("__h"), F.col("source").alias("__source"))
+    chosen = with_copies(repeats_apart(keyed, "__h"), per_source, "__source", "__h")
     return (chosen.where(F.col("copies") > 0)
                   .select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nr"))
                   .select("__row.*"))
@@ -149,11 +175,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
 
 #: The same rows by plain sorting: running sums over rows in hash order.
 MIX_SQL = """
-WITH sized AS (
+WITH hashed AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h0
   FROM {documents}),
+sized AS (
+  SELECT doc_id, source, size, CASE WHEN nr = 0 THEN h0 ELSE CAST('0x' || substr(md5(h0 || ':' || nr), 1, 15) AS BIGINT) END AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY h0) - 1 AS nr FROM hashed)),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]

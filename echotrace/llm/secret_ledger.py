@@ -176,24 +176,40 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` (doc_id, text, and any columns) with every found span replaced by ``mask``.
 
     Overlapping spans give one mask.  Rows without a finding keep their text as it
-    is.  A column ``n_chars`` follows the changed texts.
+    is.  A column ``n_chars`` follows the changed texts.  Findings are joined back by
+    (blob, salt), so copies of one text never meet in one task.  The pieces of a text
+    between its masks are cut from the array of its characters and joined once.
     """
     fresh = scan_blobs(unseen_content(docs, "doc_id"))
-    hit = fresh.where(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    joined = keyed.join(hit, F.col("__key") == F.col("__blob"), "left")
-    cut_at = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
-    done = F.aggregate(
-        "__found", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")),
-        lambda acc, s: F.when(s["start"] >= acc["pos"], F.struct(
-            F.concat(acc["out"], cut_at(acc["pos"], s["start"]), F.lit(mask)).alias("out"), s["end"].alias("pos")))
-        .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))),
-        lambda acc: F.concat(acc["out"], cut_at(acc["pos"], F.length("text").cast("long"))))
-    out = joined.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(done))
+    hit = fresh.where(F.size("found") > 0).select(
+        F.col("blob").alias("__blob"), F.explode(F.sequence(F.lit(0), F.lit(REDACT_SALTS - 1))).alias("__s"), F.col("found").alias("__found"))
+    keyed = docs.withColumns({"__key": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256),
+                              "__salt": F.pmod(F.monotonically_increasing_id(), F.lit(REDACT_SALTS)).cast("int")})
+    joined = keyed.join(hit, (F.col("__key") == F.col("__blob")) & (F.col("__salt") == F.col("__s")), "left")
+    # spans in order as disjoint masks: (end of the text kept before it, start of the text kept behind it)
+    merged = F.aggregate(
+        "__found", F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(
+            F.slice(acc, 1, F.size(acc) - 1),
+            F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
+                             F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end")))))
+        .otherwise(F.concat(acc, F.array(F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))))))
+    found = joined.withColumn("__masks", F.when(F.col("__found").isNotNull(), merged))
+    # one pair per kept piece: from the end of one mask to the start of the next
+    found = found.withColumn("__from", F.concat(F.array(F.lit(0).cast("long")), F.transform("__masks", lambda m: m["end"])))
+    found = found.withColumn("__upto", F.concat(F.transform("__masks", lambda m: m["start"]), F.array(F.length("text").cast("long"))))
+    found = found.withColumn("__chars", F.when(F.col("__masks").isNotNull(), F.split("text", "")))
+    pieces = F.transform(F.arrays_zip("__from", "__upto"), lambda x: F.array_join(F.slice(
+        F.col("__chars"), (x["__from"] + 1).cast("int"), (x["__upto"] - x["__from"]).cast("int")), ""))
+    out = found.withColumn("__text", F.when(F.col("__masks").isNull(), F.col("text")).otherwise(F.array_join(pieces, mask)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__masks").isNull(), F.col("n_chars")).otherwise(
+            F.length("__text").cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.col("__text")).select(*docs.columns)
+
+
+#: Groups to which the rows of one text are dealt when findings are joined back.
+REDACT_SALTS = 16
 
 
 #: The same rows from the base rules and the further rules, whole texts, without the ledger.

@@ -37,7 +37,30 @@ def test_targets_and_taken(spark, edge_rows, monkeypatch, broadcast):
         assert abs(sum(r.taken for r in part) - want[s]) <= longest[s] / 2 + 1
         assert all(r.taken <= 3 * r.size for r in part)
     again = M.mix(frame(spark, rows[::-1])).collect()
-    assert sorted((r.doc_id or 0, r.taken) for r in got) == sorted((r.doc_id or 0, r.taken) for r in again)
+    key = lambda r: (r.doc_id or 0, r.source or "", r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_null_ids_and_exact_repeats_meet_the_target(spark, tmp_path):
+    import duckdb
+
+    from echotrace.llm import queries
+
+    rows = [(None, "w " * (i % 7 + 1), "a") for i in range(400)] + [(5, "same words here", "b")] * 300 + [(None, None, "b")] * 9
+    rows += [(i, "x " * (i % 5 + 1), "c") for i in range(900)]
+    frame(spark, rows).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = M.mix(docs).collect()
+    sizes = {s: sum(len(WORD.findall(t or "")) for _, t, x in rows if x == s) for s in "abc"}
+    for s, t in targets(sizes).items():
+        assert abs(sum(r.taken for r in got if r.source == s) - t) <= 7 / 2 + 1, s
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(queries.SQL["op3_mix_sources"]).fetchall(), key=repr)
+    assert sorted((tuple(r) for r in queries.op3_mix_sources(spark, str(tmp_path)).collect()), key=repr) == want
+    mixed = M.mixed_documents(docs)
+    assert mixed.count() == sum(r.copies for r in got)
+    assert mixed.where("source = 'b' and text is not null").count() == sum(r.copies for r in got if r.source == "b" and r.size)
 
 
 def test_mixed_documents_and_empty(spark, edge_rows):

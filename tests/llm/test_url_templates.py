@@ -10,7 +10,7 @@ def pages(spark, urls):
     return spark.createDataFrame([(i, u, None, "clash", "clash") for i, u in urls], SCHEMA).select("page_id", "url")
 
 
-def shape(path, depth=4):
+def shape(path, depth=1000):
     parts = [p for p in path.split("/") if p]
 
     def seg(x):
@@ -23,7 +23,7 @@ def shape(path, depth=4):
     return tuple(seg(p) for p in parts[:depth]) + (("**",) if len(parts) > depth else ())
 
 
-def brute(urls, bad, depth=4, min_support=5, z=1.96, smooth=4.0, reject_at=0.5):
+def brute(urls, bad, depth=1000, min_support=5, z=1.96, smooth=4.0, reject_at=0.5):
     rows = []
     for i, u in urls:
         rest = u[u.index("://") + 3:] if u and "://" in u else ""
@@ -31,7 +31,7 @@ def brute(urls, bad, depth=4, min_support=5, z=1.96, smooth=4.0, reject_at=0.5):
         path = re.match(r"[^?#]*", rest[len(host):]).group()
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
         rows.append([i, host, path, shape(path, depth), ""])
-    for level in range(depth + 1):
+    for level in range(1 + max((len(r[3]) for r in rows), default=0)):
         count = {}
         for r in rows:
             if len(r[3]) > level:
@@ -42,9 +42,16 @@ def brute(urls, bad, depth=4, min_support=5, z=1.96, smooth=4.0, reject_at=0.5):
         names = {}
         for node, children in count.items():
             p = sum(c[1] for c in children.values()) / max(1, sum(c[0] for c in children.values()))
+            off = lambda share, of, n: abs(share - of) > z * math.sqrt(of * (1 - of) / max(n, 1))
+            bands = {}
             for s, (n, b) in children.items():
-                far = abs(b / max(n, 1) - p) > z * math.sqrt(p * (1 - p) / max(n, 1))
-                names[node + (s,)] = s if n >= min_support and far else "*"
+                names[node + (s,)] = "*"
+                if n >= min_support and off(b / max(n, 1), p, n):
+                    bands.setdefault(min(4, math.floor(5 * (b / max(n, 1)))), {})[s] = (n, b)
+            for k, members in bands.items():
+                n_all, b_all = (sum(x[i] for x in members.values()) for i in (0, 1))
+                for s, (n, b) in members.items():
+                    names[node + (s,)] = s if n == n_all or off(b / n, b_all / n_all, n) else f"*{k}"
         for r in rows:
             if len(r[3]) > level:
                 r[4] += "/" + names[(r[1], r[4], r[3][level])]
@@ -90,7 +97,7 @@ def test_branches_that_part_below_the_fourth_segment(spark):
     urls += [(500, "https://deep.org/" + "q/" * 900)]
     bad = {i: int(i % 2 == 1 or i % 12 == 0) for i in range(240)}
     labels = spark.createDataFrame(list(bad.items()), "doc_id long, bad int")
-    got = U.judge(pages(spark, urls), labels, depth=None).collect()
+    got = U.judge(pages(spark, urls), labels).collect()
     want = brute(urls, bad, depth=1000)
     assert len(got) == len(urls)
     for r in got:
@@ -106,3 +113,34 @@ def test_query_reads_all_segments(spark, tmp_path):
     spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {(r.page_id % 2, r.verdict) for r in op5_url_filter(spark, str(tmp_path)).collect()}
     assert got == {(1, "block"), (0, "allow")}
+
+
+def test_branches_like_one_another_merge(spark, tmp_path):
+    """Two bad branches and two middling ones, unlike their node: each pair one wildcard; the SQL agrees at any depth."""
+    import duckdb
+
+    from echotrace.llm import queries
+
+    rows, bad = [], {}
+    shares = {"casino": 0.9, "pills": 0.9, "forum": 0.5, "talk": 0.5, "odd": 0.25, "news": 0.0, "docs": 0.0, "help": 0.0, "team": 0.0}
+    for name, share in shares.items():
+        for _ in range(60):
+            i = len(rows)
+            rows.append((i, f"https://one.org/{name}/{'deep/' * (i % 3)}{i}", None, "clash", "clash"))
+            bad[i] = int(i % 20 < 20 * share)
+    rows += [(5000 + i, f"https://two.org/1/2/a/b/{'s' if i % 2 else 't'}/x", None, "clash", "clash") for i in range(200)]
+    bad |= {5000 + i: i % 2 for i in range(200)}
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op5_url_filter(spark, str(tmp_path)).collect()
+    want = brute([(i, u) for i, u, *_ in rows], bad)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict, r.template) == want[r.page_id], r
+    first = {r.path.split("/")[1]: r.template.split("/")[1] for r in got if r.host == "one.org"}
+    assert first["casino"] == first["pills"] == "*4" and first["forum"] == first["talk"] == "*2" and first["news"] == "*0"
+    assert {(r.page_id % 2, r.verdict) for r in got if r.host == "two.org"} == {(1, "block"), (0, "allow")}
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    by_sql = con.sql(queries.SQL["op5_url_filter"]).fetchall()
+    assert sorted(by_sql) == sorted((r.page_id, r.host, r.path, r.rule, r.verdict, r.template) for r in got)
