@@ -1,12 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each one of the corpus operators.
 
 1. quality rules: documents that the line labelling or the base rules reject go;
-2. near duplicates: one document of each group stays;
+2. near duplicates: one document of each group stays (five-word shingles, similarity 0.8);
 3. secret scans: found spans are masked in the texts;
 4. source mix: documents are left out or repeated so that sources meet their targets;
 5. best-fit packing: the mix as pieces placed in sequences.
 
-Each stage works on what its predecessor kept, written as Parquet and read again.
+Each stage works on what its predecessor kept, written as Parquet and read again; it
+handles empty tables, null columns and extra columns as its operator's docstring says.
 The rows cannot be written as SQL (the first stage fits a model); the stages are
 tested against brute force.
 """
@@ -26,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minmax_dedup.one_of_each_group(docs)
+    return minmax_dedup.one_of_each_group(docs, shingle=5)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
