@@ -21,6 +21,7 @@ from echotrace.sources import sinks
 from echotrace.operators import tags as tg
 from echotrace.session import read_table, scratch_path
 from echotrace.sources import readers as rd
+from echotrace.sources.corpus_source import read_corpus_chunks, write_text_files
 from echotrace.sources.reference_data import CLASS_TAGSET, TAG_HIERARCHY_LINES
 from echotrace.functions.text import normalize_for_score as _norm
 from echotrace.functions.tokens import require_string
@@ -365,12 +366,23 @@ def q_line_groups(spark, sf_dir):
 
 # ------------------------------------------------------------------ readers and sinks: written and read back
 def q_post_rows(spark, sf_dir):
-    """Posts from several CSV files, numbered in file order."""
+    """Posts with whole bodies from several CSV files, numbered in file order."""
     path = scratch_path(spark, "post-rows")
-    sheet = _docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias(" 게시글제목 "), F.col("source").alias("계정명"))
+    sheet = _docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias(" 게시글제목 "), F.col("source").alias("계정명"),
+                                        F.col("text").alias("게시글내용"))
     (sheet.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
-          .write.option("header", True).option("escape", '"').csv(path))
-    return rd.read_posts(spark, path, "csv", escape='"').select("idx", F.col("doc_id").cast("long").alias("doc_id"), "title", "account")
+          .write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path))
+    return rd.read_posts(spark, path, "csv", escape='"', multiLine=True).select(
+        "idx", F.col("doc_id").cast("long").alias("doc_id"), "title", "account", "content")
+
+
+def q_post_cells(spark, sf_dir):
+    """Title cells that carry a link, flattened into title and url."""
+    path = scratch_path(spark, "post-cells")
+    posts = fixtures.posts(spark, sf_dir)
+    posts.select(F.col("idx").alias("nr"), F.struct(F.col("title").alias("value"), F.col("url").alias("link")).alias("게시글제목 "),
+                 F.col("content").alias(" 게시글내용")).write.parquet(path)
+    return rd.read_posts(spark, path).select("nr", "title", "url", "content")
 
 
 def q_reference_list(spark, sf_dir):
@@ -401,35 +413,67 @@ def q_channel_links(spark, sf_dir):
 
 
 def q_stop_word_lines(spark, sf_dir):
-    """Stripped, non-empty, distinct lines."""
+    """Stripped, non-empty, distinct lines; every word of every text is a line."""
     path = scratch_path(spark, "stop-words")
-    (_docs(spark, sf_dir).select(F.explode(F.slice(seg.words("text"), 1, 3)).alias("w"))
+    (_docs(spark, sf_dir).select(F.explode(seg.words("text")).alias("w"))
         .select(F.concat(F.lit(" "), "w", F.lit("  ")).alias("value")).write.text(path))
     return rd.load_stopwords(spark, path)
 
 
-def q_corpus_lines(spark, sf_dir):
-    """Lines of all files of a corpus folder."""
+def _write_corpus(spark, sf_dir):
     path = scratch_path(spark, "corpus")
-    _docs(spark, sf_dir).select(F.substring_index("text", "\n", 1).alias("value")).repartition(7).write.text(path)
-    c = rd.read_corpus(spark, path)
-    return c.select(F.explode(seg.lines("content")).alias("line"))
+    _docs(spark, sf_dir).select(F.col("text").alias("value")).where("value is not null").write.text(path)
+    return path
+
+
+def q_corpus_lines(spark, sf_dir):
+    """Lines of all files of a corpus folder, whole texts."""
+    return rd.read_corpus_lines(spark, _write_corpus(spark, sf_dir)).where("line <> ''").select("line")
+
+
+def q_corpus_chunks(spark, sf_dir):
+    """Bytes and characters of a corpus folder, read in chunks at character bounds."""
+    chunks = read_corpus_chunks(spark, _write_corpus(spark, sf_dir), chunk_bytes=1 << 16)
+    return chunks.agg(F.sum(F.octet_length("content")).alias("n_bytes"), F.sum(F.length("content")).alias("n_chars"),
+                      F.max(F.octet_length("content") <= (1 << 16) + 3).alias("bounded"))
 
 
 def q_corpus_listing(spark, sf_dir):
     """Files and bytes of a corpus folder."""
-    path = scratch_path(spark, "corpus")
-    _docs(spark, sf_dir).select(F.substring_index("text", "\n", 1).alias("value")).repartition(7).write.text(path)
-    return rd.corpus_listing(spark, path).agg(F.sum("file_size").alias("n_bytes"))
+    return rd.corpus_listing(spark, _write_corpus(spark, sf_dir)).agg(F.sum("file_size").alias("n_bytes"))
+
+
+def q_evidence_files(spark, sf_dir):
+    """One text file per article, written by tasks that commit, and read back."""
+    path = scratch_path(spark, "evidence-files")
+    arts = fixtures.articles(spark, sf_dir).select(F.col("article_id").alias("idx"), F.lit("t").alias("title"), "link", "body")
+    write_text_files(sinks.evidence(arts), path)
+    back = spark.read.text(f"{path}/part-*", wholetext=True)
+    return back.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
+
+
+def q_ragged_rows(spark, sf_dir):
+    """The lines of each document as one CSV record, of any number of fields, through a file."""
+    path = scratch_path(spark, "ragged")
+    d = _docs(spark, sf_dir)
+    fields = F.concat(F.array(F.col("doc_id").cast("string")), F.split(F.coalesce("text", F.lit("")), "\n", -1),
+                      F.array(F.concat(F.lit('say "'), F.col("source"), F.lit('",\n'))))
+    sinks.write_ragged_csv(d.select(fields.alias("fields")), path)
+    f = rd.read_ragged_csv(spark, path).select("fields")
+    return f.select(F.element_at("fields", 1).cast("long").alias("doc_id"), F.size("fields").alias("n_fields"),
+                    F.array_join(F.slice("fields", 2, F.size("fields") - 2), "\n", "").alias("text"), F.element_at("fields", -1).alias("last"))
 
 
 def q_tagset_rows(spark, sf_dir):
-    """JSON maps tag -> description, one per source."""
-    d = _docs(spark, sf_dir).groupBy("source").agg(F.map_from_entries(F.collect_set(F.struct(
-        F.concat("lang", F.lit("_"), F.col("doc_id").cast("string")), F.col("n_chars").cast("string")))).alias("m"))
+    """JSON objects tag -> description, one per document; nested values and broken files among them."""
+    d = _docs(spark, sf_dir)
+    tag = F.concat("lang", F.lit("_"), F.col("doc_id").cast("string"))
+    content = (F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit('{"'), tag, F.lit('": ')))  # broken
+                .when(F.col("doc_id") % 10 == 1, F.concat(F.lit('{"'), tag, F.lit('": {"n": ['), F.col("n_chars").cast("string"), F.lit("]}}")))
+                .otherwise(F.to_json(F.create_map(tag, F.col("n_chars").cast("string"), F.concat(tag, F.lit("+")), F.col("source")))))
     path = scratch_path(spark, "tagsets")
-    d.select(F.concat("source", F.lit(".json")).alias("file_name"), F.to_json("m").alias("content")).write.json(path)
-    return rd.parse_tagsets(spark.read.schema("file_name string, content string").json(path))
+    d.select(F.concat("source", F.lit("-"), "doc_id", F.lit(".json")).alias("file_name"), content.alias("content")).write.parquet(path)
+    return rd.parse_tagsets(spark.read.parquet(path))
 
 
 def q_token_csv(spark, sf_dir):
@@ -701,15 +745,26 @@ SQL = {
         FROM g GROUP BY doc_id, g_pos
         UNION ALL SELECT doc_id, 0, 0, '' FROM documents WHERE len({_W}) = 0""",
     "post_rows": """SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, doc_id, split_part(text, chr(10), 1) AS title,
-        source AS account FROM documents""",
+        source AS account, text AS content FROM documents""",
     "reference_list": "SELECT source || '/' || doc_id AS value FROM documents WHERE doc_id % 3 <> 0",
     "publisher_ids": "SELECT DISTINCT lpad(CAST(doc_id % 7 AS VARCHAR), 3, '0') AS oid FROM documents WHERE doc_id % 3 = 0",
     "channel_links": f"""SELECT article_id FROM ({oracle.ARTICLES_V}) a
         WHERE NOT contains(link, 'portal.example') OR article_id % 7 IN (1, 3, 5)""",
-    "stop_word_lines": f"SELECT DISTINCT unnest(l[1:3]) AS word FROM (SELECT {_W} AS l FROM documents) x",
-    "corpus_lines": "SELECT split_part(text, chr(10), 1) AS line FROM documents WHERE split_part(text, chr(10), 1) <> ''",
-    "corpus_listing": "SELECT CAST(sum(strlen(split_part(text, chr(10), 1)) + 1) AS BIGINT) AS n_bytes FROM documents",
-    "tagset_rows": """SELECT source AS tagset, lang || '_' || doc_id AS tag, CAST(n_chars AS VARCHAR) AS description FROM documents""",
+    "stop_word_lines": f"SELECT DISTINCT unnest(l) AS word FROM (SELECT {_W} AS l FROM documents) x",
+    "corpus_lines": "SELECT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) x WHERE line <> ''",
+    "corpus_chunks": """SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars,
+        TRUE AS bounded FROM documents""",
+    "corpus_listing": "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents",
+    "evidence_files": f"""SELECT CASE WHEN article_id + 1 < 1000 THEN lpad(CAST(article_id + 1 AS VARCHAR), 3, '0')
+               ELSE CAST(article_id + 1 AS VARCHAR) END || '_t.txt' AS file_name,
+        '[URL] ' || link || chr(10) || chr(10) || body AS content FROM ({oracle.ARTICLES_V}) a""",
+    "ragged_rows": """SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) + 2 AS INTEGER) AS n_fields,
+        coalesce(text, '') AS text, 'say "' || source || '",' || chr(10) AS last FROM documents""",
+    "tagset_rows": """SELECT source || '-' || doc_id AS tagset, lang || '_' || doc_id AS tag,
+               CASE WHEN doc_id % 10 = 1 THEN '{"n":[' || n_chars || ']}' ELSE CAST(n_chars AS VARCHAR) END AS description
+        FROM documents WHERE doc_id % 10 <> 0
+        UNION ALL SELECT source || '-' || doc_id, lang || '_' || doc_id || '+', source FROM documents WHERE doc_id % 10 > 1""",
+    "post_cells": f"SELECT idx AS nr, title, url, content FROM ({_P}) p",
     "token_csv": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN pos % 5 <> 0 THEN token END AS token FROM ({_TOKV}) t",
     "result_sink": f"SELECT idx, title, content, keyword, account, url FROM ({_STAGE}) s WHERE stage = 0",
     "appended_lines": """SELECT CAST(doc_id AS VARCHAR) AS value FROM documents
@@ -783,6 +838,10 @@ QUERIES = {
     "stop_word_lines": q_stop_word_lines,
     "corpus_lines": q_corpus_lines,
     "corpus_listing": q_corpus_listing,
+    "corpus_chunks": q_corpus_chunks,
+    "evidence_files": q_evidence_files,
+    "ragged_rows": q_ragged_rows,
+    "post_cells": q_post_cells,
     "tagset_rows": q_tagset_rows,
     "token_csv": q_token_csv,
     "result_sink": q_result_sink,

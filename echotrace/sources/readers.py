@@ -6,7 +6,7 @@ Everything returns a DataFrame with an explicit schema; nothing is collected.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,6 +160,15 @@ def read_corpus(spark: SparkSession, directory: str, extension: str = "txt") ->
     return df.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
 
 
+def read_corpus_lines(spark: SparkSession, directory: str, extension: str = "txt") -> DataFrame:
+    """``(file_name, block_start, row, line)``: corpus files of any size, read in splits from any store.
+
+    Lines of a file in the order of (block_start, row) are the file."""
+    df = spark.read.text(directory, lineSep="\n", pathGlobFilter=f"*.{extension}")
+    return df.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block_start"),
+                     F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+
+
 def corpus_listing(spark: SparkSession, directory: str, extension: str = "txt") -> DataFrame:
     """``(file_name, file_size)`` of the corpus files (metadata only)."""
     df = spark.read.text(directory, wholetext=True, pathGlobFilter=f"*.{extension}")
@@ -202,10 +211,16 @@ def read_analyzed_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S10
 def parse_tagsets(files: DataFrame, name_col: str = "file_name", text_col: str = "content") -> DataFrame:
-    """JSON objects tag -> description, one per file -> ``(tagset, tag, description)``."""
-    m = F.from_json(F.col(text_col), "map<string,string>")
-    return files.select(F.regexp_replace(F.col(name_col), r"\.json$", "").alias("tagset"),
-                        F.explode(m).alias("tag", "description"))
+    """JSON objects tag -> description, one per file -> ``(tagset, tag, description)``.
+
+    Files are parsed as VARIANT: a nested description comes out as its JSON text, a null
+    one as null; a file that is broken or no object gives no rows."""
+    parsed = files.select(F.regexp_replace(F.col(name_col), r"\.json$", "").alias("tagset"), F.try_parse_json(F.col(text_col)).alias("v"))
+    objects = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
+    rows = objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    text = F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string")) \
+            .when(F.schema_of_variant("value") != "VOID", F.to_json("value"))
+    return rows.select("tagset", F.col("key").alias("tag"), text.alias("description"))
 
 
 def read_tagsets(spark: SparkSession, directory: str) -> DataFrame:
@@ -239,3 +254,46 @@ def lines_frame(spark: SparkSession, text: str) -> DataFrame:
 def read_token_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of strings (UTF-8, no header); empty fields are null."""
     return spark.read.csv(path, encoding="UTF-8", header=False)
+
+
+def csv_fields(record: Column) -> Column:
+    """The raw fields of a CSV record: separators outside quotes part it.
+
+    Every other piece between quotes lies outside them; there separators become U+0001
+    U+0003 (and U+0001 everywhere U+0001 U+0002, so that no text is mistaken for one)."""
+    marked = F.transform(F.split(F.replace(record, F.lit("\x01"), F.lit("\x01\x02")), '"', -1), lambda x, i: F.when(
+        i % 2 == 0, F.replace(x, F.lit(","), F.lit("\x01\x03"))).otherwise(x))
+    return F.transform(F.split(F.array_join(marked, '"'), "\x01\x03", -1), lambda x: F.replace(x, F.lit("\x01\x02"), F.lit("\x01")))
+
+
+def read_ragged_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV records of any number of fields, as ``(row, fields array<string>)`` in file order by ``row``.
+
+    Quoted fields may hold separators, doubled quotes and newlines.  Files are read in
+    splits: a line begins a record if the quotes before it in its file are even in
+    number, counted inside each split and carried over the splits before.  A plain empty
+    field is null, a quoted one is empty, an empty line is a record without fields."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("row"), "value").withColumn(
+        "q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    lines = cut_lineage(lines)
+    split, in_file = Window.partitionBy("f", "b").orderBy("row"), Window.partitionBy("f").orderBy("b")
+    before = Window.unboundedPreceding
+    carried = lines.groupBy("f", "b").agg(F.sum("q").alias("n")).select(
+        F.col("f").alias("cf"), F.col("b").alias("cb"), F.coalesce(F.sum("n").over(in_file.rowsBetween(before, -1)), F.lit(0)).alias("n0"))
+    starts = (lines.join(carried, (F.col("f") == F.col("cf")) & (F.col("b") == F.col("cb")))
+                   .withColumn("open", (F.col("n0") + F.coalesce(F.sum("q").over(split.rowsBetween(before, -1)), F.lit(0))) % 2 == 1)
+                   .withColumn("own", F.last(F.when(~F.col("open"), F.col("row")), ignorenulls=True).over(split)))
+    # lines ahead of the first record of a split belong to the last one of the splits before
+    ends = starts.groupBy("f", "b").agg(F.max("own").alias("last")).select(
+        F.col("f").alias("ef"), F.col("b").alias("eb"),
+        F.last("last", ignorenulls=True).over(Window.partitionBy("f").orderBy("b").rowsBetween(before, -1)).alias("former"))
+    records = (starts.join(ends, (F.col("f") == F.col("ef")) & (F.col("b") == F.col("eb")))
+                     .groupBy(F.coalesce("own", "former").alias("record"))
+                     .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]), "\n").alias("text")))
+    records = records.select("record", "text", csv_fields(F.col("text")).alias("raw"))
+    fields = F.transform("raw", lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"')))
+                         .when(x != "", x))
+    return records.select(F.col("record").alias("row"),
+                          F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(fields).alias("fields"))

@@ -79,3 +79,60 @@ def test_token_csv_round_trip(spark, tmp_path):
     sinks.write_token_csv(df, str(tmp_path / "tok"))
     back = sorted(tuple(r) for r in rd.read_token_csv(spark, str(tmp_path / "tok")).collect())
     assert back == [("나가 / VV", None), ("이 / NR", "차 / NNB")]
+
+
+def test_corpus_in_chunks_and_lines(spark, tmp_path):
+    from echotrace.sources.corpus_source import read_corpus_chunks
+
+    texts = {"a.txt": "지방공무원법😀é" * 700 + "\n\nx", "b.txt": "", "c.txt": "plain\r\nlines\n"}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    (tmp_path / "skip.md").write_text("x")
+    for size in (7, 4096, 1 << 20):
+        got = {}
+        for r in sorted(read_corpus_chunks(spark, str(tmp_path), chunk_bytes=size).collect(), key=lambda r: (r["file_name"], r["start"])):
+            got[r["file_name"]] = got.get(r["file_name"], "") + r["content"]
+            assert len(r["content"].encode()) <= size + 3
+        assert got == texts
+    lines = {}
+    for r in sorted(rd.read_corpus_lines(spark, str(tmp_path)).collect(), key=lambda r: (r["file_name"], r["block_start"], r["row"])):
+        lines.setdefault(r["file_name"], []).append(r["line"])
+    assert lines["a.txt"] == texts["a.txt"].split("\n") and lines["c.txt"] == ["plain\r", "lines"]
+
+
+def test_text_files_of_counted_attempts_only(spark, tmp_path):
+    from echotrace.sources.corpus_source import TextFileWriter, write_text_files
+
+    df = spark.createDataFrame([(f"{i:03d}_t.txt", f"본문 {i}\n" if i else None) for i in range(40)], "file_name string, content string")
+    write_text_files(df.repartition(4), str(tmp_path / "out"))
+    found = {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "out").rglob("*.txt")}
+    assert found == {f"{i:03d}_t.txt": f"본문 {i}\n" if i else "" for i in range(40)}
+    writer = TextFileWriter(str(tmp_path / "retry"))
+    lost = writer.write(iter([{"file_name": "x.txt", "content": "lost attempt"}]))
+    kept = writer.write(iter([{"file_name": "x.txt", "content": "kept"}]))
+    writer.commit([kept, None])
+    assert [p.read_text() for p in (tmp_path / "retry").rglob("*.txt")] == ["kept"] and lost.folder != kept.folder
+    writer.write(iter([{"file_name": "y.txt", "content": "aborted"}]))
+    writer.abort([])
+    assert not list((tmp_path / "retry").rglob("y.txt"))
+
+
+def test_ragged_csv_round_trip(spark, tmp_path):
+    rows = [[], ["a"], ["a", None, "", "b,c"], ['say "hi"', "line one\nline two\n", '"'], ["1", "-2.5", "x1"], [None, None], ["\n\n", '"\n"'], [None], ["한글", ""],
+            ["\x01,\x03", "\x01\x02"], ['"' * 20_000, "x\n" * 9000]]
+    for split, some in (("128m", rows), ("16", rows[:-1])):
+        path = str(tmp_path / split)
+        sinks.write_ragged_csv(spark.createDataFrame([(r,) for r in some], "fields array<string>").coalesce(1), path)
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            got = [r["fields"] for r in rd.read_ragged_csv(spark, path).orderBy("row").collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == [[""] if r == [None] else r for r in some]
+
+
+def test_tag_sets_of_any_shape(spark):
+    files = [("a.json", '{"N": "noun", "V": {"x": [1, "y"]}, "Z": null, "n": 5}'), ("b.json", '{"N": '), ("c.json", "[1]"), ("d.json", None), ("e.json", "{}")]
+    got = rd.parse_tagsets(spark.createDataFrame(files, "file_name string, content string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([("a", "N", "noun"), ("a", "V", '{"x":[1,"y"]}'), ("a", "Z", None), ("a", "n", "5")], key=repr)
