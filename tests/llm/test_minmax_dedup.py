@@ -7,13 +7,13 @@ from tests_llm_shared import WORD, frame, sentence
 from echotrace.llm import minmax_dedup as M
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, n=4):
+    sets = [shingles(t, n) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):

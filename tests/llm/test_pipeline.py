@@ -4,7 +4,7 @@ from tests_llm_shared import WORD, frame
 
 import __spark_entry__ as entry
 from echotrace.llm import quality_crf
-from test_minmax_dedup import brute as near_brute
+import test_minmax_dedup
 from test_mix_sources import targets
 from test_secret_ledger import base_spans
 
@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     kept = {r.doc_id for r in quality_crf.verdicts(docs, model).collect() if r.kept}
     assert {r.doc_id for r in after} == kept and set(after) <= set(before)
     before, after = seen["near_duplicates"]
-    _, root = near_brute([(r.doc_id, r.text) for r in before])
+    _, root = test_minmax_dedup.brute([(r.doc_id, r.text) for r in before], 5)
     assert sorted(r.doc_id for r in after) == sorted(r.doc_id for i, r in enumerate(before) if root[i] == r.doc_id)
     before, after = seen["secret_scan"]
     old = {r.doc_id: r for r in before}
@@ -54,8 +54,8 @@ def test_stages(spark, tmp_path):
 
 def test_run_and_registry(spark):
     names = entry.queries()
-    assert names["pipeline"] is P.run and len([n for n in names if n.startswith("op")]) == 10
-    assert set(P.run(spark, SF).columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    assert names["pipeline"] is P.run and len([n for n in names if n.startswith("op")]) == 13
+    assert set(P.run(spark, SF).columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "crossovers", "migrants"}
 
 
 def test_stages_on_edges(spark, edge_rows):
