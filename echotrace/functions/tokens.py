@@ -4,12 +4,17 @@ A tokenizer is any ``Column -> Column<array<string>>``; the default splits on
 whitespace, ``word_tokens`` keeps ``\\w+`` runs.  A pandas UDF returning
 ``array<string>`` may be passed instead (Arrow-batched, off the hot path).
 Text is lower-cased before tokenising, as the vectoriser of the reference does.
+An analyser that works on many texts at once can be a table function instead
+(``table_tokenizer``): Arrow batches in, token rows out, partitioned by text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,3 +64,27 @@ def require_string(df: DataFrame, *cols: str) -> DataFrame:
         if not isinstance(dt, T.StringType):
             raise TypeError(f"phrase input should be string, not {dt.simpleString()} (column {c!r})")
     return df
+
+
+def table_tokenizer(tokenize: Callable[[pa.Array], pa.ListArray]):
+    """X1 as an Arrow table function over ``TABLE(id, text)``, partitioned by id: ``(id, pos, token)``.
+
+    ``tokenize`` maps an array of texts to one of token lists; nulls give no tokens."""
+
+    @F.arrow_udtf(returnType="id bigint, pos int, token string")
+    class Tokens:
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            lists = tokenize(pc.fill_null(rows.column("text"), ""))
+            owner, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten().cast(pa.string())
+            pos = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            yield pa.table({"id": rows.column("id").take(pa.array(owner)), "pos": pa.array(pos, pa.int32()), "token": flat})
+
+    return Tokens
+
+
+def tokens_by_table(df: DataFrame, id_col: str, text: Column, tokenize: Callable[[pa.Array], pa.ListArray],
+                    stopwords: DataFrame | None = None) -> DataFrame:
+    """``(id, pos, token)`` of the normalised, lower-cased texts by a table function; stop words (a one-column table) removed."""
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.lower(normalize_for_score(text)).alias("text"))
+    rows = table_tokenizer(tokenize)(texts.asTable().partitionBy("id"))
+    return rows if stopwords is None else remove_stopwords_rows(rows, stopwords)

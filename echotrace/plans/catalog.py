@@ -6,8 +6,10 @@ parameters are small literal DataFrames, as a user would pass their own lists.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from echotrace.functions import text as tx
@@ -24,7 +26,7 @@ from echotrace.sources import readers as rd
 from echotrace.sources.corpus_source import read_corpus_chunks, write_text_files
 from echotrace.sources.reference_data import CLASS_TAGSET, TAG_HIERARCHY_LINES
 from echotrace.functions.text import normalize_for_score as _norm
-from echotrace.functions.tokens import require_string
+from echotrace.functions.tokens import require_string, tokens_by_table
 from echotrace.functions.tokens import whitespace_tokens as _wst
 from echotrace.plans import clean, fixtures, jobs, match, oracle
 
@@ -68,6 +70,25 @@ def q_copy_ratio_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pair_id", F.round("cosine", 9).alias("cosine"), F.round("cosine", 2).alias("ratio"))
 
 
+def first_letters(texts: pa.Array, n: int = 5) -> pa.ListArray:
+    """A plain stemmer: white-space words cut to their first ``n`` characters."""
+    lists = pc.utf8_split_whitespace(texts)
+    words = lists.flatten()
+    owner, some = pc.list_parent_indices(lists), pc.not_equal(words, "")
+    owner, words = owner.filter(some).to_numpy(), pc.utf8_slice_codeunits(words.filter(some), 0, n)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32()), words)
+
+
+def q_copy_ratio_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring documents scored with a tokenizer of choice, a table function over the texts."""
+    docs = read_table(spark, sf_dir, "documents")
+    stop = rd.list_frame(spark, STOPWORDS, "token")
+    terms = score.terms_of_rows(tokens_by_table(docs, "doc_id", F.col("text"), first_letters, stop))
+    a, b = docs.select(F.col("doc_id").alias("a_id")), docs.select(F.col("doc_id").alias("b_id"))
+    pairs = a.join(b, F.col("b_id") == F.col("a_id") + 1).withColumn("pair", F.concat(F.lit("n"), F.col("a_id").cast("string")))
+    return score.pair_cosine(pairs, terms, terms).select(F.col("pair").alias("pair_id"), "cosine")
+
+
 # ------------------------------------------------------------------ cleaning
 def q_clean_posts(spark, sf_dir):
     return clean.clean_posts(fixtures.posts(spark, sf_dir), CLEAN).select(*POST_COLS)
@@ -606,7 +627,21 @@ def _cls(col, n):
             f"ELSE upper(substr(lower({col}), 1, {n})) END)")
 
 
+_STOP_LIST = ", ".join(oracle.q(w) for w in STOPWORDS)
+_STEMS = f"""
+WITH t AS (SELECT * FROM (SELECT doc_id, unnest(list_transform({_TEXT_TOKENS}, lambda x: substr(x, 1, 5))) AS token FROM documents)
+           WHERE token NOT IN ({_STOP_LIST})),
+f AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY doc_id, token),
+n AS (SELECT doc_id, count(*) AS n, sum(tf * tf) AS t FROM f GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+sh AS (SELECT p.a, sum(x.tf * y.tf) AS dot, sum(x.tf * x.tf) AS sa, sum(y.tf * y.tf) AS sb
+       FROM p JOIN f x ON x.doc_id = p.a JOIN f y ON y.doc_id = p.b AND y.token = x.token GROUP BY p.a)
+SELECT 'n' || p.a AS pair_id, CASE WHEN coalesce(na.n, 0) > 0 AND coalesce(nb.n, 0) > 0
+         THEN {oracle.cosine('coalesce(sh.dot, 0)', 'coalesce(sh.sa, 0)', 'na.t', 'coalesce(sh.sb, 0)', 'nb.t')} ELSE 0.0 END AS cosine
+FROM p LEFT JOIN n na ON na.doc_id = p.a LEFT JOIN n nb ON nb.doc_id = p.b LEFT JOIN sh ON sh.a = p.a"""
+
 SQL = {
+    "copy_ratio_stems": _STEMS,
     "tag_tokens": _TAGGED,
     "noun_tokens": f"SELECT t.doc_id, t.pos, t.token FROM ({_TOKV}) t JOIN ({_DICT}) d ON d.surface = t.token "
                    f"WHERE starts_with(d.tag, 'n')",
@@ -820,6 +855,7 @@ QUERIES = {
     "word_groups": q_word_groups,
     "match_stats": q_match_stats,
     "copy_ratio": q_copy_ratio,
+    "copy_ratio_stems": q_copy_ratio_stems,
     "clean_posts": q_clean_posts,
     "clean_stage_counts": q_clean_stage_counts,
     "removed_posts": q_removed_posts,
