@@ -17,6 +17,7 @@ from echotrace.operators import filters as flt
 from echotrace.operators import score
 from echotrace.functions import segment as seg
 from echotrace.operators import pages as pg
+from echotrace.operators import lattice
 from echotrace.operators import links as lk
 from echotrace.operators import retrieve
 from echotrace.sources import sinks
@@ -192,6 +193,16 @@ def q_title_keywords(spark, sf_dir):
     return retrieve.title_nouns(t, d, "idx", "title_q", MATCH.noun_prefix)
 
 
+def q_unsegmented_nouns(spark, sf_dir):
+    """The first five nouns of every title written without spaces, cut by the dictionary lattice."""
+    posts, _, d = _match_inputs(spark, sf_dir)
+    title = tx.truncate(tx.clean_text(tx.clean_text("title")))
+    glued = posts.select("idx", F.array_join(_wst(F.lower(_norm(title))), "").alias("word"))
+    nouns = tg.noun_rows(lattice.segmented(glued, d), prefix=MATCH.noun_prefix)
+    first = nouns.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("m_pos", "morph"))).alias("n"))
+    return first.select("idx", F.array_join(F.slice(F.transform("n", lambda x: x["morph"]), 1, 5), " ").alias("keywords"))
+
+
 def q_word_groups(spark, sf_dir):
     """The words of every document split after each word that ends a
     sentence (indices from the data)."""
@@ -852,6 +863,7 @@ QUERIES = {
     "match_evidence": q_match_evidence,
     "link_policy": q_link_policy,
     "title_keywords": q_title_keywords,
+    "unsegmented_nouns": q_unsegmented_nouns,
     "word_groups": q_word_groups,
     "match_stats": q_match_stats,
     "copy_ratio": q_copy_ratio,
