@@ -21,7 +21,7 @@ more component that brings all to the same length.
 
 Defined results: vectors that are null, zero, hold null or non-finite components,
 have a null id, or not the usual number of components take no part; equal rows
-count once; a query with fewer candidates than ``k`` in its lists is searched
+count once, and of different vectors with one id the least (component by component); a query with fewer candidates than ``k`` in its lists is searched
 again in all lists; ties go to the smaller id; an empty table gives no row.
 """
 
@@ -56,7 +56,7 @@ def usable(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0.0))
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("v") == (usual[0]["d"] if usual else 0)).distinct()
+    return rows.where(F.size("v") == (usual[0]["d"] if usual else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 @dataclass(frozen=True)

@@ -68,3 +68,16 @@ def test_short_queries_are_searched_everywhere(spark, monkeypatch):
     rows = [(i, rng.normal(size=6).tolist()) for i in range(45)]
     got, want = run(spark, rows, target_recall=0.0), brute(rows)
     assert {q: len(v) for q, v in got.items()} == {q: 20 for q in want}
+
+
+def test_different_vectors_of_one_id(spark):
+    """The least vector of an id counts, as a candidate and as a query."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).round(3).tolist()) for i in range(50)]
+    again = [(i, rng.normal(size=6).round(3).tolist()) for i in (0, 3, 20, 20)]
+    least = {}
+    for i, x in rows + again:
+        key = tuple(np.array(x, np.float32).astype(float).tolist())
+        least[i] = min(least.get(i, key), key)
+    got, want = run(spark, rows + again), brute([(i, list(x)) for i, x in least.items()])
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
