@@ -62,7 +62,6 @@ VOID_ELEMENTS = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split())
 NON_TEXT = frozenset(["script", "style", "template"])
-MAX_SELECTORS = 10_000
 
 
 class _Node:
@@ -236,13 +235,11 @@ def extract_body(html: str | None, selector: str | None = None) -> str:
 
 # ---------------------------------------------------------------- Spark plan
 def selector_table(spark, selectors: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
-    """(domain, selector) table; a mapping is bounded by a checked size."""
+    """(domain, selector) table of any length; it is joined by domain."""
     if isinstance(selectors, DataFrame):
         return selectors.select(F.col(selectors.columns[0]).alias("domain"),
                                 F.col(selectors.columns[1]).alias("selector"))
     items = sorted((selectors if selectors is not None else SELECTOR_MAP).items())
-    if len(items) > MAX_SELECTORS:
-        raise ValueError(f"{len(items)} selectors exceed {MAX_SELECTORS}")
     schema = T.StructType([T.StructField("domain", T.StringType()), T.StructField("selector", T.StringType())])
     return spark.createDataFrame(items, schema)
 

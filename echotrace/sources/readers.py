@@ -120,7 +120,8 @@ def zero_fill(col, width: int = 3):
 
 def load_oids(spark: SparkSession, path: str, column: str = "oid", fmt: str = "csv", **options) -> DataFrame:
     """Publisher ids: drop nulls, integer, string, zero-filled to 3, distinct.
-    A missing file gives an empty table; any other error is raised."""
+    A cell that is no number is left out and the other ids stay (in the reference one such
+    cell empties the list).  A missing file gives an empty table; any other error is raised."""
     try:
         vals = load_list(spark, path, column, fmt, **options)
     except AnalysisException as e:
