@@ -45,6 +45,8 @@ from echotrace.llm.arrow_text import plain_strings, slices
 from echotrace.llm.common import cut
 from echotrace.llm.token_ids import WordEncoder
 
+#: Text bytes encoded at once inside a task: an encoder's arrays take some forty times as many.
+ENCODED_BYTES = 1 << 20
 SHARD_PIECES = 4000
 #: Sequences that a shard's tokens fill on average, at least: one that fills a single bin may release all it has.
 SHARD_SEQUENCES = 4
@@ -66,7 +68,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = WordEncoder.at(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 ids, per_doc = encoder.encode(plain_strings(part.column("text")), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 end = np.cumsum(per_doc)
