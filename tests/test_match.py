@@ -75,3 +75,39 @@ def test_stored_terms_are_read_without_an_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for x in names:
             spark.sql(f"DROP TABLE IF EXISTS {x}")
+
+
+def test_match_job_scores_once_and_its_evidence_is_small(spark, monkeypatch, tmp_path):
+    """Result and evidence read one stored best match; a body in the evidence of many posts takes little disk."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from echotrace.plans import jobs
+    from echotrace.sources import sinks
+
+    rng = random.Random(6)
+    posts, arts = str(tmp_path / "posts"), [(a, f"l{a}", "".join(rng.choice("0123456789abcdef") for _ in range(30_000))) for a in range(80)]
+    n = 800
+    spark.createDataFrame([(i, f"t{i}") for i in range(n)], "idx long, title string").coalesce(1).write.parquet(posts)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    def scored(posts, articles, dictionary, p):
+        return posts.select("idx", F.lit(0).alias("cand_pos"), F.floor(F.col("idx") / 10).alias("article_id"),
+                            F.concat(F.lit("l"), F.floor(F.col("idx") / 10)).alias("link"), F.lit(0.5).alias("cosine"), told(F.lit(0.5)).alias("copy_ratio"))
+
+    monkeypatch.setattr(match, "scored_candidates", scored)
+    adf = spark.createDataFrame(arts + [(999, "unmatched", "x")], "article_id long, link string, body string").coalesce(1)
+    out, evidence = str(tmp_path / "out"), str(tmp_path / "evidence")
+    got = jobs.match_job(spark, posts, adf, None, out, evidence, match.MatchParams())
+    assert seen.value == n
+    assert got.where("copy_ratio = 0.5").count() == n
+    back = {r["idx"]: r["content"] for r in spark.read.parquet(evidence).collect()}
+    assert len(back) == n and all(x.startswith(f"[URL] l{i // 10}\n\n") for i, x in back.items())
+    sinks.write_evidence(spark.createDataFrame([(i, "f", arts[i // 10][2]) for i in range(n)], "idx long, file_name string, content string").coalesce(1), evidence)
+    assert sum(f.stat().st_size for f in (tmp_path / "evidence").iterdir()) < 2_500_000
