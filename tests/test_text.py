@@ -76,3 +76,27 @@ def test_partition_array(spark):
 def test_round_half_even(spark):
     assert one(spark, tx.round_ratio(F.col("x")), 0.0625, "x double") == 0.062
     assert one(spark, tx.round_ratio(F.col("x")), 0.0635, "x double") == 0.064
+
+
+def test_cleaner_steps_run_only_where_a_sign_stands(spark):
+    """With and without the signs each text is cleaned as by all steps on all texts; a text without signs meets two classes only."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from echotrace.functions import regex as R
+    from echotrace.functions import text as tx
+
+    rng = random.Random(12)
+    bits = ["Video Player", "Video 태그를 지원하지 않는 브라우저입니다.", "12:34", "٠١:٢٣", ":", "1.25x", "0.٥٥x", "0.", "출처: x\ny", "출처:", "/ 12.5", "/", "ㅋㅎ", "ㅠ",
+            "ㅜ", "!!", "~", "&amp;", "&#3;", "&", "_x000D_", " \n", "word", "é", "Video", "x"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 7))) for _ in range(400)] + [None, "NaN "]
+    s = F.coalesce("t", F.lit("nan"))
+    plain = s
+    for pattern, repl in R.CLEAN_TEXT_STEPS:
+        plain = F.regexp_replace(plain, pattern, repl)
+    plain = tx.py_strip(F.regexp_replace(F.regexp_replace(plain, R.CLEAN_TEXT_CHARSET, " "), R.WS + "+", " "))
+    plain = F.when(F.lower(tx.py_strip(s)) == "nan", "").otherwise(plain)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r[0] == r[1] for r in df.select(tx.clean_text("t"), plain).collect())
+    assert len(R.CLEAN_TEXT_SIGNS) == len(R.CLEAN_TEXT_STEPS)
