@@ -55,3 +55,18 @@ def test_table_tokenizer_takes_many_texts_without_a_shuffle(spark):
     want = [(i, p, w[:5]) for i, t in rows for p, w in enumerate((t or "").split())]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_cut_at_once_have_the_default_tokens(spark):
+    """Stop words, repeats, marks, unusual white space, empty and null texts, over a slice that starts inside an array."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from echotrace.functions import tokens
+
+    texts = ["x", "The cat, the HAT 　sat", "", None, " \x1c a b\x85c ", "...", "the of", "İ I a_b ß ́e 한국 the", "a  a\ta"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", tokens.score_tokens("t", None, ["the", "of"]).alias("w"), tokens.score_text("t").alias("s")).orderBy("i").collect()
+    cut = tokens.cut_words(pa.array([r["s"] for r in rows], pa.string()).slice(1), ["the", "of"])
+    assert cut.to_pylist() == [r["w"] for r in rows[1:]] and cut.to_pylist()[0] == ["cat", "hat", "sat"]
+    assert tokens.cut_words(pa.array([], pa.string())).to_pylist() == [] and tokens.cut_words(pa.array([None, ""], pa.string())).to_pylist() == [[], []]
